@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import quality
+from obscast.llm import packing, quality
 from obscast.llm.text import read
 
 
@@ -16,7 +16,20 @@ def op9_quality_rules(spark, sf_dir):
     )
 
 
+def tokenizer_path(name):
+    """A public vocabulary file; installed alike on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_best_fit_packing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op10_best_fit_packing": op10_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
