@@ -61,7 +61,8 @@ class Merger:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        model, added = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         symbols = byte_symbols()
@@ -71,10 +72,12 @@ class Merger:
         self.table = PairTable(pairs)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         bytes_of = {s: b for b, s in enumerate(symbols)}
-        self.token_bytes: list[bytes] = [b""] * (max(vocab.values()) + 1)
+        self.token_bytes: list[bytes] = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, i in vocab.items():
             body = token[: -len(end)] if end and token.endswith(end) else token
             self.token_bytes[i] = bytes(bytes_of[c] for c in body if c in bytes_of)
+        for token, i in added.items():
+            self.token_bytes[i] = token.encode()
 
     def encode(self, words: list[bytes], block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words (none empty) one after the other, and where each word's begin."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import packing, quality
+from obscast.llm import bpe, packing, quality
 from obscast.llm.text import read
 
 
@@ -23,12 +23,23 @@ def tokenizer_path(name):
     return public_tokenizers.path(name)
 
 
+def op5_bpe_round_trip(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = tokenizer_path("byte_bpe_50k.json")
+    words = [r.word for r in bpe.frequent_words(docs).collect()]  # at most LEXICON_WORDS
+    encoded = bpe.encode(docs, path, bpe.publish_lexicon(spark, words, path))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    return bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
