@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import bpe, packing, quality
+from obscast.llm import bpe, packing, quality, sketch
 from obscast.llm.text import read
 
 
@@ -23,6 +23,16 @@ def tokenizer_path(name):
     return public_tokenizers.path(name)
 
 
+def op4_fingerprints(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sketch.edit_report(docs).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.encode(F.col("sketch")).alias("fingerprint"),
+        sketch.encode(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 def op5_bpe_round_trip(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenizer_path("byte_bpe_50k.json")
@@ -39,6 +49,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_fingerprints": op4_fingerprints,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
