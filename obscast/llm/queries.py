@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import bpe, packing, quality, sketch
+from obscast.llm import bpe, ngram_join, packing, quality, sketch
 from obscast.llm.text import read
 
 
@@ -23,6 +23,10 @@ def tokenizer_path(name):
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.components(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op4_fingerprints(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sketch.edit_report(docs).select(
@@ -49,6 +53,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
