@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import bpe, chat, line_dedup, ngram_join, packing, quality, sketch, warc
+from obscast.llm import bpe, chat, langid, line_dedup, ngram_join, packing, quality, sketch, warc
 from obscast.llm.text import read
 
 
@@ -58,6 +58,14 @@ def op6_warc_revisits(spark, sf_dir):
     )
 
 
+def op7_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
 def op8_chat_trees(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -73,6 +81,7 @@ def op10_best_fit_packing(spark, sf_dir):
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op6_warc_revisits": op6_warc_revisits,
+    "op7_language_id": op7_language_id,
     "op8_chat_trees": op8_chat_trees,
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_fingerprints": op4_fingerprints,
