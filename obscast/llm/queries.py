@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import bpe, chat, langid, line_dedup, ngram_join, packing, quality, sketch, warc
+from obscast.llm import bpe, chat, html_text, langid, line_dedup, ngram_join, packing, quality, sketch, warc
 from obscast.llm.text import read
 
 
@@ -27,6 +27,11 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.components(read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_html_extraction(spark, sf_dir):
+    found = html_text.extract(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -79,6 +84,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_line_dedup": op3_line_dedup,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_language_id": op7_language_id,
