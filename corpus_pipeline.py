@@ -1,13 +1,71 @@
-"""Corpus cleaning: language ID, quality rules, line dedup, near duplicates, packing."""
+"""Corpus cleaning: language ID, quality rules, line dedup, near duplicates, packing.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame. All stages but the last return the columns of documents, and n_chars follows
+the text. Empty inputs pass through every stage and end in an empty packing.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from obscast.llm import langid, line_dedup, ngram_join, packing, quality
+from obscast.llm.queries import tokenizer_path
+from obscast.llm.shared import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Predictions below this calibrated probability do not count as a language.
+MIN_SCORE = 0.4
+#: Word shingles and similarity from which documents are near duplicates.
+WIDTH, PERCENT = 5, 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is recognised as one of the corpus's languages."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)
+    return langid.predict(docs.select(*COLUMNS), model).where(known).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the threshold table."""
+    return quality.keep_good(docs.select(*COLUMNS))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that repeat across documents."""
+    cleaned = line_dedup.dedup(docs.select(*COLUMNS))
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near copies."""
+    groups = ngram_join.components(docs, WIDTH, PERCENT)
+    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents, placed into sequences."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Language identification and tokenizing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each one's rows written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
