@@ -35,7 +35,7 @@ from obscast.llm.shingle_sets import mix, shingle_sets
 
 WIDTH, PERCENT = 3, 90
 #: Most members and shingles of a group; a larger single set is a group of its own.
-GROUP_MEMBERS, GROUP_TOKENS = 64, 200_000
+GROUP_MEMBERS, GROUP_TOKENS = 256, 100_000
 #: Shingles of the queries that one task holds against one group at a time.
 BLOCK_TOKENS = 500_000
 
@@ -129,7 +129,7 @@ def _open_groups(queries: pd.DataFrame, members: pd.DataFrame, percent: int) ->
     sets = [np.asarray(t) for t in members["tokens"]]
     union, where = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets])
-    row = np.zeros((len(union), len(sets)), np.float32)
+    row = np.zeros((len(union), len(sets)), np.uint8)
     row[where, np.repeat(np.arange(len(sets)), sizes)] = 1
     nodes, comps, weights = (members[c].to_numpy() for c in ("node", "comp", "comp_size"))
     a, b = [], []
@@ -141,7 +141,7 @@ def _open_groups(queries: pd.DataFrame, members: pd.DataFrame, percent: int) ->
         if 100 * len(at) < percent * len(q):
             continue  # the bound: no member can overlap enough
         above = (weights > weight) | ((weights == weight) & (comps > comp))
-        shared = row[at].sum(axis=0)
+        shared = row[at].sum(axis=0, dtype=np.int64)
         linked = above & (100 * shared >= percent * (len(q) + sizes - shared))
         seen = set()
         for k in np.flatnonzero(linked).tolist():
@@ -188,8 +188,11 @@ def _groups(nodes: DataFrame) -> DataFrame:
                 out.append(grp)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column(0)], ["grp", "node"])
 
-    near = nodes.repartitionByRange("comp_size", "comp", "lead", "node").sortWithinPartitions("comp_size", "comp", "lead", "node")
-    return near.select("node", "n").mapInArrow(run, "grp long, node long")
+    # Runs of partitions are read as one, so that partition borders cut few groups short.
+    parts = max(1, nodes.count() // (16 * GROUP_MEMBERS))
+    order = ("comp_size", "comp", "lead", "node")
+    near = nodes.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order)
+    return near.select("node", "n").coalesce(parts).mapInArrow(run, "grp long, node long")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -223,7 +226,8 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -
     placed = rows.join(place, "node")
     mixed = placed.groupBy("sig").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
     left = cut(placed.join(mixed.select("sig"), "sig"))
-    groups = cut(_groups(named.join(left.select("node").distinct(), "node", "left_semi")))
+    open_nodes = cut(named.drop("tokens").join(left.select("node").distinct(), "node", "left_semi"))
+    groups = cut(_groups(open_nodes))
     matrix = left.join(groups, "node").groupBy("sig", "grp").agg(F.max("place").alias("top"))
     pairs = cut(left.join(matrix, "sig").where("place < top").select("node", "grp").distinct())
     second = _verify(pairs, named, groups.join(named, "node"), percent)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 _LOWER = bytes(range(256)).translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
@@ -17,31 +19,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _P and of its inverse modulo 2 ** 64."""
+    inverse = np.uint64(pow(int(_P), -1, 1 << 64))
+    out = []
     with np.errstate(over="ignore"):
-        np.multiply.accumulate(np.full(n - 1, _P), out=out[1:]) if n > 1 else None
-    return out
+        for base in (_P, inverse):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the ASCII-lower-cased words of all texts in order, and words per text."""
     raw = np.frombuffer(b" ".join(t.translate(_LOWER) for t in texts) + b" ", np.uint8)
     space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
     begin, end = edge[0::2], edge[1::2]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     counts = np.diff(np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)])))
     if not len(begin):
         return np.zeros(0, np.uint64), counts
-    length = end - begin
-    at = np.flatnonzero(~space)
-    inside = at - np.repeat(begin, length)
+    # A word's polynomial hash is a difference of prefix sums, shifted back to its start.
+    powers, inverses = _powers(1 << int(len(raw)).bit_length())
     with np.errstate(over="ignore"):
-        term = (raw[at].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[inside]
-        first = np.cumsum(length) - length
-        return mix(np.add.reduceat(term, first) + length.astype(np.uint64)), counts
+        sums = np.cumsum((raw + np.uint64(1)) * powers[: len(raw)])
+        low = np.where(begin > 0, sums[begin - 1], np.uint64(0))
+        return mix((sums[end - 1] - low) * inverses[begin] + (end - begin).astype(np.uint64)), counts
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    ordered = np.sort(hashes)
+    new = np.empty(len(ordered), bool)
+    new[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -59,7 +75,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     out = []
     for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
         if n >= width:
-            out.append(np.unique(whole[end - n : end - width + 1]))
+            out.append(_distinct(whole[end - n : end - width + 1]))
         elif n:
             with np.errstate(over="ignore"):
                 h = np.uint64(n)
