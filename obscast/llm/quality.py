@@ -132,4 +132,6 @@ def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows of `docs` that the rules keep, with their own columns only."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     judged = judge(docs.select(own, F.col(text).alias("text")), rules)
-    return judged.where("kept").select("__row.*")
+    # A filter would be pushed below the signals and write each of them out once per rule.
+    rows = judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
+    return rows.select("__row.*")
