@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from obscast.llm import bpe, chat, html_text, langid, line_dedup, ngram_join, packing, quality, sketch, warc
+from obscast.llm.oracles import ORACLES  # noqa: F401
 from obscast.llm.text import read
 
 
@@ -96,4 +97,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
