@@ -1,0 +1 @@
+"""No streaming operators: the feature and backtest library is defined over whole tables."""
