@@ -152,19 +152,20 @@ def _open_groups(queries: pd.DataFrame, members: pd.DataFrame, percent: int) ->
     return pd.DataFrame({"a": a, "b": b}, dtype="int64") if a else empty
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, asking: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of `pairs` (node, grp) with the members of the groups that rank above.
 
-    nodes: node, n, comp, comp_size, tokens; held: the same of the members with their grp.
-    A group's queries are dealt into blocks of bounded size, so a group that very many
-    query is spread over as many tasks as it needs.
+    asking: node, n, comp, comp_size; held: the same of the members with their grp; sets: node,
+    tokens. A group's queries are dealt into blocks of bounded size, so a group that very
+    many query is spread over as many tasks as it needs.
     """
     columns = ["grp", "block", "node", "comp", "comp_size", "tokens"]
-    sized = pairs.join(nodes.select("node", "n"), "node")
+    sized = pairs.join(asking.select("node", "n"), "node")
     blocks = sized.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    queries = dealt.select("grp", "block", "node").join(nodes, "node")
+    queries = dealt.select("grp", "block", "node").join(asking, "node").join(sets, "node")
     members = held.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.join(sets, "node")
 
     def run(key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         return _open_groups(q, m, percent)
@@ -205,32 +206,32 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -
     rows = cut(sigs.join(shared.select("sig"), "sig").select("sig", "node").distinct())
 
     weight = rows.groupBy("node").agg(F.count("*").alias("w"), F.min("sig").alias("lead"))
-    reps = weight.join(classes.select("node", "rep", "n"), "node")
-    active = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    nodes = cut(reps.join(_token_sets(active, width).dropDuplicates(["node"]), "node"))
+    nodes = cut(weight.join(classes.select("node", "rep", "n"), "node"))
+    active = docs.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = cut(_token_sets(active, width).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
     # A class with more of its parts shared has fewer changes of its own: it leads.
     share = nodes.select("node", (F.col("w") / F.col("n")).alias("share"))
     central = rows.join(share, "node").groupBy("sig").agg(F.max_by("node", F.struct("share", "node")).alias("grp"))
     stars = rows.join(central, "sig").where("node <> grp").select("node", "grp").distinct()
-    alone = nodes.select("node", "n", F.col("node").alias("comp"), F.lit(0).cast("long").alias("comp_size"), "tokens")
+    alone = nodes.select("node", "n", F.col("node").alias("comp"), F.lit(0).cast("long").alias("comp_size"))
     leaders = central.select(F.col("grp").alias("node")).distinct().join(alone, "node")
     leaders = leaders.withColumn("comp_size", F.lit(1).cast("long")).withColumn("grp", F.col("node"))
-    first = cut(_verify(stars, alone, leaders, percent))
+    first = cut(_verify(stars, alone, leaders, sets, percent))
 
     comps = connected_components(first).toDF("node", "comp")
     named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = named.groupBy("comp").agg(F.count("*").alias("comp_size"))
-    named = cut(named.join(sizes, "comp"))
+    named = cut(named.join(sizes, "comp").select("node", "n", "lead", "comp", "comp_size"))
     place = named.select("node", F.struct("comp_size", "comp").alias("place"))
     placed = rows.join(place, "node")
     mixed = placed.groupBy("sig").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
     left = cut(placed.join(mixed.select("sig"), "sig"))
-    open_nodes = cut(named.drop("tokens").join(left.select("node").distinct(), "node", "left_semi"))
+    open_nodes = cut(named.join(left.select("node").distinct(), "node", "left_semi"))
     groups = cut(_groups(open_nodes))
     matrix = left.join(groups, "node").groupBy("sig", "grp").agg(F.max("place").alias("top"))
     pairs = cut(left.join(matrix, "sig").where("place < top").select("node", "grp").distinct())
-    second = _verify(pairs, named, groups.join(named, "node"), percent)
+    second = _verify(pairs, named.drop("lead"), groups.join(named.drop("lead"), "node"), sets, percent)
     return connected_components(first.union(second)).toDF("node", "comp")
 
 
