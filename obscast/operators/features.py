@@ -65,7 +65,7 @@ def regime(few: str) -> Column:
     foehn = F.col("nw_strength") * F.coalesce("depression", F.lit(0.0))
     change = F.coalesce("max_delta", F.lit(0.0))
     return (
-        F.when(F.col("n_slice") < 3, few)
+        F.when(F.coalesce("n_slice", F.lit(0)) < 3, few)
         .when((F.col("p01i_sum") > 0.01) | (change < -2.0), "disrupted")
         .when(foehn > 60.0, "foehn_nw").when(F.col("tmax_hour_so_far") >= 18, "late_warming")
         .when(change > 1.0, "transition").otherwise("calm")
@@ -120,7 +120,7 @@ def build_features(obs: DataFrame, labels: DataFrame, config: Config = Config())
     grid = days.withColumn("cp", F.explode(F.array(*[F.lit(c) for c in config.cps])))
     rows = grid.join(got, ["date_local", "cp"], "left")
     some = F.col("n_slice").isNotNull()
-    label = F.coalesce(regime("insufficient"), F.lit("insufficient"))
+    label = regime("insufficient")
     north = F.coalesce(in_sector(F.col("circular_dir"), 315, 45), F.lit(False))
     t6, t9, t12 = (F.col(f"a{h}.tmp_c_int") for h in (6, 9, 12))
     flat = F.coalesce(F.greatest(t6, t9, t12) - F.least(t6, t9, t12) <= 0.5, F.lit(False))

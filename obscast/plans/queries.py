@@ -47,7 +47,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.daily_labels(observations(spark, sf_dir), CONFIG)
+    """One row a day, kept because training, test and neighbour days all come from it."""
+    return labels.daily_labels(observations(spark, sf_dir), CONFIG).persist()
 
 
 def slices(spark, sf_dir) -> DataFrame:
@@ -55,8 +56,8 @@ def slices(spark, sf_dir) -> DataFrame:
 
 
 def table(spark, sf_dir) -> DataFrame:
-    obs = observations(spark, sf_dir)
-    return features.build_features(obs, labels.daily_labels(obs, CONFIG), CONFIG)
+    """One row a day and checkpoint, kept for the same reason."""
+    return features.build_features(observations(spark, sf_dir), day_labels(spark, sf_dir), CONFIG).persist()
 
 
 def plan(spark, days) -> DataFrame:
@@ -243,9 +244,8 @@ def best_null(spark, sf_dir):
 
 
 def segment_mae(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    days = labels.daily_labels(obs, CONFIG)
-    found = baselines.segment_mae(board.recent_errors(days, AS_OF, WINDOW, CONFIG), features.build_features(obs, days, CONFIG))
+    days = day_labels(spark, sf_dir)
+    found = baselines.segment_mae(board.recent_errors(days, AS_OF, WINDOW, CONFIG), table(spark, sf_dir))
     return shown(baselines.segments(found, ["regime", "cp"]))
 
 
@@ -263,9 +263,7 @@ def wf_splits(spark, sf_dir):
 
 
 def _backtest(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    days = labels.daily_labels(obs, CONFIG)
-    made = features.build_features(obs, days, CONFIG)
+    days, made = day_labels(spark, sf_dir), table(spark, sf_dir)
     return made, days, challengers.long_features(made), challengers.targets(days, CONFIG), plan(spark, days)
 
 
