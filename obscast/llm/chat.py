@@ -121,7 +121,9 @@ def format_trees(rows: DataFrame) -> DataFrame:
         ]
         return pd.DataFrame([build_tree(convs)])
 
-    return dealt.select("root", "shard", "conv_id", "turns").groupBy("root", "shard").applyInPandas(build, TREE)
+    # Dealt out anew: the join leaves all trees of a first turn in one task.
+    trees = dealt.select("root", "shard", "conv_id", "turns").repartition("root", "shard")
+    return trees.groupBy("root", "shard").applyInPandas(build, TREE)
 
 
 def read_back(trees: DataFrame) -> DataFrame:
