@@ -114,14 +114,19 @@ def empirical_points(dist: DataFrame) -> DataFrame:
     )
 
 
-def _scored(rows: DataFrame, level: str, name: str, pred: Column, fallback: Column | None = None) -> DataFrame:
-    error = pred - F.col("truth")
-    return rows.where(pred.isNotNull()).select(
-        F.lit(level).alias("level"), F.lit(name).alias("name"), "date_local", "cp", "truth", pred.cast("double").alias("pred"),
-        error.cast("double").alias("error"), F.abs(error).cast("double").alias("abs_error"),
-        (error * error).cast("double").alias("sq_error"),
-        (settle(pred.cast("double")) == F.col("truth")).cast("double").alias("bracket_match"),
-        (F.lit(None) if fallback is None else fallback).cast("double").alias("fallback"),
+def _forecast(level: str, name: str, pred: Column, fallback: Column | None = None) -> Column:
+    fell = F.lit(None) if fallback is None else fallback
+    return F.struct(
+        F.lit(level).alias("level"), F.lit(name).alias("name"), pred.cast("double").alias("pred"), fell.cast("double").alias("fallback")
+    )
+
+
+def score(rows: DataFrame) -> DataFrame:
+    """Rows (level, name, date_local, cp, truth, pred, fallback) with their errors."""
+    error = F.col("pred") - F.col("truth")
+    return rows.select(
+        "level", "name", "date_local", "cp", "truth", "pred", error.alias("error"), F.abs(error).alias("abs_error"),
+        (error * error).alias("sq_error"), (settle(F.col("pred")) == F.col("truth")).cast("double").alias("bracket_match"), "fallback",
     )
 
 
@@ -142,15 +147,13 @@ def ladder_errors(
     points = empirical_points(empirical_dist(rows, empirical_counts(train, config), support))
     rows = rows.join(points.drop("p50"), ["month", "cp", "k_cp"], "left")
     fell = F.when(F.col("source") == "conditional", 0.0).otherwise(1.0)
-    parts = [
-        _scored(rows, "L0", "persistence", F.col("k_cp")), _scored(rows, "L1", "dminus1", F.col("before")),
-        _scored(rows, "L2", "climatology_doy", settle(F.col("tmax_dec"))),
-        _scored(rows, "L4", "empirical_conditional", F.col("mode"), fell),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # All baselines come from one row of a day and checkpoint.
+    made = F.array(
+        _forecast("L0", "persistence", F.col("k_cp")), _forecast("L1", "dminus1", F.col("before")),
+        _forecast("L2", "climatology_doy", settle(F.col("tmax_dec"))),
+        _forecast("L4", "empirical_conditional", F.col("mode"), fell),
+    )
+    return score(rows.select("date_local", "cp", "truth", F.explode(made).alias("f")).where("f.pred is not null").select("*", "f.*"))
 
 
 def ladder_summary(errors: DataFrame) -> DataFrame:

@@ -101,9 +101,15 @@ def statistics(days: DataFrame, keys: list[str], n_boot: int = 1000, n_p: int =
     )
     modes = rows.groupBy(*keys, F.bround("pred").alias("p")).agg(F.count("*").alias("c"))
     found = found.join(modes.groupBy(*keys).agg((F.max("c") / F.sum("c")).alias("p50_mode_share")), keys)
-    ci = bootstrap_ci(rows, keys, "gain", order, n_boot, seed=seed)
-    found = found.join(ci.select(*keys, F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi")), keys)
-    return found.join(bootstrap_p(rows, keys, "gain", order, n_p, seed), keys)
+    # One set of replicates serves both: the first n_boot the interval, the first n_p the p-value.
+    reps = replicates(rows, keys, "gain", order, max(n_boot, n_p), seed)
+    tails = F.array(F.lit(0.025), F.lit(0.975))
+    drawn = reps.groupBy(*keys).agg(
+        F.percentile(F.when(F.col("rep") < n_boot, F.col("stat")), tails).alias("q"),
+        ((F.count_if((F.col("rep") < n_p) & (F.col("stat") <= 0)) + 1) / F.lit(n_p + 1)).alias("p_value"),
+    )
+    drawn = drawn.select(*keys, F.get("q", 0).alias("ci_lo"), F.get("q", 1).alias("ci_hi"), "p_value")
+    return found.join(drawn, keys)
 
 
 def benjamini_hochberg(results: DataFrame, alpha: float = 0.05, compat: bool = False) -> DataFrame:
@@ -149,14 +155,15 @@ def validate(
         found = found.withColumn("skill_ci_lo", F.col("ci_lo")).withColumn("fallback_rate", F.lit(0.0))
         return gates(found.withColumn("per_cp_passed", F.col("model_mae") < F.col("null_mae")), config)
 
-    all_days = judged(statistics(open_days.withColumn("regime", F.lit("all")), ["feature", "cp", "regime"], n_boot, n_p, config.seed))
+    # Some hundred rows that took many resamples: kept, as three steps below read them.
+    all_days = judged(statistics(open_days.withColumn("regime", F.lit("all")), ["feature", "cp", "regime"], n_boot, n_p, config.seed)).persist()
     good = all_days.where("ci_lo > 0 and all_passed").select("feature", "cp")
     parts = open_days.where("regime not in ('all', 'unknown', '')").join(F.broadcast(good), ["feature", "cp"], "left_semi")
     by_regime = judged(statistics(parts, ["feature", "cp", "regime"], n_boot, n_p, config.seed))
     tested = all_days.unionByName(by_regime).join(F.broadcast(grid.drop("blocked_reason", "reason").distinct()), ["feature", "cp"])
     missing = grid.join(all_days.select("feature", "cp"), ["feature", "cp"], "left_anti")
     results = tested.unionByName(missing.withColumn("regime", F.lit("all")).withColumn("n_days", F.lit(0)), allowMissingColumns=True)
-    results = benjamini_hochberg(results, alpha)
+    results = benjamini_hochberg(results.persist(), alpha)
     passed = (F.col("ci_lo") > 0) & F.col("fdr_adjusted") & F.col("all_passed")
     status = F.when(F.col("blocked_reason").isNotNull(), "BLOCKED").when(passed, "validated").otherwise("rejected")
     return results.withColumn("passes", F.coalesce(F.col("ci_lo") > 0, F.lit(False))).withColumn("status", status)

@@ -283,6 +283,11 @@ FINAL = {
               {_CORR.format(a="pred")} - {_CORR.format(a="base_pred")} as corr_diff from gain where n >= 30 group by all) using (feature, cp)
         join (select feature, cp, max(c) / sum(c) as p50_mode_share from (select feature, cp, round_even(pred, 0) as p, count(*) as c from gain where n >= 30 group by all) group by all) using (feature, cp)
         group by feature, cp, n_days, effect_size, null_mae, model_mae, corr_diff, p50_mode_share""",
+    "baseline_gates": """select level, name, cp, bool_and(passed) over (partition by level, name, cp) as all_passed, gate, passed, case when passed then 'OK' else bad end as status
+        from (select level, name, cp, unnest([struct_pack(gate := 'G1', passed := mae < best, bad := 'KILL'),
+          struct_pack(gate := 'G2', passed := coalesce(fallback_rate, 0) <= 0.5, bad := 'NOT_OPERATIONAL'), struct_pack(gate := 'G3', passed := p50_mode_share <= 0.5, bad := 'COLLAPSE_ALERT'),
+          struct_pack(gate := 'G4', passed := false, bad := 'NOWCAST_SUSPECT'), struct_pack(gate := 'G5', passed := mae <= best, bad := 'STAY_OUT')], recursive := true)
+          from (select *, min(mae) over (partition by cp) as best from summ))""",
     "feature_nulls": f"""select feature, cp, {six("avg(abs(p - tmax))", "mae")}, count(*) as n,
         {six("case when count(*) >= 3 and min(p) < max(p) then corr(p, tmax) end - case when count(*) >= 3 then corr(k_cp, tmax) end", "corr_diff")} from (
         select v.feature, v.cp, t.tmax, t.k_cp, floor(t.k_cp + m.intercept + m.slope * v.value + 0.5)::bigint as p from vals v join tgt t using (date_local, cp)

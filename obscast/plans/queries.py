@@ -60,6 +60,11 @@ def table(spark, sf_dir) -> DataFrame:
     return features.build_features(observations(spark, sf_dir), day_labels(spark, sf_dir), CONFIG).persist()
 
 
+def recent_errors(spark, sf_dir) -> DataFrame:
+    """A row a day, checkpoint and baseline of the recent window, kept."""
+    return board.recent_errors(day_labels(spark, sf_dir), AS_OF, WINDOW, CONFIG).persist()
+
+
 def plan(spark, days) -> DataFrame:
     return splits.walk_forward_splits(spark, splits.history_start(days), TEST_STARTS)
 
@@ -232,20 +237,19 @@ def crps_scores(spark, sf_dir):
 
 
 def ladder_errors(spark, sf_dir):
-    return shown(board.recent_errors(day_labels(spark, sf_dir), AS_OF, WINDOW, CONFIG))
+    return shown(recent_errors(spark, sf_dir))
 
 
 def ladder_summary(spark, sf_dir):
-    return shown(baselines.ladder_summary(board.recent_errors(day_labels(spark, sf_dir), AS_OF, WINDOW, CONFIG)))
+    return shown(baselines.ladder_summary(recent_errors(spark, sf_dir)))
 
 
 def best_null(spark, sf_dir):
-    return shown(baselines.best_null(baselines.ladder_summary(board.recent_errors(day_labels(spark, sf_dir), AS_OF, WINDOW, CONFIG))))
+    return shown(baselines.best_null(baselines.ladder_summary(recent_errors(spark, sf_dir))))
 
 
 def segment_mae(spark, sf_dir):
-    days = day_labels(spark, sf_dir)
-    found = baselines.segment_mae(board.recent_errors(days, AS_OF, WINDOW, CONFIG), table(spark, sf_dir))
+    found = baselines.segment_mae(recent_errors(spark, sf_dir), table(spark, sf_dir))
     return shown(baselines.segments(found, ["regime", "cp"]))
 
 
@@ -284,11 +288,11 @@ def challenger_errors(spark, sf_dir):
 
 def _gains(spark, sf_dir):
     _, _, values, target, spans = _backtest(spark, sf_dir)
-    return challengers.challenger_errors(values, target, spans)
+    return challengers.challenger_errors(values, target, spans).persist()
 
 
 def bootstrap_mean(spark, sf_dir):
-    days = board.recent_errors(day_labels(spark, sf_dir), AS_OF, WINDOW, CONFIG)
+    days = recent_errors(spark, sf_dir)
     return shown(inference.bootstrap_ci(days, ["name", "cp"], "abs_error", ["date_local"], N_BOOT))
 
 
@@ -298,20 +302,20 @@ def hypothesis_statistics(spark, sf_dir):
 
 
 def hypothesis_results(spark, sf_dir):
-    made, _, values, target, spans = _backtest(spark, sf_dir)
-    errors = challengers.challenger_errors(values, target, spans)
-    found = inference.validate(errors, dict(made.dtypes), CONFIG, n_boot=N_BOOT, n_p=N_BOOT)
-    return shown(found)
+    return shown(_validated(spark, sf_dir))
+
+
+def _validated(spark, sf_dir):
+    kinds = dict(table(spark, sf_dir).dtypes)
+    return inference.validate(_gains(spark, sf_dir), kinds, CONFIG, n_boot=N_BOOT, n_p=N_BOOT)
 
 
 def feature_contract(spark, sf_dir):
-    made, _, values, target, spans = _backtest(spark, sf_dir)
-    errors = challengers.challenger_errors(values, target, spans)
-    return inference.contract(inference.validate(errors, dict(made.dtypes), CONFIG, n_boot=N_BOOT, n_p=N_BOOT))
+    return inference.contract(_validated(spark, sf_dir))
 
 
 def baseline_gates(spark, sf_dir):
-    found = board.baseline_gates(baselines.ladder_summary(board.recent_errors(day_labels(spark, sf_dir), AS_OF, WINDOW, CONFIG)), CONFIG)
+    found = board.baseline_gates(baselines.ladder_summary(recent_errors(spark, sf_dir)), CONFIG)
     one = found.select("level", "name", "cp", "all_passed", F.explode("gates").alias("g"))
     return one.select("level", "name", "cp", "all_passed", "g.gate", "g.passed", "g.status")
 
@@ -324,7 +328,7 @@ def feature_nulls(spark, sf_dir):
 def leaderboard(spark, sf_dir):
     made, days, values, _, _ = _backtest(spark, sf_dir)
     nulls = board.feature_nulls(values, days, values.select("feature", "cp"), AS_OF, WINDOW, CONFIG)
-    return board.leaderboard(board.recent_errors(days, AS_OF, WINDOW, CONFIG), made, AS_OF, WINDOW, nulls, CONFIG)
+    return board.leaderboard(recent_errors(spark, sf_dir), made, AS_OF, WINDOW, nulls, CONFIG)
 
 
 QUERIES = {
