@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from obscast.config import CATALOG, Config
 from obscast.functions.calendar import is_morning
 from obscast.operators.metrics import safe_corr
+from obscast.sources.shared import cut
 
 MIN_DAYS = 30
 
@@ -147,6 +148,7 @@ def validate(
     reason = lambda c: "absent" if c not in kinds else None if kinds[c] != "string" and kinds[c] != "boolean" else "unsupported_type"
     rows = [(h, c, cp, blocked.get(c), reason(c)) for h, c in catalog for cp in config.cps]
     grid = spark.createDataFrame(rows, "id string, feature string, cp string, blocked_reason string, reason string")
+    days = cut(days)
     open_days = days.where(~F.col("feature").isin(*blocked)) if blocked else days
 
     def judged(found: DataFrame) -> DataFrame:
@@ -155,15 +157,15 @@ def validate(
         found = found.withColumn("skill_ci_lo", F.col("ci_lo")).withColumn("fallback_rate", F.lit(0.0))
         return gates(found.withColumn("per_cp_passed", F.col("model_mae") < F.col("null_mae")), config)
 
-    # Some hundred rows that took many resamples: kept, as three steps below read them.
-    all_days = judged(statistics(open_days.withColumn("regime", F.lit("all")), ["feature", "cp", "regime"], n_boot, n_p, config.seed)).persist()
+    # Each step's few result rows took many resamples and a deep plan: written and read again.
+    all_days = cut(judged(statistics(open_days.withColumn("regime", F.lit("all")), ["feature", "cp", "regime"], n_boot, n_p, config.seed)))
     good = all_days.where("ci_lo > 0 and all_passed").select("feature", "cp")
     parts = open_days.where("regime not in ('all', 'unknown', '')").join(F.broadcast(good), ["feature", "cp"], "left_semi")
-    by_regime = judged(statistics(parts, ["feature", "cp", "regime"], n_boot, n_p, config.seed))
+    by_regime = cut(judged(statistics(parts, ["feature", "cp", "regime"], n_boot, n_p, config.seed)))
     tested = all_days.unionByName(by_regime).join(F.broadcast(grid.drop("blocked_reason", "reason").distinct()), ["feature", "cp"])
     missing = grid.join(all_days.select("feature", "cp"), ["feature", "cp"], "left_anti")
     results = tested.unionByName(missing.withColumn("regime", F.lit("all")).withColumn("n_days", F.lit(0)), allowMissingColumns=True)
-    results = benjamini_hochberg(results.persist(), alpha)
+    results = benjamini_hochberg(results, alpha)
     passed = (F.col("ci_lo") > 0) & F.col("fdr_adjusted") & F.col("all_passed")
     status = F.when(F.col("blocked_reason").isNotNull(), "BLOCKED").when(passed, "validated").otherwise("rejected")
     return results.withColumn("passes", F.coalesce(F.col("ci_lo") > 0, F.lit(False))).withColumn("status", status)

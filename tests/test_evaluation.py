@@ -24,7 +24,7 @@ def history(spark):
     for n in range(3 * 365):
         base = round(15 + 8 * np.sin(n / 58))
         k = base + rng.randint(-2, 2)
-        rows.append((day(n), k + rng.randint(0, 4), True, k, k, k, k, 14))
+        rows.append((day(n), k + rng.randint(-2, 2), True, k, k, k, k, 14))
     kinds = "date_local date, tmax_int long, day_complete boolean, k_cp__cp_2000 long, k_cp__cp_2100 long, k_cp__cp_2200 long, k_cp__cp_2300 long, tmax_hour long"
     return spark.createDataFrame(rows, kinds).cache()
 
