@@ -37,7 +37,7 @@ WIDTH, PERCENT = 3, 90
 #: Most members and shingles of a group; a larger single set is a group of its own.
 GROUP_MEMBERS, GROUP_TOKENS = 256, 100_000
 #: Shingles of the queries that one task holds against one group at a time.
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 200_000
 
 
 @lru_cache(maxsize=8)
@@ -176,24 +176,28 @@ def _verify(pairs: DataFrame, asking: DataFrame, held: DataFrame, sets: DataFram
 
 def _groups(nodes: DataFrame) -> DataFrame:
     """(grp, node): neighbours by component and leading signature, in runs of bounded size."""
+    order = ("comp_size", "comp", "lead", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in order])
         members = tokens = 0
-        grp = None
-        for batch in batches:
-            out = []
-            for node, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if grp is None or members == GROUP_MEMBERS or tokens + n > GROUP_TOKENS:
-                    grp, members, tokens = node, 0, 0
-                members, tokens = members + 1, tokens + n
-                out.append(grp)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column(0)], ["grp", "node"])
-
-    # Runs of partitions are read as one, so that partition borders cut few groups short.
+        grp, out = None, []
+        for node, n in zip(rows["node"].to_pylist(), rows["n"].to_pylist(), strict=True):
+            if grp is None or members == GROUP_MEMBERS or tokens + n > GROUP_TOKENS:
+                grp, members, tokens = node, 0, 0
+            members, tokens = members + 1, tokens + n
+            out.append(grp)
+        found = [pa.array(out, pa.int64()), rows["node"].combine_chunks()]
+        yield pa.RecordBatch.from_arrays(found, ["grp", "node"])
+
+    # A task orders a range of some thousand rows of five numbers; ranges are joined to that
+    # size first, so that their borders cut few groups short.
     parts = max(1, nodes.count() // (16 * GROUP_MEMBERS))
-    order = ("comp_size", "comp", "lead", "node")
-    near = nodes.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order)
-    return near.select("node", "n").coalesce(parts).mapInArrow(run, "grp long, node long")
+    near = nodes.select(*order, "n").repartitionByRange(*order).coalesce(parts)
+    return near.mapInArrow(run, "grp long, node long")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
