@@ -22,21 +22,26 @@ def replicates(
     """(keys, rep, stat): a statistic of each resample, the mean if none is given.
 
     The j-th draw of a replicate is row md5(seed|rep|j) modulo n of the group in `order`, so
-    any engine draws the same. Replicates are rows: they spread over tasks, and a group's
-    values (one a day) travel once for each replicate instead of through a join.
+    any engine draws the same. Replicates are rows: they spread over tasks. The digests do
+    not depend on the group, so a task makes those of a replicate once for all groups it
+    meets, and a group's values (one a day) travel as an array, not through a join with days.
     """
     held = rows.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda r: r["__v"]).alias("v")
     )
-    held = held.withColumn("n", F.size("v")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    held = held.repartition(*keys, "rep")
+    held = held.withColumn("n", F.size("v"))
+    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     digest = lambda j: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), j.cast("string")))
-    place = lambda j: F.conv(F.substring(digest(j), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.get("v", place(j).cast("int")))
+    number = lambda j: F.conv(F.substring(digest(j), 1, 8), 16, 10).cast("long")
+    reps = rows.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("rep"))
+    reps = reps.withColumn("numbers", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), number))
+    held = reps.crossJoin(held.hint("shuffle_replicate_nl"))
+    numbers = F.slice("numbers", F.lit(1), F.col("n"))
+    draw = lambda x: F.get("v", (x % F.col("n")).cast("int"))
     if statistic is None:
-        total = F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x)
+        total = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + draw(x))
         return held.select(*keys, "rep", (total / F.col("n")).alias("stat"))
-    spread = held.select(*keys, "rep", F.explode(drawn).alias("x"))
+    spread = held.select(*keys, "rep", F.explode(F.transform(numbers, draw)).alias("x"))
     return spread.groupBy(*keys, "rep").agg(statistic("x").alias("stat"))
 
 

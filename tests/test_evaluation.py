@@ -147,3 +147,26 @@ def test_signal_validates_and_noise_does_not(spark, history):
     assert got.where("regime = 'calm' and feature = 'signal'").count() == 4
     found = inference.contract(got).first()
     assert found.n_validated == 8 and len(found.blocked) == 4 and len(CATALOG) == 23
+
+
+def test_registered_results_accept_a_single_real_effect(spark, monkeypatch):
+    from obscast.plans import queries
+
+    rng = random.Random(5)
+    names = [c for _, c in CATALOG]
+    real, rows = next(c for c in names if c not in dict(CONFIG.blocked)), []
+    for c in names:
+        for cp in CONFIG.cps:
+            for n in range(40):
+                tmax, good = 10 + n % 9, c == real and cp == "20:00"
+                base, error = rng.uniform(2, 3), rng.uniform(0, 1) if good else rng.uniform(3, 4)
+                rows.append(("s", day(n), c, cp, "all", tmax, tmax + base, tmax + error, base, error))
+    kinds = "split string, date_local date, feature string, cp string, regime string, tmax long, base_pred double, pred double, base_error double, error double"
+    gains = spark.createDataFrame(rows, kinds)
+    made = spark.createDataFrame([], ", ".join(f"{c} double" for c in names))
+    monkeypatch.setattr(queries, "_gains", lambda spark, sf_dir: gains)
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir: made)
+    got = queries.hypothesis_results(spark, "").collect()
+    assert [(r.feature, r.cp, r.p_value) for r in got if r.status == "validated"] == [(real, "20:00", 0.0001)]
+    found = queries.feature_contract(spark, "").first()
+    assert (found.n_validated, [r.cp for r in found.validated_features]) == (1, ["20:00"])
