@@ -2,8 +2,10 @@
 
 A page is read into blocks of text in page order, each with the tags around it. A linear
 classifier turns a block's tags, classes, length, links and punctuation into costs of calling
-it content or boilerplate: the capacities of its edges to the two terminals. Neighbouring
-blocks, and blocks that follow each other in one container, are tied by smoothness edges that
+it content or boilerplate: the capacities of its edges to the two terminals. Containers are
+votes that text and neighbours can outvote; only navigation and hidden parts are out for
+certain. A container that names boilerplate counts less, the more of the page's text it holds
+beyond three quarters: what encloses the page says nothing about a part. Neighbouring blocks, and blocks that follow each other in one container, are tied by smoothness edges that
 grow with the tags they share. The minimum cut is the labelling of least total cost.
 
 Defined results: a null or empty html has no text; white space inside a block becomes one
@@ -36,7 +38,8 @@ BLOCKS = frozenset(
     " search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Containers of boilerplate and of content by tag, and words that name them in class, id and role.
-OUT_TAGS = frozenset("nav footer aside form button menu dialog search".split())
+SURE_TAGS = frozenset(["nav"])
+OUT_TAGS = frozenset("footer aside form button menu dialog search".split())
 IN_TAGS = {"article": 3, "main": 2}
 OUT_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments"
@@ -57,21 +60,31 @@ SPACE = re.compile(r"\s+")
 
 #: Weight of the smoothness edges and capacity that no cut of the others reaches.
 SMOOTH, SURE = 0.6, 1000.0
+#: Votes: for content by rank of the container, against blocks outside of all where the page
+#: names one, and against blocks in a container that is boilerplate by all of its name.
+INSIDE, OUTSIDE, OUT = (0.0, 1.5, 2.0, 2.0), 1.5, 5.0
 
 
 @dataclass
 class Block:
     text: str
     path: tuple[int, ...]
-    out: int
+    sure: bool
+    out: tuple[tuple[int, float], ...]
     inside: int
     heading: bool
     linked: int
 
 
+def named_out(value: str) -> float:
+    """The largest part of a name in a class, id or role that boilerplate words make up."""
+    names = [WORD.findall(name) for name in value.lower().split()]
+    return max((sum(w in OUT_WORDS for w in words) / len(words) for words in names if words), default=0.0)
+
+
 def read_blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
-    stack: list[tuple[str, int, int, int]] = []  # tag, number, votes for boilerplate, rank as content
+    stack: list[tuple[str, int, float, int, bool]] = []  # tag, number, vote for boilerplate, rank as content, out for certain
     blocks: list[Block] = []
     parts: list[str] = []
     linked = links = numbers = at = 0
@@ -79,10 +92,10 @@ def read_blocks(page: str) -> list[Block]:
         nonlocal linked
         text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
         if text:
-            out = max((s[2] for s in stack), default=0)
+            out = tuple((s[1], s[2]) for s in stack if s[2])
             inside = max((s[3] for s in stack), default=0)
             blocks.append(Block(
-                text, tuple(s[1] for s in stack if s[0] in BLOCKS), out, inside,
+                text, tuple(s[1] for s in stack if s[0] in BLOCKS), any(s[4] for s in stack), out, inside,
                 bool(stack) and any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1].isdigit() for s in stack), linked,
             ))
         parts.clear()
@@ -131,39 +144,53 @@ def read_blocks(page: str) -> list[Block]:
                     close(depth)
         if tag in VOID or m[3].endswith("/"):
             continue
-        out, inside = int(tag in OUT_TAGS), IN_TAGS.get(tag, 0)
+        out, inside, sure = float(tag in OUT_TAGS), IN_TAGS.get(tag, 0), tag in SURE_TAGS
         if tag == "header" and not any(s[3] for s in stack):
-            out = 1
+            out = 1.0
         if m[3]:
-            named = {w for a in ATTRIBUTE.findall(m[3]) for w in WORD.findall("".join(a[1:]).lower())}
+            values = ["".join(a[1:]) for a in ATTRIBUTE.findall(m[3])]
+            named = {w for v in values for w in WORD.findall(v.lower())}
             if named and tag not in ("html", "body"):
-                out += bool(named & OUT_WORDS)
+                out = max(out, *map(named_out, values))
                 if named & TOP_WORDS and not named & IN_WORDS and not any(s[3] for s in stack):
-                    out += 1
-                if named & IN_WORDS and not out:
+                    out = 1.0
+                # "post share-enabled" is content, "comment-content" is not
+                if any(set(w) & IN_WORDS and not set(w) & OUT_WORDS for v in values for w in map(WORD.findall, v.lower().split())):
                     inside = max(inside, 1)
-            if HIDDEN.search(m[3]):
-                out += 1
+            sure = sure or bool(HIDDEN.search(m[3]))
         numbers += 1
-        stack.append((tag, numbers, out, inside))
+        stack.append((tag, numbers, out, inside, sure))
         links += tag == "a"
     parts.append(page[at:])
     flush()
     return blocks
 
 
-def costs(block: Block, rank: int) -> tuple[float, float]:
+def votes_out(blocks: list[Block]) -> list[float]:
+    """How strongly each block's containers name it boilerplate, 0 to 1."""
+    held: dict[int, int] = {}
+    total = 0
+    for block in blocks:
+        if not block.sure:
+            plain = max(0, len(block.text) - block.linked)
+            total += plain
+            for number, _ in block.out:
+                held[number] = held.get(number, 0) + plain
+    fade = {k: min(1.0, 4.0 * (1.0 - n / max(1, total))) for k, n in held.items()}
+    return [max((vote * fade.get(number, 1.0) for number, vote in b.out), default=0.0) for b in blocks]
+
+
+def costs(block: Block, named: bool, out: float) -> tuple[float, float]:
     """What it costs to call the block content, and to call it boilerplate.
 
-    rank: that of the page's best content container, 0 if nothing on the page names one.
+    named: whether the page names a content container; out: the block's of `votes_out`.
     """
-    if block.out:
+    if block.sure:
         return SURE, 0.0
-    if rank:
-        return (0.0, 4.0) if block.inside == rank else (4.0, 0.0)
     words = block.text.count(" ") + 1
     score = 0.08 * min(words, 40) - 1.2 + 0.6 * (block.text[-1] in ".!?…\"'”") + 0.8 * block.heading
     score -= 3.0 * block.linked / max(1, len(block.text))
+    score += INSIDE[block.inside] - OUTSIDE * (named and not block.inside) - OUT * out
     return max(0.0, -score), max(0.0, score)
 
 
@@ -229,8 +256,8 @@ def main_text(page: str | None) -> str:
     blocks = read_blocks(page or "")
     if not blocks:
         return ""
-    rank = max((b.inside for b in blocks if not b.out), default=0)
-    both = [costs(b, rank) for b in blocks]
+    named = any(b.inside for b in blocks if not b.sure)
+    both = [costs(b, named, out) for b, out in zip(blocks, votes_out(blocks), strict=True)]
     kept = min_cut([b for _, b in both], [a for a, _ in both], ties(blocks))
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 

@@ -151,6 +151,20 @@ def test_main_text_without_an_article_goes_by_the_cut():
     assert html_text.main_text(page) == "\n".join([long] * 3)
 
 
+def test_main_text_weighs_containers_against_text_and_neighbours():
+    long = "This paragraph has quite a lot of words, and it ends as sentences of a main text do, after some more of them."
+    nav = "<nav><a href=/>Home</a></nav>"
+    lead = f"{nav}<main><h1>The title</h1><p>{long}</p><article><p>{long}</p></article></main><footer>Imprint</footer>"
+    assert html_text.main_text(lead) == f"The title\n{long}\n{long}"
+    teaser = f"<article><a href=/x>Another story</a></article><div class=content><p>{long}</p><p>{long}</p></div>"
+    assert html_text.main_text(teaser) == f"{long}\n{long}"
+    for wrapper in ("form", "div class=sidebar-layout", "div class='post share-enabled'", "div class=widget"):
+        page = f"{nav}<{wrapper}><p>{long}</p><p>{long}</p></{wrapper.split()[0]}><div><a href=/t>Terms</a></div>"
+        assert html_text.main_text(page) == f"{long}\n{long}", wrapper
+    apart = f"<article><p>{long}</p><p>{long}</p><div class=comments><p>{long}</p></div><div hidden><p>{long}</p></div></article><nav><p>{long}</p></nav>"
+    assert html_text.main_text(apart) == f"{long}\n{long}"
+
+
 def test_min_cut_is_least_over_all_labellings():
     for _ in range(60):
         n = RANDOM.randint(1, 7)
