@@ -40,10 +40,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies."""
-    groups = ngram_join.components(docs, WIDTH, PERCENT)
-    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select(*COLUMNS)
+    """One row of each group of near copies; rows without words all stay.
+
+    It is that of the least doc_id, null after all others; among rows of one doc_id that of
+    the least text hash, and one of equal rows.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        groups = ngram_join.components(docs, WIDTH, PERCENT)
+        first = groups.where("doc_id = component_id").select("doc_id")
+        return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    # Ids do not name rows here: rows get a key of their own, by which groups are found.
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+    groups = ngram_join.components(keyed.select(F.col("key").alias("doc_id"), "text"), WIDTH, PERCENT)
+    groups = stored(groups.withColumnRenamed("doc_id", "key").distinct(), "row-groups")
+    named = keyed.select("key", "doc_id").join(groups.where("n_shingles > 0"), "key")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    first = named.groupBy("component_id").agg(least.alias("least")).select("least.key")
+    # A second hash, so that texts whose keys collide are not taken for equal rows.
+    found = keyed.join(first, "key", "left_semi").groupBy("key", F.xxhash64("text", F.lit(1)))
+    found = found.agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    wordless = keyed.join(groups.where("n_shingles = 0"), "key", "left_semi")
+    return found.unionByName(wordless.select(*COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

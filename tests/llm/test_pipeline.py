@@ -29,3 +29,13 @@ def test_no_documents_pass_through(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_one_row_of_a_group_stays_with_repeated_and_null_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, near_a = " ".join(words), " ".join([*words, "more"])
+    b, c = " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60))
+    rows = [(1, a), (1, a), (1, b), (2, near_a), (None, near_a), (None, c), (None, c), (3, b), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (4, ""), (4, ""), (None, None)], key=str)
