@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from obscast.config import CATALOG, Config
 from obscast.functions.calendar import is_morning
 from obscast.operators.metrics import safe_corr
-from obscast.sources.shared import cut
+from obscast.sources.shared import stored as cut
 
 MIN_DAYS = 30
 
