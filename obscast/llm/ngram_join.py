@@ -1,26 +1,29 @@
 """N-gram Jaccard join with a token-group matrix, to exact components of all links.
 
 1. Texts with equal shingle sets form one class; only classes are compared.
-2. Similar classes meet by exact signatures: within a range of sizes at most d shingles can
-   tell two linked sets apart, so of d + 1 parts of the shingle space one is equal in both.
-   Classes that share no part with another one are never looked at again.
-3. Each class is held against the most central class it shares a part with; these links are
-   contracted, so that a large group of near copies is mostly one component from here on.
-4. What is left is put into groups of similar classes. Each group stores the union of its
-   members' shingles. A class queries the groups that hold a larger component and share a
-   part; the overlap with the union bounds the overlap with any member, and only groups
-   whose bound reaches the threshold are opened. No pair inside a component is looked at.
-
-Defined results: null or empty texts and texts without words have no shingles, no links and
-their own doc_id as component; the smallest doc_id of equal texts stands for them; rows with
-a null doc_id are classes like others and come out with a null doc_id; texts are read whole;
-an empty table gives no rows; other columns of the input are not read.
+2. Linked sets share at least `ceil(t * n)` shingles, so their first `n - ceil(t * n) + 1 + x`
+   shingles by hash share `1 + x` (`first_tokens`). Only these columns of the matrix are
+   shuffled, once; a class of which fewer are shared with any other class has no link.
+3. Classes that are left are put into groups of similar ones, by the least hashes that they
+   share (`_runs`). A group is stored as its members and the union of their shingles, and
+   its members are held against each other.
+4. The columns, now per group, form the token-group matrix: how many columns of a class a
+   group's union holds bounds its overlap with any member, and only groups whose bound
+   reaches the threshold are opened. There the bound against the whole union is taken, then
+   the overlaps with its members.
+5. Step 4 runs twice: first against one central group for each column, so that a large group
+   of near copies becomes one component; then against the groups that hold a larger
+   component than the class's own. No pair inside a component is looked at.
+
+Null or empty texts and texts without words have no shingles, no links and their own doc_id
+as component; the smallest doc_id of equal texts stands for them; rows with a null doc_id
+come out with a null doc_id and link nothing; repeated rows are rows of one class; texts are
+read whole; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,40 +33,31 @@ from pyspark.sql import functions as F
 
 from obscast.llm.components import connected_components
 from obscast.llm.packing import slices
-from obscast.llm.shared import cut
+from obscast.llm.shared import Scratch, stored
 from obscast.llm.shingle_sets import mix, shingle_sets
 
 WIDTH, PERCENT = 3, 90
+#: Shingles in a hundred by which a class's columns exceed the fewest that have to meet.
+EXTRA = 10
 #: Most members and shingles of a group; a larger single set is a group of its own.
 GROUP_MEMBERS, GROUP_TOKENS = 256, 100_000
 #: Shingles of the queries that one task holds against one group at a time.
 BLOCK_TOKENS = 200_000
+#: Holders within one slice of a task from which a column is dealt out by class.
+HOT_HOLDERS = 16
 
+_GROUP = "grp long, cids array<long>, sizes array<int>, comps array<long>, tokens array<long>, members array<int>"
+_LINKS = "a long, b long"
 
-@lru_cache(maxsize=8)
-def size_ranges(percent: int) -> np.ndarray:
-    """Least sizes of the ranges; linked sets lie in one range or in two neighbours."""
-    lows = [1]
-    while lows[-1] < 1 << 40:
-        lows.append(lows[-1] * 100 // percent + 1)
-    return np.array(lows, np.int64)
 
+def first_tokens(n: int, percent: int) -> int:
+    """How many of a set's n shingles, by hash, are columns of the matrix."""
+    return min(n, n - -(-n * percent // 100) + 1 + n * EXTRA // 100)
 
-def part_signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted set: of each part, for its own size range and the one below."""
-    lows, out = size_ranges(percent), []
-    own = int(np.searchsorted(lows, len(tokens), side="right")) - 1
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ np.uint64(0x5BD1E995)))])
-        for c in (own - 1, own):
-            if c < 0:
-                continue
-            apart = (int(lows[c + 1]) - 1) * (100 - percent) // percent
-            borders = (np.arange(1, apart + 1, dtype=np.float64) * (2.0**64 / (apart + 1))).astype(np.uint64)
-            at = np.concatenate([[0], np.searchsorted(tokens, borders), [len(tokens)]])
-            part = np.arange(apart + 1, dtype=np.uint64) + np.uint64(c << 40)
-            out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(part + np.uint64(1))))
-    return np.concatenate(out).view(np.int64)
+
+def least_shared(n: int, percent: int) -> int:
+    """How many columns a set of n shingles shares with any set it is linked with."""
+    return 1 + -(-n * percent // 100) * EXTRA // 100
 
 
 def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
@@ -73,110 +67,92 @@ def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    ids = batch.column(0).to_pylist()
-    texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-    for part in slices([len(t) for t in texts], 2_000_000):
-        yield ids[part], shingle_sets(texts[part], width)
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
-def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit hash (node, check) of each text's shingle set."""
+def _deal(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each class's columns that have to be counted, and those known to be shared.
+
+    A column with many holders in the slice is shared beyond doubt; two of its holders go on
+    telling others so, the rest need not meet at one place.
+    """
+    if not columns:
+        return [], []
+    values, ends = np.concatenate(columns), np.cumsum([len(c) for c in columns])[:-1]
+    _, which, holders = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(which, kind="stable")
+    place = np.empty(len(values), np.int64)
+    place[order] = np.arange(len(values)) - np.repeat(np.cumsum(holders) - holders, holders)
+    hot = (holders[which] >= HOT_HOLDERS) & (place >= 2)
+    masks = np.split(hot, ends)
+    return [c[~m] for c, m in zip(columns, masks, strict=True)], [c[m] for c, m in zip(columns, masks, strict=True)]
+
+
+def shingled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per text: doc_id, n_shingles, a 128-bit hash (node, check) of its shingle set,
+    and, once for a class and task, its columns of the matrix (counted, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        none = np.zeros(0, np.uint64)
         for batch in batches:
-            for ids, sets in _sets(batch, width):
+            ids = batch.column(0)
+            texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            for part in slices([len(t) for t in texts], 2_000_000):
+                sets = shingle_sets(texts[part], width)
                 hashes = [_set_hash(s) for s in sets]
-                columns = [ids, [len(s) for s in sets], [h[0] for h in hashes], [h[1] for h in hashes]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n_shingles", "node", "check"])
+                counted, hot = [none] * len(sets), [none] * len(sets)
+                new = []
+                for k, (s, h) in enumerate(zip(sets, hashes, strict=True)):
+                    if len(s) and h not in seen:
+                        seen.add(h)
+                        new.append(k)
+                firsts = [sets[k][: first_tokens(len(sets[k]), percent)] for k in new]
+                for k, c, h in zip(new, *_deal(firsts), strict=True):
+                    counted[k], hot[k] = c, h
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids[part], pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()),
+                        _lists(counted), _lists(hot),
+                    ],
+                    ["doc_id", "n_shingles", "node", "check", "counted", "hot"],
+                )
+
+    schema = "doc_id long, n_shingles long, node long, check long, counted array<long>, hot array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
 
-
-def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, sig) of every text with shingles; a copy repeats its class's rows."""
+def _token_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(node, check, tokens) of every text with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in _sets(batch, width):
-                sets = {_set_hash(s)[0]: s for s in sets if len(s)}
-                if not sets:
-                    continue
-                sigs = [part_signatures(s, percent) for s in sets.values()]
-                nodes = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sigs])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sigs))], ["node", "sig"])
+            texts = [t or b"" for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
+            for part in slices([len(t) for t in texts], 2_000_000):
+                sets = [s for s in shingle_sets(texts[part], width) if len(s)]
+                hashes = [_set_hash(s) for s in sets]
+                columns = [pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, _lists(sets)], ["node", "check", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, sig long")
+    return docs.select("text").mapInArrow(run, "node long, check long, tokens array<long>")
 
 
-def _token_sets(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, sets in _sets(batch, width):
-                nodes = [_set_hash(s)[0] for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "tokens"])
+def _shared_columns(found: DataFrame) -> DataFrame:
+    """(node, token) of the columns that more than one class holds; each row once."""
+    columns = found.where(F.size("counted") > 0).select("node", F.explode("counted").alias("token"))
+    same = Window.partitionBy("token")
+    met = columns.withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)}).where("lo < hi")
+    hot = found.where(F.size("hot") > 0).select("node", F.explode("hot").alias("token"))
+    return met.select("node", "token").union(hot).distinct()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, tokens array<long>")
 
-
-def _open_groups(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) of queries to members of one group, one for each query and component."""
-    empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    if not len(queries) or not len(members):
-        return empty
-    sets = [np.asarray(t) for t in members["tokens"]]
-    union, where = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets])
-    row = np.zeros((len(union), len(sets)), np.uint8)
-    row[where, np.repeat(np.arange(len(sets)), sizes)] = 1
-    nodes, comps, weights = (members[c].to_numpy() for c in ("node", "comp", "comp_size"))
-    a, b = [], []
-    asked = zip(*(queries[c] for c in ("node", "comp", "comp_size", "tokens")), strict=True)
-    for node, comp, weight, tokens in asked:
-        q = np.asarray(tokens)
-        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-        at = at[union[at] == q]
-        if 100 * len(at) < percent * len(q):
-            continue  # the bound: no member can overlap enough
-        above = (weights > weight) | ((weights == weight) & (comps > comp))
-        shared = row[at].sum(axis=0, dtype=np.int64)
-        linked = above & (100 * shared >= percent * (len(q) + sizes - shared))
-        seen = set()
-        for k in np.flatnonzero(linked).tolist():
-            if comps[k] not in seen:
-                seen.add(comps[k])
-                a.append(node)
-                b.append(nodes[k])
-    return pd.DataFrame({"a": a, "b": b}, dtype="int64") if a else empty
-
-
-def _verify(pairs: DataFrame, asking: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of `pairs` (node, grp) with the members of the groups that rank above.
-
-    asking: node, n, comp, comp_size; held: the same of the members with their grp; sets: node,
-    tokens. A group's queries are dealt into blocks of bounded size, so a group that very
-    many query is spread over as many tasks as it needs.
-    """
-    columns = ["grp", "block", "node", "comp", "comp_size", "tokens"]
-    sized = pairs.join(asking.select("node", "n"), "node")
-    blocks = sized.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    queries = dealt.select("grp", "block", "node").join(asking, "node").join(sets, "node")
-    members = held.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.join(sets, "node")
-
-    def run(key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        return _open_groups(q, m, percent)
-
-    asked, shown = (d.select(*columns).toDF(*columns).groupBy("grp", "block") for d in (queries, members))
-    return asked.cogroup(shown).applyInPandas(run, "a long, b long")
-
-
-def _groups(nodes: DataFrame) -> DataFrame:
-    """(grp, node): neighbours by component and leading signature, in runs of bounded size."""
-    order = ("comp_size", "comp", "lead", "node")
+def _runs(classes: DataFrame) -> DataFrame:
+    """(grp, cid): classes that follow each other by their least shared hashes, in bounded runs."""
+    order = ("lead", "turn", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -185,70 +161,193 @@ def _groups(nodes: DataFrame) -> DataFrame:
         rows = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in order])
         members = tokens = 0
         grp, out = None, []
-        for node, n in zip(rows["node"].to_pylist(), rows["n"].to_pylist(), strict=True):
+        for cid, n in zip(rows["cid"].to_pylist(), rows["n"].to_pylist(), strict=True):
             if grp is None or members == GROUP_MEMBERS or tokens + n > GROUP_TOKENS:
-                grp, members, tokens = node, 0, 0
+                grp, members, tokens = cid, 0, 0
             members, tokens = members + 1, tokens + n
             out.append(grp)
-        found = [pa.array(out, pa.int64()), rows["node"].combine_chunks()]
-        yield pa.RecordBatch.from_arrays(found, ["grp", "node"])
+        found = [pa.array(out, pa.int64()), rows["cid"].combine_chunks()]
+        yield pa.RecordBatch.from_arrays(found, ["grp", "cid"])
 
-    # A task orders a range of some thousand rows of five numbers; ranges are joined to that
+    # A task orders a range of some thousand rows of four numbers; ranges are joined to that
     # size first, so that their borders cut few groups short.
-    parts = max(1, nodes.count() // (16 * GROUP_MEMBERS))
-    near = nodes.select(*order, "n").repartitionByRange(*order).coalesce(parts)
-    return near.mapInArrow(run, "grp long, node long")
+    parts = max(1, classes.count() // (16 * GROUP_MEMBERS))
+    near = classes.select(*order, "n").repartitionByRange(*order).coalesce(parts)
+    return near.mapInArrow(run, "grp long, cid long")
+
+
+def _incidence(members: list[np.ndarray], width: int) -> np.ndarray:
+    """Which token of the union (row) which member (column) holds."""
+    held = np.zeros((width, len(members)), np.uint8)
+    held[np.concatenate(members), np.repeat(np.arange(len(members)), [len(m) for m in members])] = 1
+    return held
+
+
+def _group_of(members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """One group's row: its members, the union of their shingles and its inner components."""
+    members = members.sort_values("cid")
+    sets = [np.asarray(t).view(np.uint64) for t in members["tokens"]]
+    sizes = np.array([len(s) for s in sets])
+    union, where = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(where, np.cumsum(sizes)[:-1])
+    comp = np.arange(len(sets))
+    if len(sets) > 1:
+        held = _incidence(places, len(union))
+        for k, at in enumerate(places[:-1]):
+            if (comp == comp[k]).all():
+                continue
+            shared = held[at, k + 1 :].sum(axis=0, dtype=np.int64)
+            near = 100 * shared >= percent * (sizes[k] + sizes[k + 1 :] - shared)
+            for other in set(comp[k + 1 :][near].tolist()) - {comp[k]}:
+                low, high = sorted((int(comp[k]), other))
+                comp[comp == high] = low
+    cids = members["cid"].to_numpy()
+    row = {
+        "grp": int(members["grp"].iloc[0]), "cids": cids, "sizes": sizes, "comps": cids[comp],
+        "tokens": union.view(np.int64), "members": np.concatenate(places),
+    }
+    return pd.DataFrame([row])
+
+
+def _open(queries: pd.DataFrame, group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) of queries to members of one group, one for each query and component."""
+    a, b = [], []
+    if len(queries) and len(group):
+        row = group.iloc[0]
+        union, sizes, cids = np.asarray(row["tokens"]).view(np.uint64), np.asarray(row["sizes"]), np.asarray(row["cids"])
+        held = _incidence(np.split(np.asarray(row["members"]), np.cumsum(sizes)[:-1]), len(union))
+        place = {p["cid"]: (p["comp_size"], p["comp"]) for p in row["places"]}
+        weights, comps = (np.array([place[c][k] for c in cids.tolist()]) for k in (0, 1))
+        asked = zip(*(queries[c] for c in ("cid", "comp", "comp_size", "tokens")), strict=True)
+        for cid, comp, weight, tokens in asked:
+            q = np.asarray(tokens).view(np.uint64)
+            at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+            at = at[union[at] == q]
+            if 100 * len(at) < percent * len(q):
+                continue  # the bound against the whole union: no member can overlap enough
+            above = (weights > weight) | ((weights == weight) & (comps > comp))
+            shared = held[at].sum(axis=0, dtype=np.int64)
+            linked = above & (100 * shared >= percent * (len(q) + sizes - shared))
+            seen = set()
+            for k in np.flatnonzero(linked).tolist():
+                if comps[k] not in seen:
+                    seen.add(comps[k])
+                    a.append(cid)
+                    b.append(int(cids[k]))
+    return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+
+
+def _links(pairs: DataFrame, asking: DataFrame, places: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of `pairs` (cid, grp) with the members of the groups that rank above.
+
+    asking: cid, comp, comp_size; places: grp, cid, comp, comp_size of members. A group's
+    queries are dealt into blocks of bounded size, so a group that very many classes query is
+    spread over as many tasks as it needs.
+    """
+    blocks = pairs.join(sets.select("cid", "n"), "cid").groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    queries = dealt.select("grp", "block", "cid").join(asking, "cid").join(sets.select("cid", "tokens"), "cid")
+    held = places.groupBy("grp").agg(F.collect_list(F.struct("cid", "comp", "comp_size")).alias("places"))
+    opened = groups.drop("comps").join(held, "grp").join(blocks, "grp")
+    opened = opened.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def run(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        return _open(q, g, percent)
+
+    return queries.groupBy("grp", "block").cogroup(opened.groupBy("grp", "block")).applyInPandas(run, _LINKS)
 
 
-def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, comp): the classes with a link and their components, by least node.
+def class_links(
+    docs: DataFrame, found: DataFrame, classes: DataFrame, width: int, percent: int,
+    scratch: Scratch, trace: dict | None = None,
+) -> DataFrame:
+    """(node, check, comp): the classes that may have a link and their components, by number.
 
-    classes: node, rep (a doc_id that has the set), n (its size).
+    found: the rows of `shingled`; classes: node, check, rep (a doc_id that has the set), n.
+    trace, if given, is told how many classes were asked, and how many pairs of class and
+    group met in a column and were opened.
     """
-    sigs = _signatures(docs, width, percent)
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    rows = cut(sigs.join(shared.select("sig"), "sig").select("sig", "node").distinct())
-
-    weight = rows.groupBy("node").agg(F.count("*").alias("w"), F.min("sig").alias("lead"))
-    nodes = cut(weight.join(classes.select("node", "rep", "n"), "node"))
-    active = docs.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = cut(_token_sets(active, width).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-
-    # A class with more of its parts shared has fewer changes of its own: it leads.
-    share = nodes.select("node", (F.col("w") / F.col("n")).alias("share"))
-    central = rows.join(share, "node").groupBy("sig").agg(F.max_by("node", F.struct("share", "node")).alias("grp"))
-    stars = rows.join(central, "sig").where("node <> grp").select("node", "grp").distinct()
-    alone = nodes.select("node", "n", F.col("node").alias("comp"), F.lit(0).cast("long").alias("comp_size"))
-    leaders = central.select(F.col("grp").alias("node")).distinct().join(alone, "node")
-    leaders = leaders.withColumn("comp_size", F.lit(1).cast("long")).withColumn("grp", F.col("node"))
-    first = cut(_verify(stars, alone, leaders, sets, percent))
-
-    comps = connected_components(first).toDF("node", "comp")
-    named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = named.groupBy("comp").agg(F.count("*").alias("comp_size"))
-    named = cut(named.join(sizes, "comp").select("node", "n", "lead", "comp", "comp_size"))
-    place = named.select("node", F.struct("comp_size", "comp").alias("place"))
-    placed = rows.join(place, "node")
-    mixed = placed.groupBy("sig").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
-    left = cut(placed.join(mixed.select("sig"), "sig"))
-    open_nodes = cut(named.join(left.select("node").distinct(), "node", "left_semi"))
-    groups = cut(_groups(open_nodes))
-    matrix = left.join(groups, "node").groupBy("sig", "grp").agg(F.max("place").alias("top"))
-    pairs = cut(left.join(matrix, "sig").where("place < top").select("node", "grp").distinct())
-    second = _verify(pairs, named.drop("lead"), groups.join(named.drop("lead"), "node"), sets, percent)
-    return connected_components(first.union(second)).toDF("node", "comp")
-
-
-def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    shared = scratch.cut(_shared_columns(found))
+    weight = shared.groupBy("node").agg(
+        F.count("*").alias("w"), F.min("token").alias("lead"), F.min(F.xxhash64("token")).alias("turn")
+    )
+    least = f"1 + ((least * {percent} + 99) div 100) * {EXTRA} div 100"
+    sizes = classes.groupBy("node").agg(F.min("n").alias("least"))
+    active = scratch.cut(weight.join(sizes, "node").where(f"w >= {least}").drop("least"))
+
+    reps = classes.join(active.select("node"), "node", "left_semi")
+    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = _token_sets(texts, width).join(active, "node").dropDuplicates(["node", "check"])
+    # From here on a class goes by its number; equal halves of two hashes are told apart.
+    sets = scratch.cut(sets.withColumns({"cid": F.monotonically_increasing_id(), "n": F.size("tokens")}))
+    runs = scratch.cut(_runs(sets.select("cid", "n", "lead", "turn")))
+    inside = sets.select("cid", "tokens").join(runs, "cid").groupBy("grp")
+    groups = scratch.cut(inside.applyInPandas(lambda part: _group_of(part, percent), _GROUP))
+    own = groups.select("grp", F.explode(F.arrays_zip("cids", "comps")).alias("m")).select(
+        "grp", F.col("m.cids").alias("cid"), F.col("m.comps").alias("comp")
+    )
+    columns = f"least(n, n - (n * {percent} + 99) div 100 + 1 + n * {EXTRA} div 100)"
+    named = sets.select("node", "cid", F.expr(least.replace("least", "n")).alias("need"), F.expr(f"w / {columns}").alias("share"))
+    rows = scratch.cut(shared.join(named, "node").join(runs, "cid").select("token", "cid", "grp", "need", "share"))
+
+    def bounded(met: DataFrame, name: str) -> DataFrame:
+        """The pairs (cid, grp) of `met` (a row for each column shared) whose bound suffices."""
+        pairs = scratch.cut(met.groupBy("cid", "grp", "need").agg(F.count("*").alias("columns")))
+        opened = pairs.where("columns >= need").select("cid", "grp")
+        if trace is not None:
+            trace[f"met_{name}"], trace[f"opened_{name}"] = pairs.count(), opened.count()
+        return opened
+
+    # A class with more of its columns shared has fewer changes of its own: near copies that
+    # lie in several groups meet in the group of the one they were made from.
+    center = rows.groupBy("token").agg(
+        F.max_by("grp", F.struct("share", "cid")).alias("center"), F.min("grp").alias("lo"), F.max("grp").alias("hi")
+    )
+    center = center.where("lo < hi").select("token", "center")
+    met = rows.join(center, "token").where("grp <> center").select("cid", F.col("center").alias("grp"), "need")
+    first = bounded(met, "central")
+    alone = sets.select("cid", F.lit(-1).cast("long").alias("comp"), F.lit(-1).cast("long").alias("comp_size"))
+    first_links = _links(first, alone, own.withColumn("comp_size", F.lit(0).cast("long")), groups, sets, percent)
+    by_group = own.select("cid", "comp")
+    a, b = (by_group.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+    ends = scratch.cut(first_links.join(a, "a").join(b, "b").select("comp_a", "comp_b"))
+    merged = connected_components(ends, scratch).toDF("comp", "whole")
+    comps = by_group.join(merged, "comp", "left").select("cid", F.coalesce("whole", "comp").alias("comp"))
+    comp_sizes = comps.groupBy("comp").agg(F.count("*").alias("comp_size"))
+    comps = scratch.cut(comps.join(comp_sizes, "comp"))
+
+    place = comps.select("cid", F.struct("comp_size", "comp").alias("place"))
+    placed = rows.join(place, "cid")
+    mixed = placed.groupBy("token").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
+    left = scratch.cut(placed.join(mixed.select("token"), "token"))
+    top = left.groupBy("token", "grp").agg(F.max("place").alias("top")).withColumnRenamed("grp", "other")
+    met = left.join(top, "token").where("place < top").select("cid", F.col("other").alias("grp"), "need")
+    second = bounded(met, "other").join(first, ["cid", "grp"], "left_anti")
+    links = _links(second, comps, runs.join(comps, "cid"), groups, sets, percent)
+    a, b = (comps.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+    ends = scratch.cut(links.join(a, "a").join(b, "b").select("comp_a", "comp_b"))
+    merged = connected_components(ends, scratch).toDF("comp", "whole")
+    whole = comps.join(merged, "comp", "left").select("cid", F.coalesce("whole", "comp").alias("comp"))
+    if trace is not None:
+        trace["classes"], trace["groups"] = sets.count(), groups.count()
+    return sets.select("node", "check", "cid").join(whole, "cid").select("node", "check", "comp")
+
+
+def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trace: dict | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; linked when 100 * both >= percent * either."""
-    digests = cut(set_digests(docs, width))
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    found = scratch.cut(shingled(docs, width, percent))
+    digests = found.select("doc_id", "n_shingles", "node", "check")
     some = digests.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
-    comps = class_links(docs, classes, width, percent)
-    labelled = classes.join(comps, "node")
+    classes = scratch.cut(some.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+    comps = class_links(docs, found, classes, width, percent, scratch, trace)
+    labelled = scratch.cut(classes.join(comps, ["node", "check"]).select("node", "check", "rep", "comp"))
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = classes.join(labelled.join(least, "comp").select("node", "component_id"), "node", "left")
+    linked = labelled.join(least, "comp").select("node", "check", "component_id")
+    named = classes.join(linked, ["node", "check"], "left")
     named = named.select("node", "check", F.coalesce("component_id", "rep").alias("component_id"))
-    found = digests.join(named, ["node", "check"], "left")
+    labels = digests.join(named, ["node", "check"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return found.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
+    out = stored(labels.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id")), "ngram-components")
+    scratch.close()
+    return out

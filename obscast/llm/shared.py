@@ -1,37 +1,9 @@
-"""The folder that driver and executors share, and lineage cuts written to it."""
+"""Shared-folder helpers of the library, under the names that the operators use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from obscast.sources.shared import Scratch, remove, shared_dir, shared_path, stored
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["Scratch", "cut", "remove", "shared_dir", "shared_path", "stored"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; an own folder only where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and read back from the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and reread: typed, splittable, prunable."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+cut = stored

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
@@ -19,37 +19,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of _P and of its inverse modulo 2 ** 64."""
-    inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-    out = []
-    with np.errstate(over="ignore"):
-        for base in (_P, inverse):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+#: Keeps the first k bytes of a little-endian word of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one by a cryptographic hash.
+LONG_WORD = 512
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the ASCII-lower-cased words of all texts in order, and words per text."""
-    raw = np.frombuffer(b" ".join(t.translate(_LOWER) for t in texts) + b" ", np.uint8)
+    """64-bit hashes of the ASCII-lower-cased words of all texts in order, and words per text.
+
+    A word is hashed eight bytes at a time, every block folded in by a multiplication and a
+    mix of all bits, for all words that are that long at once.
+    """
+    data = b" ".join(t.translate(_LOWER) for t in texts) + b" " * 9
+    raw = np.frombuffer(data, np.uint8)
     space = _SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
-    begin, end = edge[0::2], edge[1::2]
+    begin, size = edge[0::2], edge[1::2] - edge[0::2]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     counts = np.diff(np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)])))
     if not len(begin):
         return np.zeros(0, np.uint64), counts
-    # A word's polynomial hash is a difference of prefix sums, shifted back to its start.
-    powers, inverses = _powers(1 << int(len(raw)).bit_length())
+    eight = np.ndarray(len(raw) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place
     with np.errstate(over="ignore"):
-        sums = np.cumsum((raw + np.uint64(1)) * powers[: len(raw)])
-        low = np.where(begin > 0, sums[begin - 1], np.uint64(0))
-        return mix((sums[end - 1] - low) * inverses[begin] + (end - begin).astype(np.uint64)), counts
+        hashes = mix((eight[begin] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _P))
+        at, rest = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        while len(rest):
+            block = eight[begin[rest] + at] & _FIRST[np.minimum(size[rest] - at, 8)]
+            hashes[rest] = mix(hashes[rest] * _P ^ block)
+            at += 8
+            rest = rest[size[rest] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[begin[k] : begin[k] + size[k]], digest_size=8).digest()
+        hashes[k] = int.from_bytes(digest, "little")
+    return hashes, counts
 
 
 def _distinct(hashes: np.ndarray) -> np.ndarray:

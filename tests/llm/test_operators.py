@@ -90,6 +90,7 @@ def least_reachable(sets, percent):
 @pytest.mark.parametrize(("width", "percent", "members"), [(3, 90, 256), (5, 80, 3)])
 def test_components_are_those_of_all_pairs(docs, texts, monkeypatch, width, percent, members):
     monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "HOT_HOLDERS", 3)
     sets = {3 * k: shingles(t, width) for k, t in enumerate(texts)}
     want = least_reachable(sets, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs, width, percent).collect()}
@@ -105,16 +106,57 @@ def test_components_of_no_and_odd_rows(spark, empty):
     assert got == [(-1, 7), (7, 7), (7, 7), (9, 9)]
 
 
-def test_part_signatures_meet_for_every_linked_pair():
-    for _ in range(200):
+def test_columns_of_linked_sets_meet_often_enough():
+    for _ in range(400):
+        percent = RANDOM.choice([80, 90])
         n = RANDOM.randint(1, 300)
         a = RANDOM.sample(range(1 << 60), n)
-        cut = RANDOM.randint(0, max(0, n // 12))
+        cut = RANDOM.randint(0, max(0, n // 8))
         b = a[cut:] + RANDOM.sample(range(1 << 60), RANDOM.randint(0, max(0, n // 20)))
-        if not b or 100 * len(set(a) & set(b)) < 90 * len(set(a) | set(b)):
+        if not b or 100 * len(set(a) & set(b)) < percent * len(set(a) | set(b)):
             continue
-        sigs = [set(ngram_join.part_signatures(np.array(sorted(s), np.uint64), 90).tolist()) for s in (a, b)]
-        assert sigs[0] & sigs[1]
+        first = [set(sorted(s)[: ngram_join.first_tokens(len(s), percent)]) for s in (a, b)]
+        assert len(first[0] & first[1]) >= max(ngram_join.least_shared(len(s), percent) for s in (a, b))
+
+
+def test_columns_with_many_holders_are_dealt_out_but_told_twice():
+    columns = [np.array([1, 10 + k], np.uint64) for k in range(20)] + [np.array([1000, 2000], np.uint64)]
+    counted, hot = ngram_join._deal(columns)
+    assert [sorted([*c, *h]) for c, h in zip(counted, hot, strict=True)] == [c.tolist() for c in columns]
+    assert sum(1 in c for c in counted) == 2 and sum(1 in h for h in hot) == 18 and all(set(h) <= {1} for h in hot)
+
+
+def test_most_groups_are_not_opened_and_large_groups_of_copies_become_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 8)
+    shared = " ".join(f"p{k}" for k in range(60))  # a passage of a third of each text
+    rows = [" ".join(RANDOM.choices(VOCABULARY, k=120)) + " " + shared for _ in range(150)]
+    rows += [edited(rows[0], 1) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    trace = {}
+    got = {r.doc_id: r.component_id for r in ngram_join.components(docs, trace=trace).collect()}
+    assert got == least_reachable({k: shingles(t, 3) for k, t in enumerate(rows)}, 90)
+    assert trace["groups"] > 10
+    asked = trace["opened_central"] + trace["opened_other"]
+    assert 0 < asked < 4 * trace["classes"] and asked < trace["classes"] * trace["groups"] / 3
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a  # Thue-Morse words of 2,048 letters
+    short, tall = "".join(RANDOM.choices("xyz", k=40)), "c" * 513
+    texts = [a, b, short, short[::-1], tall, tall + "c", "c" * 512, "c" * 8, "c" * 7]
+    found = [s.tolist() for s in shingle_sets([t.encode() for t in texts], 3)]
+    assert len({tuple(s) for s in found}) == len(texts)
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.components(docs).collect()} == {1, 2}
+
+
+def test_one_very_long_text_and_its_near_copy(spark):
+    words = [f"{k}word" for k in range(250_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[5:])), (3, " ".join(words[:200_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.components(docs).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_connected_components_of_a_chain(spark):
