@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from obscast.llm import langid, line_dedup, ngram_join, packing, quality
 from obscast.llm.queries import tokenizer_path
-from obscast.llm.shared import stored
+from obscast.llm.shared import Scratch, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Predictions below this calibrated probability do not count as a language.
@@ -82,7 +82,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each one's rows written and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    scratch = Scratch(spark, "pipeline")
+    before, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        after = scratch.cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs = after
+    packed = stored(STAGES[-1][1](spark, docs, sf_dir), "pipeline-packed")
+    scratch.close()
+    return packed
