@@ -43,6 +43,8 @@ EXTRA = 10
 GROUP_MEMBERS, GROUP_TOKENS = 256, 100_000
 #: Shingles of the queries that one task holds against one group at a time.
 BLOCK_TOKENS = 200_000
+#: How often classes without enough columns are taken out before groups are made.
+PEELS = 2
 #: Holders within one slice of a task from which a column is dealt out by class.
 HOT_HOLDERS = 16
 
@@ -141,13 +143,18 @@ def _token_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, check long, tokens array<long>")
 
 
+def _met(columns: DataFrame) -> DataFrame:
+    """The rows (node, token) whose token more than one node holds."""
+    same = Window.partitionBy("token")
+    met = columns.withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)}).where("lo < hi")
+    return met.select("node", "token")
+
+
 def _shared_columns(found: DataFrame) -> DataFrame:
     """(node, token) of the columns that more than one class holds; each row once."""
     columns = found.where(F.size("counted") > 0).select("node", F.explode("counted").alias("token"))
-    same = Window.partitionBy("token")
-    met = columns.withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)}).where("lo < hi")
     hot = found.where(F.size("hot") > 0).select("node", F.explode("hot").alias("token"))
-    return met.select("node", "token").union(hot).distinct()
+    return _met(columns).union(hot).distinct()
 
 
 def _runs(classes: DataFrame) -> DataFrame:
@@ -267,13 +274,20 @@ def class_links(
     trace, if given, is told how many classes were asked, and how many pairs of class and
     group met in a column and were opened.
     """
-    shared = scratch.cut(_shared_columns(found))
-    weight = shared.groupBy("node").agg(
-        F.count("*").alias("w"), F.min("token").alias("lead"), F.min(F.xxhash64("token")).alias("turn")
-    )
     least = f"1 + ((least * {percent} + 99) div 100) * {EXTRA} div 100"
     sizes = classes.groupBy("node").agg(F.min("n").alias("least"))
-    active = scratch.cut(weight.join(sizes, "node").where(f"w >= {least}").drop("least"))
+
+    def enough(columns: DataFrame) -> DataFrame:
+        """The classes that share as many columns as any link needs, with marks of likeness."""
+        weight = columns.groupBy("node").agg(
+            F.count("*").alias("w"), F.min("token").alias("lead"), F.min(F.xxhash64("token")).alias("turn")
+        )
+        return weight.join(sizes, "node").where(f"w >= {least}").drop("least")
+
+    shared = scratch.cut(_shared_columns(found))
+    for _ in range(PEELS):  # columns shared with classes that are out do not count
+        shared = scratch.cut(_met(shared.join(enough(shared).select("node"), "node", "left_semi")))
+    active = scratch.cut(enough(shared))
 
     reps = classes.join(active.select("node"), "node", "left_semi")
     texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
