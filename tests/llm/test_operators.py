@@ -239,13 +239,50 @@ def test_lines_stay_in_the_last_of_three_documents(spark):
     }
 
 
-def test_runs_compact_and_keep_their_counts(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
+def test_runs_compact_anti_join_and_lie_where_they_are_needed(spark):
+    runs = line_dedup.LineRuns(spark, buckets=2, fanout=2, min_docs=3)
+    rows = [(4 - k, *r, k) for k in range(5) for r in ((1, 1, 2), (k, 9, 1), (7, 7, 1))]
+    runs.stage(spark.createDataFrame(rows, "batch int, h1 long, h2 long, docs long, top long"))
     for k in range(5):
-        runs.add(spark.createDataFrame([(1, 1, 2, k), (k, 9, 1, k)], "h1 long, h2 long, docs long, top long"))
+        if k:
+            plan = runs.fresh(runs.batch(k))._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        runs.add(k)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    found = {(r.h1, r.h2): (r.docs, r.top) for r in runs.all().collect()}
-    assert found == {(1, 1): (10, 4)} | {(k, 9): (1, k) for k in range(5)}
+    found = {(r.h1, r.h2): (r.docs, r.top) for r in runs.merged().collect()}
+    # Settled keys are not written again: (1, 1) after two batches, (7, 7) after three.
+    assert found == {(1, 1): (4, 4), (7, 7): (3, 4)} | {(k, 9): (1, k) for k in range(5)}
+    runs.close()
+
+
+def test_line_hashes_are_independent(spark):
+    rows = spark.range(64).select(F.concat(F.lit("line "), "id").alias("k")).select("k", *line_dedup.key_hash(F.col("k"))).collect()
+    assert [r.k for r in sorted(rows, key=lambda r: r.h1)] != [r.k for r in sorted(rows, key=lambda r: r.h2)]
+    chained = spark.createDataFrame(rows).select(F.hash("h1").alias("x"), "h1", "h2", F.xxhash64("k", F.lit("line")).alias("c"))
+    assert all(r.h2 != r.c for r in chained.collect())
+
+
+def test_lines_as_by_brute_force_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY", 4)
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 20)
+    pool = [f"{k:04d} is the number of this line" for k in range(25)] + ["short"] * 3
+    texts = {3 * k: "\n".join(["", " "][k % 2] + RANDOM.choice(pool)[: RANDOM.choice([30, 30, 24])].swapcase() for _ in range(RANDOM.randint(0, 9))) for k in range(60)}
+    texts[7] = "\n".join(pool[k % 25] for k in range(3000))
+    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for k, t in texts.items():
+        for x in t.split("\n"):
+            holders[key(x)].add(k)
+    gone = {x: max(h) for x, h in holders.items() if len(x) >= 20 and len(h) >= 3}
+    assert len(gone) > 10
+    docs = spark.createDataFrame([(k, t, "a", "b", "c", 5) for k, t in texts.items()], "doc_id long, text string, __gone string, whole string, of string, n_dropped int")
+    for batches, fanout in ((1, 4), (7, 2)):
+        got = line_dedup.dedup(docs, batches, fanout)
+        assert got.columns == [*docs.columns, "n_lines"]
+        for r in got.collect():
+            lines = texts[r.doc_id].split("\n")
+            kept = [x for x in lines if gone.get(key(x), r.doc_id) == r.doc_id]
+            assert (r.text, r.n_lines, r.n_dropped, r.whole) == ("\n".join(kept), len(lines), len(lines) - len(kept), "b")
 
 
 def test_line_dedup_of_nothing_and_of_repeated_ids(spark, empty):
@@ -253,6 +290,9 @@ def test_line_dedup_of_nothing_and_of_repeated_ids(spark, empty):
     line = "a line of more than twenty characters"
     rows = [(1, line), (1, line), (2, line)]
     assert {r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {line}
+    rows = [(1, line), (1, f"x\n{line}"), (1, f"{line}\n{line}\ny"), (2, line), (3, f"z\n{line}")]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, ""), (1, "x"), (1, "y"), (2, ""), (3, f"z\n{line}")]
 
 
 # -- 4: fingerprints ----------------------------------------------------------------------------
