@@ -1,15 +1,18 @@
 """Chat formatting as prefix trees: turns that conversations share are emitted once.
 
-A tree holds conversations with the same first turn. Its text is laid out depth-first; each
-node knows where its text begins there (`start`), at which position of a conversation it
-begins (`position`, the sum of its ancestors' lengths), and which intervals of the layout it
-may attend to (its ancestors and itself, joined where they touch). The loss mask of a node
-covers the text of an assistant turn and nothing else. Lengths count code points.
-
-Trees are bounded: the conversations of one first turn are dealt by a hash into as many
-trees as hold at most MAX_CONVERSATIONS conversations and about MAX_CHARS code points each,
-so a first turn or conversation that a third of all rows share is spread over tasks. A
-single conversation is always laid out in one piece.
+Conversations are dealt out and ordered by their turns (`format_trees`: a range over the path
+of turn hashes, then conv_id), so those that share turns follow each other. A task lays its
+conversations out depth-first, in one row (a layout) up to about MAX_CHARS code points or
+MAX_CONVERSATIONS conversations: what a conversation shares with the one before it is there
+already, only the rest is emitted. A layout can be read, and trained on, by itself; between
+two layouts at most the turns of the path that the border cuts are emitted again, however
+many conversations hold them. A single conversation is always laid out in one piece.
+
+Each node (a turn in its context) knows where its text begins in the layout (`starts`), at
+which position of a conversation it begins (`positions`, the sum of its ancestors' lengths),
+and which intervals of the layout it may attend to (`attends`: its ancestors and itself,
+joined where they touch). The loss mask of a node covers the text of an assistant turn and
+nothing else. Lengths count code points.
 
 Defined results: null roles and texts are empty; turns sort by turn, then role and text,
 nulls first; repeated rows are turns of their own; rows with a null conv_id are one
@@ -21,16 +24,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
-MAX_CONVERSATIONS, MAX_CHARS = 512, 2_000_000
+MAX_CONVERSATIONS, MAX_CHARS = 50_000, 2_000_000
 
-NODE = "struct<start:long,length:long,position:long,parent:int,loss_start:long,loss_length:long,attends:array<struct<begin:long,end:long>>>"
-TREE = f"text string, nodes array<{NODE}>, convs array<struct<conv_id:long,leaf:int>>"
+NUMBERS = ("starts", "lengths", "positions", "loss_starts", "loss_lengths")
+TREE = (
+    f"text string, {', '.join(f'{c} array<long>' for c in NUMBERS)}, parents array<int>,"
+    " attends array<array<struct<begin:long,end:long>>>, conv_ids array<long>, leaves array<int>"
+)
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.S)
 
 
@@ -40,6 +48,8 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.S)
 
 
@@ -61,98 +71,129 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def build_tree(convs: list[tuple[int | None, list[tuple[str, str]]]]) -> dict:
-    """Layout of one tree of conversations (conv_id, turns)."""
-    children: list[dict[tuple[str, str], int]] = [{}]
-    turn_of: list[tuple[str, str] | None] = [None]
-    leaves = []
-    for conv_id, turns in convs:
-        at = 0
-        for turn in turns:
-            if turn not in children[at]:
-                children[at][turn] = len(children)
-                children.append({})
-                turn_of.append(turn)
-            at = children[at][turn]
-        leaves.append((conv_id, at))
-    texts, nodes, place, total = [], [], {}, 0
-    stack = [(c, -1) for c in reversed(children[0].values())]
-    while stack:
-        node, parent = stack.pop()
-        text, loss_at, loss_length = format_turn(*turn_of[node])
-        above = nodes[parent] if parent >= 0 else None
-        attends = [dict(i) for i in above["attends"]] if above else []
-        if attends and attends[-1]["end"] == total:
-            attends[-1]["end"] = total + len(text)
-        else:
-            attends.append({"begin": total, "end": total + len(text)})
-        place[node] = len(nodes)
-        nodes.append({
-            "start": total, "length": len(text), "parent": parent,
-            "position": above["position"] + above["length"] if above else 0,
-            "loss_start": total + loss_at, "loss_length": loss_length, "attends": attends,
-        })
-        texts.append(text)
-        total += len(text)
-        stack += [(c, place[node]) for c in reversed(children[node].values())]
-    found = [{"conv_id": c, "leaf": place.get(n, -1)} for c, n in leaves]
-    return {"text": "".join(texts), "nodes": nodes, "convs": found}
+class Layout:
+    """The depth-first layout of conversations that come in the order of their turns."""
+
+    def __init__(self, most: int = MAX_CONVERSATIONS, chars: int = MAX_CHARS) -> None:
+        self.most, self.chars = most, chars
+        self.texts: list[str] = []
+        self.size = 0
+        self.numbers: dict[str, list[int]] = {c: [] for c in NUMBERS}
+        self.parents: list[int] = []
+        self.attends: list[list[tuple[int, int]]] = []
+        self.conv_ids: list[int | None] = []
+        self.leaves: list[int] = []
+        self.path: list[tuple[tuple[str, str], int]] = []  # turns of the last conversation and their nodes
+
+    def add(self, conv_id: int | None, turns: list[tuple[str, str]]) -> None:
+        same = 0
+        while same < min(len(turns), len(self.path)) and self.path[same][0] == turns[same]:
+            same += 1
+        del self.path[same:]
+        for turn in turns[same:]:
+            self._emit(turn)
+        self.conv_ids.append(conv_id)
+        self.leaves.append(self.path[-1][1] if self.path else -1)
+
+    def _emit(self, turn: tuple[str, str]) -> None:
+        text, loss_at, loss_length = format_turn(*turn)
+        parent = self.path[-1][1] if self.path else -1
+        held, start, end = self.numbers, self.size, self.size + len(text)
+        above = self.attends[parent] if parent >= 0 else []
+        joined = above and above[-1][1] == start
+        self.attends.append([*above[:-1], (above[-1][0], end)] if joined else [*above, (start, end)])
+        position = held["positions"][parent] + held["lengths"][parent] if parent >= 0 else 0
+        for name, value in zip(NUMBERS, (start, len(text), position, start + loss_at, loss_length), strict=True):
+            held[name].append(value)
+        self.path.append((turn, len(self.parents)))
+        self.parents.append(parent)
+        self.texts.append(text)
+        self.size = end
+
+    def full(self) -> bool:
+        return self.size >= self.chars or len(self.conv_ids) >= self.most
+
+    def row(self) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, self.attends)]).astype(np.int32)
+        flat = np.array([i for own in self.attends for i in own], np.int64).reshape(-1, 2)
+        pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["begin", "end"])
+        attends = pa.ListArray.from_arrays(pa.array(ends), pairs)
+        columns = [pa.array(["".join(self.texts)], pa.string())]
+        columns += [pa.array([self.numbers[c]], pa.list_(pa.int64())) for c in NUMBERS]
+        columns += [pa.array([self.parents], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(attends)], pa.int32()), attends)]
+        columns += [pa.array([self.conv_ids], pa.list_(pa.int64())), pa.array([self.leaves], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, ["text", *NUMBERS, "parents", "attends", "conv_ids", "leaves"])
 
 
 def format_trees(rows: DataFrame) -> DataFrame:
-    """Prefix trees (TREE) of the conversations in `rows` (conv_id, turn, role, text)."""
+    """Layouts (TREE) of the conversations in `rows` (conv_id, turn, role, text)."""
     turn = F.struct("turn", "role", "text")
     convs = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     convs = convs.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    first = F.get("turns", 0)
-    root = F.sha2(F.concat_ws("\n", F.coalesce(first["role"], F.lit("")), F.coalesce(first["text"], F.lit(""))), 256)
-    chars = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t["text"]), F.lit(0)))
-    convs = convs.withColumns({"root": root, "chars": chars})
-    sizes = convs.groupBy("root").agg(
-        F.ceil(F.greatest(F.count("*") / MAX_CONVERSATIONS, F.sum("chars") / MAX_CHARS, F.lit(1.0))).cast("int").alias("shards")
-    )
-    dealt = convs.join(sizes, "root").withColumn("shard", F.pmod(F.xxhash64("conv_id"), "shards"))
-
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("conv_id", na_position="first")
-        convs = [
-            (None if pd.isna(c) else int(c), [(t["role"] or "", t["text"] or "") for t in turns])
-            for c, turns in zip(part["conv_id"], part["turns"], strict=True)
-        ]
-        return pd.DataFrame([build_tree(convs)])
-
-    # Dealt out anew: the join leaves all trees of a first turn in one task.
-    trees = dealt.select("root", "shard", "conv_id", "turns").repartition("root", "shard")
-    return trees.groupBy("root", "shard").applyInPandas(build, TREE)
+    empty = F.lit("")
+    path = F.transform("turns", lambda t: F.xxhash64(F.coalesce(t["role"], empty), F.coalesce(t["text"], empty)))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = Layout(MAX_CONVERSATIONS, MAX_CHARS)
+        for batch in batches:
+            turns = batch.column(1)
+            flat = turns.flatten()
+            pairs = [(r or "", t or "") for r, t in zip(flat.field("role").to_pylist(), flat.field("text").to_pylist(), strict=True)]
+            ends = np.cumsum([0, *pa.compute.list_value_length(turns).to_pylist()]).tolist()
+            for k, conv_id in enumerate(batch.column(0).to_pylist()):
+                layout.add(conv_id, pairs[ends[k] : ends[k + 1]])
+                if layout.full():
+                    yield layout.row()
+                    layout = Layout(MAX_CONVERSATIONS, MAX_CHARS)
+        if layout.conv_ids:
+            yield layout.row()
+
+    # Equal conversations are told apart by conv_id, so that they need not meet in one task.
+    near = convs.select("conv_id", "turns", path.alias("path")).repartitionByRange("path", "conv_id")
+    return near.sortWithinPartitions("path", "conv_id").select("conv_id", "turns").mapInArrow(build, TREE)
 
 
 def read_back(trees: DataFrame) -> DataFrame:
     """conv_id, formatted, turns (role, text), loss texts of each conversation, from the layout."""
+    turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    kinds = [pa.int64(), pa.string(), turn, pa.list_(pa.string())]
     schema = "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss array<string>"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for text, nodes, convs in zip(part["text"], part["nodes"], part["convs"], strict=True):
-                for conv in convs:
-                    path, at = [], conv["leaf"]
+    learned = f"{START}{LEARNED}\n"
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["conv_id", "formatted", "turns", "loss"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = {c: batch.column(c) for c in batch.schema.names}
+            for k in range(batch.num_rows):
+                text = held["text"][k].as_py()
+                starts, lengths, parents, loss_starts, loss_lengths = (
+                    held[c][k].as_py() for c in ("starts", "lengths", "parents", "loss_starts", "loss_lengths")
+                )
+                attends = held["attends"][k].values
+                rows, size = [], 0
+                for conv_id, leaf in zip(held["conv_ids"][k].as_py(), held["leaves"][k].as_py(), strict=True):
+                    path, at = [], leaf
                     while at >= 0:
-                        path.append(nodes[at])
-                        at = nodes[at]["parent"]
+                        path.append(at)
+                        at = parents[at]
                     path.reverse()
-                    attends = path[-1]["attends"] if path else []
-                    formatted = "".join(text[i["begin"] : i["end"]] for i in attends)
-                    learned = [n for n in path if n["loss_length"] or _is_learned(text, n)]
-                    loss = [unescape(text[n["loss_start"] : n["loss_start"] + n["loss_length"]]) for n in learned]
+                    spans = attends[leaf].as_py() if leaf >= 0 else []
+                    formatted = "".join([text[i["begin"] : i["end"]] for i in spans])
+                    own = [n for n in path if text.startswith(learned, starts[n])]
+                    loss = [unescape(text[loss_starts[n] : loss_starts[n] + loss_lengths[n]]) for n in own]
                     turns = [{"role": r, "text": t} for r, t in parse(formatted)]
-                    out.append((conv["conv_id"], formatted, turns, loss))
-            yield pd.DataFrame(out, columns=["conv_id", "formatted", "turns", "loss"]).astype({"conv_id": "Int64"})
-
-    return trees.mapInPandas(run, schema)
-
-
-def _is_learned(text: str, node: dict) -> bool:
-    return text.startswith(f"{START}{LEARNED}\n", node["start"])
+                    rows.append((conv_id, formatted, turns, loss))
+                    size += len(formatted)
+                    if size > 4_000_000:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    return trees.mapInArrow(run, schema)
 
 
 def digests(back: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
-def _deal(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _deal(columns: list[np.ndarray], least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each class's columns that have to be counted, and those known to be shared.
 
     A column with many holders in the slice is shared beyond doubt; two of its holders go on
@@ -88,7 +88,7 @@ def _deal(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]
     order = np.argsort(which, kind="stable")
     place = np.empty(len(values), np.int64)
     place[order] = np.arange(len(values)) - np.repeat(np.cumsum(holders) - holders, holders)
-    hot = (holders[which] >= HOT_HOLDERS) & (place >= 2)
+    hot = (holders[which] >= least) & (place >= 2)
     masks = np.split(hot, ends)
     return [c[~m] for c, m in zip(columns, masks, strict=True)], [c[m] for c, m in zip(columns, masks, strict=True)]
 
@@ -113,7 +113,7 @@ def shingled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
                         seen.add(h)
                         new.append(k)
                 firsts = [sets[k][: first_tokens(len(sets[k]), percent)] for k in new]
-                for k, c, h in zip(new, *_deal(firsts), strict=True):
+                for k, c, h in zip(new, *_deal(firsts, HOT_HOLDERS), strict=True):
                     counted[k], hot[k] = c, h
                 yield pa.RecordBatch.from_arrays(
                     [

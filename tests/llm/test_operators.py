@@ -121,7 +121,7 @@ def test_columns_of_linked_sets_meet_often_enough():
 
 def test_columns_with_many_holders_are_dealt_out_but_told_twice():
     columns = [np.array([1, 10 + k], np.uint64) for k in range(20)] + [np.array([1000, 2000], np.uint64)]
-    counted, hot = ngram_join._deal(columns)
+    counted, hot = ngram_join._deal(columns, 16)
     assert [sorted([*c, *h]) for c, h in zip(counted, hot, strict=True)] == [c.tolist() for c in columns]
     assert sum(1 in c for c in counted) == 2 and sum(1 in h for h in hot) == 18 and all(set(h) <= {1} for h in hot)
 
@@ -504,13 +504,43 @@ def test_trees_share_turns_and_read_back(spark, monkeypatch):
             want = (len(ts), sha("".join(f"{r}\n{t}\n" for r, t in ts)), len(loss), sha(loss))
             assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == want
     monkeypatch.undo()
-    hi = next(r for r in chat.format_trees(table).collect() if len(r.convs) == 4)
-    assert hi.text.count("hi") == 1 and hi.text.count("yes") == 1
-    for node in hi.nodes:
-        assert sum(i.end - i.begin for i in node.attends) == node.position + node.length
     assert chat.format_trees(table.limit(0)).count() == 0
 
 
+def test_layouts_are_depth_first_with_positions_and_ancestors():
+    convs = [(("user", f"q{a}"), ("assistant", f"a{b}"), ("user", f"z{c}" * c))[: 1 + (a + b + c) % 3] for a in range(3) for b in range(3) for c in range(3)]
+    layout = chat.Layout()
+    for k, turns in enumerate(sorted(convs)):
+        layout.add(k, list(turns))
+    row = layout.row().to_pylist()[0]
+    prefixes = {c[: k + 1] for c in convs for k in range(len(c))}
+    assert len(row["starts"]) == len(prefixes)
+    assert row["text"] == "".join(row["text"][a : a + n] for a, n in zip(row["starts"], row["lengths"], strict=True))
+    for leaf, turns in zip(row["leaves"], sorted(convs), strict=True):
+        held = "".join(row["text"][i["begin"] : i["end"]] for i in row["attends"][leaf])
+        assert held == "".join(chat.format_turn(*t)[0] for t in turns)
+        assert len(held) == row["positions"][leaf] + row["lengths"][leaf]
+        spans = row["attends"][leaf]
+        assert all(x["end"] < y["begin"] for x, y in zip(spans, spans[1:], strict=False))
+    for start, length, parent in zip(row["loss_starts"], row["loss_lengths"], row["parents"], strict=True):
+        assert parent >= 0 or length == 0
+        assert not length or row["text"][start : start + length] in ("a0", "a1", "a2")
+
+
+def test_a_first_turn_of_very_many_conversations_is_emitted_once(spark, monkeypatch):
+    rows = [(c, k, ("user", "assistant")[k % 2], t) for c in range(2000) for k, t in enumerate(("the system says so", f"answer {c % 40}", f"more {c % 400}"))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (layout,) = chat.format_trees(table).collect()
+    assert layout.text.count("the system says so") == 1 and len(layout.starts) == 1 + 40 + 400 and len(layout.leaves) == 2000
+    monkeypatch.setattr(chat, "MAX_CONVERSATIONS", 300)
+    some = chat.format_trees(table).collect()
+    assert len(some) == 7 and all(x.text.count("the system says so") == 1 for x in some)
+    assert sum(len(x.starts) for x in some) <= 441 + 6 * 2  # a border emits no more than one path again
+    same = spark.createDataFrame([(c, 0, "user", "same") for c in range(50)] + [(None, 1, None, None), (None, 1, None, None), (None, 0, "assistant", "x")], table.schema)
+    back = {r.conv_id: r for r in chat.digests(chat.read_back(chat.format_trees(same))).collect()}
+    assert len(back) == 51 and back[None].n_turns == 3 and back[None].turns_sha256 == sha("assistant\nx\n\n\n\n\n")
+
+
 # -- 9: quality rules ---------------------------------------------------------------------------
 
 
