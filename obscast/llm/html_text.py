@@ -1,25 +1,30 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into blocks of text in page order, each with the tags around it. A linear
-classifier turns a block's tags, classes, length, links and punctuation into costs of calling
-it content or boilerplate: the capacities of its edges to the two terminals. Containers are
-votes that text and neighbours can outvote; only navigation and hidden parts are out for
-certain. A container that names boilerplate counts less, the more of the page's text it holds
-beyond three quarters: what encloses the page says nothing about a part. Neighbouring blocks, and blocks that follow each other in one container, are tied by smoothness edges that
-grow with the tags they share. The minimum cut is the labelling of least total cost.
+A page is read once into blocks of text in page order (`read_blocks`), each with the tags
+around it. A linear classifier turns a block's length, links, punctuation, tags and class
+words into costs of calling it content or boilerplate (`costs`): the capacities of its edges
+to the two terminals. All of it is evidence of like size, containers too: only navigation
+and hidden parts are out for certain. A container that names boilerplate counts less, the
+more of the page's text it holds beyond three quarters: what encloses the page says nothing
+about a part (`votes_out`). Blocks that follow each other, on the page or in one container,
+are tied by smoothness edges that weaken with their distance in the tree of tags and where
+one lies in a container that the other does not (`ties`).
+The minimum cut is the labelling of least total cost: a short line among paragraphs stays, a
+sentence among links goes, whatever its own words say.
 
 Defined results: a null or empty html has no text; white space inside a block becomes one
 space and blocks are joined by line breaks; character references are decoded; unclosed and
-stray tags are taken as browsers do, near enough; a page without any content block has the
-empty text; equal pages have equal texts; pages of any length are read whole; other columns
-of the input are not read.
+stray tags are taken as browsers do, near enough; a quote that never closes is a plain
+character, and a tag that never ends takes the rest of the page; a block whose costs tie is
+boilerplate; a page without any content block has the empty text; equal pages have equal
+texts; pages of any length and depth are read whole, in time that grows with their length;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,25 +57,41 @@ IN_WORDS = frozenset("article content entry main post story".split())
 #: Words that name boilerplate only outside of content.
 TOP_WORDS = frozenset("header masthead topbar".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>=]")
+LEAD = re.compile(r"\s*")
+SHUT = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in SILENT}
+ITEMS, LISTS = frozenset("li dt dd td th tr option".split()), frozenset("ul ol dl table select".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
-#: Weight of the smoothness edges and capacity that no cut of the others reaches.
-SMOOTH, SURE = 0.6, 1000.0
-#: Votes: for content by rank of the container, against blocks outside of all where the page
+#: Weight of the smoothness edges between neighbours, capacity that no cut of the others
+#: reaches, and what is left of a tie between a named container's inside and outside.
+SMOOTH, SURE, PARTED = 1.2, 1e6, 0.3
+#: Evidence for content by rank of the container, against blocks outside of all where the page
 #: names one, and against blocks in a container that is boilerplate by all of its name.
-INSIDE, OUTSIDE, OUT = (0.0, 1.5, 2.0, 2.0), 1.5, 5.0
+INSIDE, OUTSIDE, OUT = (0.0, 0.7, 1.0, 1.0), 0.7, 3.0
+
+
+@dataclass
+class Container:
+    """An open or closed tag: where it hangs, what its name says and how much text it holds."""
+
+    above: int
+    vote: float
+    text: int = 0
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
+    holder: int  # the innermost container that votes
+    parent: int  # the block tag around the block's own
+    depth: int  # block tags around the text
+    low: int  # least depth since the block before
     sure: bool
-    out: tuple[tuple[int, float], ...]
     inside: int
     heading: bool
     linked: int
@@ -82,102 +103,165 @@ def named_out(value: str) -> float:
     return max((sum(w in OUT_WORDS for w in words) / len(words) for words in names if words), default=0.0)
 
 
-def read_blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order."""
-    stack: list[tuple[str, int, float, int, bool]] = []  # tag, number, vote for boilerplate, rank as content, out for certain
+def tokens(page: str) -> Iterator[tuple[str, int, int, str, str]]:
+    """(text before, begin, end, tag or closing tag, attributes) of the page's tags in order.
+
+    Every character is passed a bounded number of times: what cannot end any more is not
+    looked for again.
+    """
+    last = {c: page.rfind(c) for c in "\"'>"}
+    at = seek = 0
+    while (begin := page.find("<", seek)) >= 0:
+        if begin > last[">"]:
+            break  # no tag ends any more
+        m = NAME.match(page, begin)
+        if m is None:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page.startswith(("<!", "<?", "</"), begin):
+                end = page.find(">", begin) + 1
+            else:
+                seek = begin + 1
+                continue
+            yield page[at:begin], begin, end, "", ""
+            at = seek = end
+            continue
+        pos = m.end()
+        while (stop := STOP.search(page, pos)) and stop[0] == "=":
+            pos = LEAD.match(page, stop.end()).end()
+            quote = page[pos : pos + 1]
+            if quote and quote in "\"'" and pos < last[quote]:
+                pos = page.find(quote, pos + 1) + 1
+        end = stop.end() if stop else len(page)
+        if stop:
+            yield page[at:begin], begin, end, m[1] + m[2].lower(), page[m.end() : end - 1]
+        else:
+            yield page[at:begin], begin, end, "", ""
+        at = seek = end
+    yield page[at:], len(page), len(page), "", ""
+
+
+def read_blocks(page: str) -> tuple[list[Block], list[Container]]:
+    """The page's blocks of text in order, and the containers that vote on them."""
+    containers = [Container(-1, 0.0)]
+    # An open tag: name, block number or 0, and what holds below it: depth, voting container,
+    # rank as content, out for certain, links, headings.
+    stack: list[tuple[str, int, int, int, int, bool, int, int]] = [("", 0, 0, 0, 0, False, 0, 0)]
+    opened: dict[str, list[int]] = {}
+    lists: list[int] = []  # where in the stack lists and tables are
+    around: list[int] = []  # numbers of the open block tags
     blocks: list[Block] = []
     parts: list[str] = []
-    linked = links = numbers = at = 0
+    linked = numbers = low = 0
+
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
-        if text:
-            out = tuple((s[1], s[2]) for s in stack if s[2])
-            inside = max((s[3] for s in stack), default=0)
-            blocks.append(Block(
-                text, tuple(s[1] for s in stack if s[0] in BLOCKS), any(s[4] for s in stack), out, inside,
-                bool(stack) and any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1].isdigit() for s in stack), linked,
-            ))
         parts.clear()
+        if text:
+            _, _, depth, holder, inside, sure, _, headings = stack[-1]
+            parent = around[-2] if len(around) > 1 else 0
+            blocks.append(Block(text, holder, parent, depth, min(low, depth), sure, inside, headings > 0, linked))
+            if not sure:
+                containers[holder].text += max(0, len(text) - linked)
+            low = depth
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal links
+        nonlocal low
         while len(stack) > upto:
-            links -= stack.pop()[0] == "a"
-
-    for m in TAG.finditer(page):
-        if m.start() < at:
+            name, number, *_ = stack.pop()
+            opened[name].pop()
+            if name in LISTS:
+                lists.pop()
+            if number:
+                around.pop()
+        low = min(low, stack[-1][2])
+
+    silent = ""
+    skip = 0
+    for data, begin, end, tag, attributes in tokens(page):
+        if begin < skip:
             continue
-        data = page[at : m.start()]
+        if silent:
+            silent = ""
+            data = page[skip:begin]
         if data:
             parts.append(data)
-            linked += len(data.strip()) * bool(links)
-        at = m.end()
-        tag = (m[2] or "").lower()
+            linked += len(data.strip()) * bool(stack[-1][6])
         if not tag:
             continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag in BLOCKS:
                 flush()
-            if depth is not None:
-                close(depth)
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
         if tag in SILENT:
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            shut = SHUT[tag].search(page, end)
+            silent, skip = tag, shut.end() if shut else len(page)
             continue
         if tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            opened = {s[0] for s in stack}
-            if "p" in opened:  # a block ends an open paragraph
-                depth = max(k for k, s in enumerate(stack) if s[0] == "p")
-                if not any(s[0] in BLOCKS for s in stack[depth + 1 :]):
-                    close(depth)
-            if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack:
-                depth = max((k for k, s in enumerate(stack) if s[0] == tag), default=-1)
-                held = max((k for k, s in enumerate(stack) if s[0] in ("ul", "ol", "dl", "table", "select")), default=-1)
-                if depth > held:
-                    close(depth)
-        if tag in VOID or m[3].endswith("/"):
+            if opened.get("p"):  # a block ends an open paragraph
+                place = opened["p"][-1]
+                if stack[-1][2] == stack[place][2]:
+                    close(place)
+            if tag in ITEMS and opened.get(tag):
+                place = opened[tag][-1]
+                if place > (lists[-1] if lists else -1):
+                    close(place)
+        if tag in VOID or attributes.endswith("/"):
             continue
-        out, inside, sure = float(tag in OUT_TAGS), IN_TAGS.get(tag, 0), tag in SURE_TAGS
-        if tag == "header" and not any(s[3] for s in stack):
+        _, _, depth, holder, rank, sure, links, headings = stack[-1]
+        out, inside = float(tag in OUT_TAGS), IN_TAGS.get(tag, 0)
+        if tag == "header" and not rank:
             out = 1.0
-        if m[3]:
-            values = ["".join(a[1:]) for a in ATTRIBUTE.findall(m[3])]
+        if attributes:
+            values = ["".join(a[1:]) for a in ATTRIBUTE.findall(attributes)]
             named = {w for v in values for w in WORD.findall(v.lower())}
             if named and tag not in ("html", "body"):
                 out = max(out, *map(named_out, values))
-                if named & TOP_WORDS and not named & IN_WORDS and not any(s[3] for s in stack):
+                if named & TOP_WORDS and not named & IN_WORDS and not rank:
                     out = 1.0
                 # "post share-enabled" is content, "comment-content" is not
                 if any(set(w) & IN_WORDS and not set(w) & OUT_WORDS for v in values for w in map(WORD.findall, v.lower().split())):
                     inside = max(inside, 1)
-            sure = sure or bool(HIDDEN.search(m[3]))
-        numbers += 1
-        stack.append((tag, numbers, out, inside, sure))
-        links += tag == "a"
-    parts.append(page[at:])
+            sure = sure or bool(HIDDEN.search(attributes))
+        number = 0
+        if tag in BLOCKS:
+            numbers += 1
+            number = numbers
+            around.append(number)
+        if out:
+            containers.append(Container(holder, out))
+            holder = len(containers) - 1
+        if tag in LISTS:
+            lists.append(len(stack))
+        opened.setdefault(tag, []).append(len(stack))
+        heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+        stack.append((
+            tag, number, depth + (number > 0), holder, max(rank, inside), sure or tag in SURE_TAGS, links + (tag == "a"), headings + heading,
+        ))
     flush()
-    return blocks
+    return blocks, containers
 
 
-def votes_out(blocks: list[Block]) -> list[float]:
+def votes_out(blocks: list[Block], containers: list[Container]) -> list[float]:
     """How strongly each block's containers name it boilerplate, 0 to 1."""
-    held: dict[int, int] = {}
-    total = 0
-    for block in blocks:
-        if not block.sure:
-            plain = max(0, len(block.text) - block.linked)
-            total += plain
-            for number, _ in block.out:
-                held[number] = held.get(number, 0) + plain
-    fade = {k: min(1.0, 4.0 * (1.0 - n / max(1, total))) for k, n in held.items()}
-    return [max((vote * fade.get(number, 1.0) for number, vote in b.out), default=0.0) for b in blocks]
+    held = [c.text for c in containers]
+    for k in range(len(containers) - 1, 0, -1):
+        held[containers[k].above] += held[k]
+    total = max(1, held[0])
+    strength = [0.0] * len(containers)
+    for k, c in enumerate(containers[1:], start=1):
+        fade = min(1.0, 4.0 * (1.0 - held[k] / total)) if held[k] else 1.0
+        strength[k] = max(strength[c.above], c.vote * fade)
+    return [strength[b.holder] for b in blocks]
 
 
 def costs(block: Block, named: bool, out: float) -> tuple[float, float]:
@@ -188,7 +272,7 @@ def costs(block: Block, named: bool, out: float) -> tuple[float, float]:
     if block.sure:
         return SURE, 0.0
     words = block.text.count(" ") + 1
-    score = 0.08 * min(words, 40) - 1.2 + 0.6 * (block.text[-1] in ".!?…\"'”") + 0.8 * block.heading
+    score = 0.08 * min(words, 40) - 1.2 + 0.6 * (block.text[-1] in ".!?…\"'”") + 1.0 * block.heading
     score -= 3.0 * block.linked / max(1, len(block.text))
     score += INSIDE[block.inside] - OUTSIDE * (named and not block.inside) - OUT * out
     return max(0.0, -score), max(0.0, score)
@@ -196,68 +280,84 @@ def costs(block: Block, named: bool, out: float) -> tuple[float, float]:
 
 def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges (i, j, weight) by page order and by nearness in the tree of tags."""
-    out, last_in = [], {}
+    out: list[tuple[int, int, float]] = []
+    last_in: dict[tuple[int, int], int] = {}
     for j, block in enumerate(blocks):
-        near = [j - 1] if j else []
-        container = block.path[:-1]
-        if container in last_in and last_in[container] != j - 1:
-            near.append(last_in[container])
-        last_in[container] = j
-        for i in near:
-            a, b = blocks[i].path, block.path
-            same = 0
-            while same < min(len(a), len(b)) and a[same] == b[same]:
-                same += 1
-            out.append((i, j, SMOOTH * same / max(len(a), len(b), 1)))
+        if j:
+            # Steps from one block's tag to the other's, by way of the deepest that holds both.
+            steps = blocks[j - 1].depth + block.depth - 2 * block.low
+            out.append((j - 1, j, SMOOTH * PARTED ** (blocks[j - 1].holder != block.holder) / max(1, steps - 1)))
+        # The sibling before, past what other containers put in between.
+        place = block.parent, block.holder
+        if last_in.get(place, j - 1) != j - 1:
+            out.append((last_in[place], j, SMOOTH))
+        last_in[place] = j
     return out
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source in a minimum cut (shortest augmenting paths).
+    """Which nodes stay with the source in a minimum cut (blocking flows over shortest levels).
 
     source[i] is lost if i leaves the source, sink[i] if it stays; an edge's weight if its
     ends part.
     """
-    n = len(source)
+    n, tiny = len(source), 1e-9
     # What source and sink of one node share flows straight through it.
     left = [max(0.0, a - b) for a, b in zip(source, sink, strict=True)]
     need = [max(0.0, b - a) for a, b in zip(source, sink, strict=True)]
-    room: list[dict[int, float]] = [{} for _ in range(n)]
-    for i, j, w in edges:
-        room[i][j] = room[i].get(j, 0.0) + w
-        room[j][i] = room[j].get(i, 0.0) + w
-    tiny = 1e-9
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    to: list[int] = []
+    room: list[float] = []
+    for i, j, w in edges:  # arc k and its reverse k ^ 1
+        arcs[i].append(len(to))
+        arcs[j].append(len(to) + 1)
+        to += (j, i)
+        room += (w, w)
     while True:
-        came = {i: -1 for i in range(n) if left[i] > tiny}
-        queue, goal = deque(came), None
-        while queue:
-            i = queue.popleft()
-            if need[i] > tiny:
-                goal = i
-                break
-            for j, w in room[i].items():
-                if w > tiny and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if goal is None:
-            return [i in came for i in range(n)]
-        path = [goal]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min(left[path[-1]], need[goal], *(room[b][a] for a, b in zip(path, path[1:], strict=False)))
-        left[path[-1]] -= flow
-        need[goal] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            room[b][a] -= flow
-            room[a][b] = room[a].get(b, 0.0) + flow
+        level = [0 if x > tiny else -1 for x in left]
+        queue = [i for i in range(n) if level[i] == 0]
+        met = False
+        for i in queue:
+            met = met or need[i] > tiny
+            for k in arcs[i]:
+                if room[k] > tiny and level[to[k]] < 0:
+                    level[to[k]] = level[i] + 1
+                    queue.append(to[k])
+        if not met:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for begin in range(n):
+            path: list[int] = []
+            at = begin
+            while left[begin] > tiny:
+                if need[at] > tiny:
+                    flow = min(left[begin], need[at], *(room[k] for k in path))
+                    left[begin] -= flow
+                    need[at] -= flow
+                    for k in path:
+                        room[k] -= flow
+                        room[k ^ 1] += flow
+                    path, at = [], begin
+                elif tried[at] < len(arcs[at]):
+                    k = arcs[at][tried[at]]
+                    if room[k] > tiny and level[to[k]] == level[at] + 1:
+                        path.append(k)
+                        at = to[k]
+                    else:
+                        tried[at] += 1
+                elif path:  # a dead end is not entered again in this round
+                    at = to[path.pop() ^ 1]
+                    tried[at] += 1
+                else:
+                    break
 
 
 def main_text(page: str | None) -> str:
-    blocks = read_blocks(page or "")
+    blocks, containers = read_blocks(page or "")
     if not blocks:
         return ""
     named = any(b.inside for b in blocks if not b.sure)
-    both = [costs(b, named, out) for b, out in zip(blocks, votes_out(blocks), strict=True)]
+    both = [costs(b, named, out) for b, out in zip(blocks, votes_out(blocks, containers), strict=True)]
     kept = min_cut([b for _, b in both], [a for a, _ in both], ties(blocks))
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 

@@ -207,6 +207,60 @@ def test_main_text_weighs_containers_against_text_and_neighbours():
     assert html_text.main_text(apart) == f"{long}\n{long}"
 
 
+def test_the_cut_decides_where_texts_alone_would_not(spark):
+    long = "This paragraph has quite a lot of words, and it ends as sentences of a main text do, after some more of them."
+    links = "".join(f"<div><a href=/{k}>More on this {k}</a></div>" for k in range(5))
+    page = f"<div><p>{long}</p><p>Short one</p><p>{long}</p></div><div>{links}<div>A short line that ends.</div>{links}</div>"
+    blocks, containers = html_text.read_blocks(page)
+    alone = [b > a for a, b in (html_text.costs(x, False, o) for x, o in zip(blocks, html_text.votes_out(blocks, containers), strict=True))]
+    assert [x.text for x, k in zip(blocks, alone, strict=True) if k] == [long, long]
+    assert html_text.main_text(page) == f"{long}\nShort one\n{long}"
+    changed = 0
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        blocks, containers = html_text.read_blocks(row.html or "")
+        named = any(b.inside for b in blocks if not b.sure)
+        both = [html_text.costs(x, named, o) for x, o in zip(blocks, html_text.votes_out(blocks, containers), strict=True)]
+        kept = html_text.min_cut([b for _, b in both], [a for a, _ in both], html_text.ties(blocks))
+        changed += kept != [b > a for a, b in both]
+    assert changed > 0
+
+
+def test_class_words_are_evidence_not_verdict():
+    sentence = "The price went up by ten percent on the day, they said."
+    page = f"<article class='tags-post widget'><h2>Prices</h2><p>{sentence}</p></article>"
+    assert html_text.main_text(page) == f"Prices\n{sentence}"
+    page = f"<article><p>{sentence} {sentence}</p><div class=share-price><p>{sentence}</p></div><p>{sentence}</p></article>"
+    assert html_text.main_text(page) == f"{sentence} {sentence}\n{sentence}\n{sentence}"
+    assert html_text.main_text("<div><h2>Head</h2><p>There is one sentence of just eleven words in this page.</p></div>").endswith("page.")
+
+
+def test_text_of_pages_from_a_plain_generator():
+    for _ in range(60):
+        made = [" ".join(RANDOM.choices(VOCABULARY, k=RANDOM.randint(12, 60))) + "." for _ in range(RANDOM.randint(2, 6))]
+        tag = RANDOM.choice(["article", "main", "div class=content", "div id=story"])
+        menu = "".join(f"<li><a href=/{k}>Item {k}</a>" for k in range(RANDOM.randint(2, 9)))
+        parts = [f"<p>{m.replace(' ', RANDOM.choice([' ', chr(10), '  ']), 3)}</p>" for m in made]
+        parts.insert(RANDOM.randint(0, len(parts)), "<div class='ad banner'>Buy two of it now!</div>")
+        page = f"<html><head><title>x</title><script>if (a < b) '<p>no</p>'</script></head><body><nav><ul>{menu}</ul></nav><{tag}><h1>A &lt;b&gt; headline</h1>{''.join(parts)}"
+        page += f"<section class=comments><p>{made[0]} I say.</p></section></{tag.split()[0]}><aside><p>See also</p></aside><footer>&copy; us</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join(["A <b> headline", *made])
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    began = time.time()
+    deep = "<div>" * 100_000 + "A sentence that is deep down in the page, with some words."
+    assert html_text.main_text(deep).startswith("A sentence")
+    for page in ('<a "' * 100_000, '<a ="' * 100_000, "<" * 300_000, "<script>" * 50_000, "<!--" * 100_000, "<div class=ad>x" * 20_000, "<ul><li>" * 50_000):
+        html_text.main_text(page)
+    long = "A sentence of the text with enough of words to be one of them.|x"
+    many = "".join(f"<p>{a}</p><div class=ad>{b}</div>" for a, b in [long.split("|")] * 10_000)
+    assert html_text.main_text(many).count("\n") == 9_999
+    assert html_text.main_text("<p>He said: it's 1 < 2 and 3 > 2, which we all have known for long.</p><a title=it's>") == "He said: it's 1 < 2 and 3 > 2, which we all have known for long."
+    assert time.time() - began < 40
+
+
 def test_min_cut_is_least_over_all_labellings():
     for _ in range(60):
         n = RANDOM.randint(1, 7)
