@@ -11,6 +11,7 @@
    group's union holds bounds its overlap with any member, and only groups whose bound
    reaches the threshold are opened. There the bound against the whole union is taken, then
    the overlaps with its members.
+   Which groups a class meets at all is told by its rarest columns alone.
 5. Step 4 runs twice: first against one central group for each column, so that a large group
    of near copies becomes one component; then against the groups that hold a larger
    component than the class's own. No pair inside a component is looked at.
@@ -244,7 +245,9 @@ def _open(queries: pd.DataFrame, group: pd.DataFrame, percent: int) -> pd.DataFr
     return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
 
 
-def _links(pairs: DataFrame, asking: DataFrame, places: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(
+    pairs: DataFrame, asking: DataFrame, places: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
+) -> DataFrame:
     """Links of `pairs` (cid, grp) with the members of the groups that rank above.
 
     asking: cid, comp, comp_size; places: grp, cid, comp, comp_size of members. A group's
@@ -252,9 +255,10 @@ def _links(pairs: DataFrame, asking: DataFrame, places: DataFrame, groups: DataF
     spread over as many tasks as it needs.
     """
     blocks = pairs.join(sets.select("cid", "n"), "cid").groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    blocks = scratch.cut(blocks)  # stored tables tell their size, so small ones need no shuffle of the groups
     dealt = pairs.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     queries = dealt.select("grp", "block", "cid").join(asking, "cid").join(sets.select("cid", "tokens"), "cid")
-    held = places.groupBy("grp").agg(F.collect_list(F.struct("cid", "comp", "comp_size")).alias("places"))
+    held = scratch.cut(places.groupBy("grp").agg(F.collect_list(F.struct("cid", "comp", "comp_size")).alias("places")))
     opened = groups.drop("comps").join(held, "grp").join(blocks, "grp")
     opened = opened.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
@@ -301,8 +305,12 @@ def class_links(
         "grp", F.col("m.cids").alias("cid"), F.col("m.comps").alias("comp")
     )
     columns = f"least(n, n - (n * {percent} + 99) div 100 + 1 + n * {EXTRA} div 100)"
-    named = sets.select("node", "cid", F.expr(least.replace("least", "n")).alias("need"), F.expr(f"w / {columns}").alias("share"))
-    rows = scratch.cut(shared.join(named, "node").join(runs, "cid").select("token", "cid", "grp", "need", "share"))
+    named = sets.select("node", "cid", F.expr(least.replace("least", "n")).alias("need"), F.expr(f"w / {columns}").alias("share"), "w")
+    # Rare columns first: sets that share `need` columns share one of the first `w - need + 1`.
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("holders", "token"))
+    counted = shared.withColumn("holders", F.count("*").over(Window.partitionBy("token")))
+    rows = counted.join(named, "node").join(runs, "cid").withColumn("early", rank <= F.col("w") - F.col("need") + 1)
+    rows = scratch.cut(rows.select("token", "cid", "grp", "need", "share", "early"))
 
     def bounded(met: DataFrame, name: str) -> DataFrame:
         """The pairs (cid, grp) of `met` (a row for each column shared) whose bound suffices."""
@@ -321,7 +329,7 @@ def class_links(
     met = rows.join(center, "token").where("grp <> center").select("cid", F.col("center").alias("grp"), "need")
     first = bounded(met, "central")
     alone = sets.select("cid", F.lit(-1).cast("long").alias("comp"), F.lit(-1).cast("long").alias("comp_size"))
-    first_links = _links(first, alone, own.withColumn("comp_size", F.lit(0).cast("long")), groups, sets, percent)
+    first_links = _links(first, alone, own.withColumn("comp_size", F.lit(0).cast("long")), groups, sets, percent, scratch)
     by_group = own.select("cid", "comp")
     a, b = (by_group.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
     ends = scratch.cut(first_links.join(a, "a").join(b, "b").select("comp_a", "comp_b"))
@@ -331,13 +339,15 @@ def class_links(
     comps = scratch.cut(comps.join(comp_sizes, "comp"))
 
     place = comps.select("cid", F.struct("comp_size", "comp").alias("place"))
-    placed = rows.join(place, "cid")
+    placed = rows.where("early").join(place, "cid").select("token", "cid", "grp", "place")
     mixed = placed.groupBy("token").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
     left = scratch.cut(placed.join(mixed.select("token"), "token"))
     top = left.groupBy("token", "grp").agg(F.max("place").alias("top")).withColumnRenamed("grp", "other")
-    met = left.join(top, "token").where("place < top").select("cid", F.col("other").alias("grp"), "need")
-    second = bounded(met, "other").join(first, ["cid", "grp"], "left_anti")
-    links = _links(second, comps, runs.join(comps, "cid"), groups, sets, percent)
+    pairs = left.join(top, "token").where("place < top").select("cid", F.col("other").alias("grp")).distinct()
+    pairs = scratch.cut(pairs.join(first, ["cid", "grp"], "left_anti"))
+    asked = rows.select("cid", "token", "need").join(pairs, "cid")
+    second = bounded(asked.join(rows.select("token", "grp").distinct(), ["token", "grp"]), "other")
+    links = _links(second, comps, runs.join(comps, "cid"), groups, sets, percent, scratch)
     a, b = (comps.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
     ends = scratch.cut(links.join(a, "a").join(b, "b").select("comp_a", "comp_b"))
     merged = connected_components(ends, scratch).toDF("comp", "whole")

@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0
 SHARD_PIECES = 50_000
 #: Words kept encoded in a task; beyond that, words are encoded each time.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -95,7 +95,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def slices(sizes: list[int], most: int = 4_000_000) -> Iterator[slice]:
+def slices(sizes: list[int], most: int = 2_000_000) -> Iterator[slice]:
     """Runs of rows of about `most` bytes; a longer row is a run of its own."""
     begin = total = 0
     for k, size in enumerate(sizes):
