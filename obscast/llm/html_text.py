@@ -53,6 +53,11 @@ OUT_WORDS = frozenset(
     " replies respond search share sharing shoutbox sidebar signup social sponsor sponsored subscribe tags toolbar"
     " widget".split()
 )
+#: Those of them that also name ordinary things when they are part of a name.
+WEAK_WORDS = frozenset(
+    "banner discussion footer form login menu notice promo promotion recommended related search share sharing social"
+    " tags widget".split()
+)
 IN_WORDS = frozenset("article content entry main post story".split())
 #: Words that name boilerplate only outside of content.
 TOP_WORDS = frozenset("header masthead topbar".split())
@@ -69,10 +74,10 @@ SPACE = re.compile(r"\s+")
 
 #: Weight of the smoothness edges between neighbours, capacity that no cut of the others
 #: reaches, and what is left of a tie between a named container's inside and outside.
-SMOOTH, SURE, PARTED = 1.2, 1e6, 0.3
+SMOOTH, SURE, PARTED = 1.2, 1e6, 0.1
 #: Evidence for content by rank of the container, against blocks outside of all where the page
 #: names one, and against blocks in a container that is boilerplate by all of its name.
-INSIDE, OUTSIDE, OUT = (0.0, 0.7, 1.0, 1.0), 0.7, 3.0
+INSIDE, OUTSIDE, OUT = (0.0, 0.7, 1.0, 1.0), 0.7, 4.5
 
 
 @dataclass
@@ -98,9 +103,15 @@ class Block:
 
 
 def named_out(value: str) -> float:
-    """The largest part of a name in a class, id or role that boilerplate words make up."""
-    names = [WORD.findall(name) for name in value.lower().split()]
-    return max((sum(w in OUT_WORDS for w in words) / len(words) for words in names if words), default=0.0)
+    """How far the names in a class, id or role say boilerplate: "comment-list" nearly as much
+    as "comments", "share-price" much less than "share"."""
+    most = 0.0
+    for name in value.lower().split():
+        words = WORD.findall(name)
+        told = sum(w in OUT_WORDS for w in words) / max(1, len(words))
+        sure = any(w in OUT_WORDS and w not in WEAK_WORDS for w in words)
+        most = max(most, told, 0.9) if sure else max(most, told * told)
+    return most
 
 
 def tokens(page: str) -> Iterator[tuple[str, int, int, str, str]]:
