@@ -23,8 +23,9 @@ def day_window(day: Column, tz: str) -> tuple[Column, Column]:
 
 def cp_to_utc(day: Column, cp: Column, tz: str) -> Column:
     """The instant of a UTC checkpoint (HH:mm) that falls on the local day; an error if none does."""
-    same = F.to_timestamp(F.concat_ws(" ", day.cast("string"), cp), "yyyy-MM-dd HH:mm")
-    before = same - F.expr("interval 1 day")
+    minutes = F.substring(cp, 1, 2).cast("int") * 60 + F.substring(cp, 4, 2).cast("int")
+    seconds = F.unix_date(day).cast("long") * 86_400 + minutes * 60
+    same, before = F.timestamp_seconds(seconds), F.timestamp_seconds(seconds - 86_400)
     wrong = F.raise_error(F.concat(F.lit("no instant of the checkpoint on "), day.cast("string")))
     chosen = F.when(local_date(same, tz) == day, same).when(local_date(before, tz) == day, before)
     return F.when(day.isNotNull(), chosen.otherwise(wrong.cast("timestamp")))
@@ -42,8 +43,7 @@ def cp_key(cp: Column) -> Column:
 
 
 def local_hour_to_utc(day: Column, hour: Column, tz: str) -> Column:
-    wall = F.to_timestamp(F.concat(day.cast("string"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0")), "yyyy-MM-dd HH")
-    return F.to_utc_timestamp(wall, tz)
+    return F.to_utc_timestamp(F.timestamp_seconds(F.unix_date(day).cast("long") * 86_400 + hour * 3600), tz)
 
 
 def quartile(hour: Column) -> Column:

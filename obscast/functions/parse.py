@@ -13,7 +13,7 @@ GROUP = r"\s(M?\d{1,2})/(M?\d{1,2})(?=\s|$)"
 
 def signed(text: Column) -> Column:
     """M05 gives -5; an empty string gives null."""
-    return F.regexp_replace(text, "^M", "-").try_cast("int")
+    return F.replace(text, F.lit("M"), F.lit("-")).try_cast("int")
 
 
 def f_to_c(f: Column) -> Column:
@@ -27,10 +27,16 @@ def parse_temperatures(obs: DataFrame, config: Config = Config()) -> DataFrame:
     group, and the Fahrenheit value is rounded half to even; missing: neither, or implausible,
     and then nothing is imputed. An implausible dewpoint is dropped alone.
     """
-    text = F.nullif(F.regexp_extract("metar", GROUP, 1), F.lit(""))
-    t, d = signed(text).cast("long"), signed(F.nullif(F.regexp_extract("metar", GROUP, 2), F.lit(""))).cast("long")
-    blank = F.coalesce(F.trim("metar"), F.lit("")).isin("", "M", "MM")
-    found = ~blank & text.isNotNull()
+    # The group is read once a report: rows made by a generator are not computed anew for
+    # each use, nor inside filters that are pushed down. A blank report has no group.
+    group = F.regexp_extract("metar", GROUP, 0)
+    read = F.struct(group.alias("__group"))
+    obs = obs.select("*", F.inline(F.array(read)))
+    part = lambda k: signed(F.split_part(F.substring("__group", 2, 9), F.lit("/"), F.lit(k))).cast("long")
+    numbers = F.struct(part(1).alias("__t"), part(2).alias("__d"))
+    obs = obs.select("*", F.inline(F.array(numbers))).drop("__group")
+    t, d = F.col("__t"), F.col("__d")
+    found = t.isNotNull()
     fits = t.between(*config.tmp_range)
     dew_fits = d.between(*config.dwp_range)
     imputed = F.bround(f_to_c(F.col("tmpf"))).cast("long")
@@ -42,16 +48,17 @@ def parse_temperatures(obs: DataFrame, config: Config = Config()) -> DataFrame:
             .when(F.col("tmpf").isNotNull(), "imputed").otherwise("missing"),
             "implausible": found & ~(fits & dew_fits),
         }
-    )
+    ).drop("__t", "__d")
 
 
 def annotate(obs: DataFrame, config: Config = Config()) -> DataFrame:
     """Local time, date and hour, dewpoint depression, its flag, and whole-number cloud bases."""
-    local = F.from_utc_timestamp("valid", config.tz)
+    obs = obs.select("*", F.inline(F.array(F.struct(F.from_utc_timestamp("valid", config.tz).alias("ts_local")))))
+    local = F.col("ts_local")
     bases = {c: F.col(c).try_cast("long") for c in obs.columns if c.startswith("skyl")}
     return obs.withColumns(
         {
-            "ts_local": local, "date_local": F.to_date(local), "hour_local": F.hour(local),
+            "date_local": F.to_date(local), "hour_local": F.hour(local),
             "dw_depression_c_int": F.col("tmp_c_int") - F.col("dwp_c_int"),
             "dwp_gt_tmp_flag": F.col("dwp_c_int") > F.col("tmp_c_int"), **bases,
         }

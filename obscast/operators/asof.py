@@ -25,9 +25,15 @@ def causal_slices(obs: DataFrame, config: Config = Config()) -> DataFrame:
     rate of change refers to the day's previous report, which every slice holds too.
     """
     known = with_change(obs.where("dq_tmp_c_int <> 'missing'"), config)
-    rows = known.withColumn("cp", F.explode(F.array(*[F.lit(c) for c in config.cps])))
-    rows = rows.withColumn("cp_utc", calendar.cp_to_utc(F.col("date_local"), F.col("cp"), config.tz))
-    return rows.where("valid < cp_utc").withColumn("cp_hour", F.hour(calendar.local_time(F.col("cp_utc"), config.tz)))
+    rows = known.select("*", F.inline(checkpoint_instants(config)))
+    rows = rows.where("valid < cp_utc")
+    return rows.withColumn("cp_hour", F.hour(calendar.local_time(F.col("cp_utc"), config.tz)))
+
+
+def checkpoint_instants(config: Config = Config()) -> Column:
+    """The checkpoints of `date_local` and their instants, an array of structs (cp, cp_utc)."""
+    day = F.col("date_local")
+    return F.array(*[F.struct(F.lit(c).alias("cp"), calendar.cp_to_utc(day, F.lit(c), config.tz).alias("cp_utc")) for c in config.cps])
 
 
 def anchor_minutes(anchor: int) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obscast.config import HYPOTHESES, Config
+from obscast.functions.calendar import cp_to_utc, local_time
 from obscast.operators.labels import k_cp_long
 from obscast.operators.splits import in_range
 
@@ -39,22 +42,57 @@ def least_squares(x: str, y: str) -> dict[str, Column]:
     }
 
 
-def fit_models(values: DataFrame, target: DataFrame, splits: DataFrame, min_values: int = 30, min_rows: int = 5) -> DataFrame:
-    """(split, feature, cp, slope, intercept, n_train) of remaining warming on each feature."""
-    rows = values.join(target.withColumn("y", (F.col("tmax") - F.col("k_cp")).cast("double")), ["date_local", "cp"], "left")
-    fitted = {k: c for k, c in least_squares("x", "y").items()}
-    rows = in_range(rows, splits, "train").withColumn("x", F.when(F.col("y").isNotNull(), F.col("value")))
-    models = rows.groupBy("split", "feature", "cp").agg(
-        F.count("value").alias("n_values"), F.count("y").alias("n_train"), *[c.alias(k) for k, c in fitted.items()]
+def fit_models(
+    values: DataFrame, target: DataFrame, splits: DataFrame, own: DataFrame | None = None, min_values: int = 30, min_rows: int = 5
+) -> DataFrame:
+    """(split, feature, cp, slope, intercept, n_train) of remaining warming on each feature.
+
+    Least squares needs sums only: they are taken once for each span between two borders of
+    training ranges, and a split adds up its spans, so no row is repeated for a split. own:
+    `split_values`, features whose values depend on the split.
+    """
+    aim = target.select("date_local", "cp", (F.col("tmax") - F.col("k_cp")).cast("double").alias("y"))
+    spans = splits.select("train_start", "train_end").collect()  # a handful of splits
+    borders = sorted({d for r in spans for d in (r.train_start, r.train_end + dt.timedelta(days=1))})
+    begin = F.lit(None).cast("date")
+    for border in borders:
+        begin = F.when(F.col("date_local") >= F.lit(border), F.lit(border)).otherwise(begin)
+    fit = F.col("y").isNotNull()
+    x = F.when(fit, F.col("value"))
+    sums = [
+        F.count("value").alias("n_values"), F.count("y").alias("n"), F.sum(x).alias("sx"), F.sum("y").alias("sy"), F.sum(x * x).alias("sxx"),
+        F.sum(x * F.col("y")).alias("sxy"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+    ]
+    rows = values.join(aim, ["date_local", "cp"], "left").withColumn("begin", begin)
+    parts = rows.where("begin is not null").groupBy("feature", "cp", F.col("begin").alias("date_local")).agg(*sums)
+    parts = in_range(parts, splits, "train").drop("date_local")
+    if own is not None:
+        train = own.where("part = 'train'").join(aim, ["date_local", "cp"], "left")
+        parts = parts.unionByName(train.groupBy("split", "feature", "cp").agg(*sums))
+    total = parts.groupBy("split", "feature", "cp").agg(
+        *[F.sum(c).alias(c) for c in ("n_values", "n", "sx", "sy", "sxx", "sxy")], F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
+    n = F.col("n")
+    mx, my = F.try_divide("sx", n), F.try_divide("sy", n)
+    slope = F.try_divide(F.try_divide("sxy", n) - mx * my, F.try_divide("sxx", n) - mx * mx)
+    constant, norm = F.col("lo") == F.col("hi"), 1 + mx * mx
+    models = total.select(
+        "split", "feature", "cp", "n_values", n.alias("n_train"),
+        F.when(constant, mx * my / norm).otherwise(slope).alias("slope"), F.when(constant, my / norm).otherwise(my - slope * mx).alias("intercept"),
+    )
     return models.where((F.col("n_values") >= min_values) & (F.col("n_train") >= min_rows)).drop("n_values")
 
 
-def challenger_errors(values: DataFrame, target: DataFrame, splits: DataFrame, min_test_days: int = 30) -> DataFrame:
+def challenger_errors(
+    values: DataFrame, target: DataFrame, splits: DataFrame, own: DataFrame | None = None, min_test_days: int = 30
+) -> DataFrame:
     """Per test day: errors of persistence and of the challenger, with the day's regime."""
-    models = fit_models(values, target, splits)
+    models = fit_models(values, target, splits, own)
     days = in_range(target.select("date_local").distinct(), splits, "test").groupBy("split").agg(F.count("*").alias("d"))
-    tested = in_range(values, splits, "test").join(F.broadcast(days.where(F.col("d") >= min_test_days).select("split")), "split")
+    tested = in_range(values, splits, "test")
+    if own is not None:
+        tested = tested.unionByName(own.where("part = 'test'").drop("part"))
+    tested = tested.join(F.broadcast(days.where(F.col("d") >= min_test_days).select("split")), "split")
     rows = tested.join(target, ["date_local", "cp"]).join(models, ["split", "feature", "cp"])
     pred = F.col("k_cp") + F.col("intercept") + F.col("slope") * F.col("value")
     return rows.select(
@@ -64,25 +102,39 @@ def challenger_errors(values: DataFrame, target: DataFrame, splits: DataFrame, m
     )
 
 
-def train_stats(features: DataFrame, labels: DataFrame, splits: DataFrame, config: Config = Config()) -> DataFrame:
-    """The three features that need training statistics, for the test rows of each split.
+#: Features that need statistics of a split's training days (fixed names).
+FROM_TRAINING = ("hours_to_expected_peak", "tmax_hour_by_regime_month", "late_warming_anomaly")
+
+
+def _trained(features: DataFrame, labels: DataFrame, splits: DataFrame, config: Config) -> DataFrame:
+    """Training and test rows (part) of each split with the three features.
 
     Expected peak hour by regime and month minus the checkpoint's local hour, that hour, and
     how far the maximum so far lies from its training mean in its regime, in deviations.
     """
-    from obscast.functions.calendar import cp_to_utc, local_time
-
     rows = features.select("date_local", "cp", "regime_label").withColumn("month", F.month("date_local"))
     rows = rows.join(targets(labels, config), ["date_local", "cp"])
     rows = rows.join(labels.select("date_local", "tmax_hour"), "date_local")
-    train = in_range(rows, splits, "train")
+    train, test = (in_range(rows, splits, part).withColumn("part", F.lit(part)) for part in ("train", "test"))
     hours = train.groupBy("split", "cp", "regime_label", "month").agg(F.avg("tmax_hour").alias("peak"))
     so_far = train.groupBy("split", "cp", "regime_label").agg(F.avg("k_cp").alias("m"), F.stddev_pop("k_cp").alias("s"))
-    test = in_range(rows, splits, "test").join(F.broadcast(hours), ["split", "cp", "regime_label", "month"], "left")
-    test = test.join(F.broadcast(so_far), ["split", "cp", "regime_label"], "left")
+    both = train.union(test).join(F.broadcast(hours), ["split", "cp", "regime_label", "month"], "left")
+    both = both.join(F.broadcast(so_far), ["split", "cp", "regime_label"], "left")
     hour = F.hour(local_time(cp_to_utc(F.col("date_local"), F.col("cp"), config.tz), config.tz))
-    return test.select(
-        "split", "date_local", "cp", (F.col("peak") - hour).alias("hours_to_expected_peak"),
+    return both.select(
+        "split", "part", "date_local", "cp", "regime_label", (F.col("peak") - hour).alias("hours_to_expected_peak"),
         F.col("peak").alias("tmax_hour_by_regime_month"),
         ((F.col("k_cp") - F.col("m")) / F.greatest(F.col("s"), F.lit(1.0))).alias("late_warming_anomaly"),
     )
+
+
+def train_stats(features: DataFrame, labels: DataFrame, splits: DataFrame, config: Config = Config()) -> DataFrame:
+    """The three features that need training statistics, for the test rows of each split."""
+    return _trained(features, labels, splits, config).where("part = 'test'").drop("part", "regime_label")
+
+
+def split_values(features: DataFrame, labels: DataFrame, splits: DataFrame, config: Config = Config()) -> DataFrame:
+    """(split, part, date_local, cp, regime_label, feature, value) of those three that are not null."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in FROM_TRAINING])
+    rows = _trained(features, labels, splits, config)
+    return rows.select("split", "part", "date_local", "cp", "regime_label", F.inline(pairs)).where("value is not null")

@@ -1,14 +1,14 @@
 """Daily labels in local time: canonical extremes, completeness, checkpoint maxima.
 
 Everything about a day is aggregated in one pass over the observations, keyed by local
-date; the only window is the gap to the previous report of the day.
+date; the only window, over the same key, is the gap to the previous report of the day.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obscast.config import Config
@@ -23,29 +23,37 @@ def checkpoints(spark, config: Config) -> DataFrame:
 
 def observation_gaps(obs: DataFrame) -> DataFrame:
     """Rows with a temperature of their own and the whole minutes since the day's previous one."""
-    order = Window.partitionBy("date_local").orderBy("valid", "obs_id")
-    seconds = F.unix_micros("valid") - F.unix_micros(F.lag("valid").over(order))
-    return obs.where("dq_tmp_c_int = 'ok'").withColumn("gap_min", F.floor(seconds / 60_000_000).cast("long"))
+    return _with_gaps(obs).where("dq_tmp_c_int = 'ok'")
+
+
+def _with_gaps(obs: DataFrame) -> DataFrame:
+    """All rows, with gap_min on those that have a temperature of their own."""
+    ok = F.col("dq_tmp_c_int") == "ok"
+    before = Window.partitionBy("date_local").orderBy("valid", "obs_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(ok, F.unix_micros("valid")), ignorenulls=True).over(before)
+    return obs.withColumn("gap_min", F.when(ok, F.floor((F.unix_micros("valid") - last) / 60_000_000).cast("long")))
 
 
 def daily_labels(obs: DataFrame, config: Config = Config()) -> DataFrame:
     """One row per local date that has an own temperature. Imputed rows are counted only."""
-    counts = obs.groupBy("date_local").agg(F.count_if(F.col("dq_tmp_c_int") == "imputed").alias("n_imputed"))
+    own = F.col("dq_tmp_c_int") == "ok"
+    only = lambda c: F.when(own, c if isinstance(c, Column) else F.col(c))
     # The warmest report of the day, the earliest of equals, and its own other values.
     top = F.struct("tmp_c_int", -F.unix_micros("valid"), -F.col("obs_id"))
-    row = F.max_by(F.struct("tmp_c_int", "ts_local", "hour_local", "tmpf"), top)
+    row = F.max_by(F.struct("tmp_c_int", "ts_local", "hour_local", "tmpf"), only(top))
     at = [
-        F.max(F.when(F.col("valid") < calendar.cp_to_utc(F.col("date_local"), F.lit(cp), config.tz), F.col("tmp_c_int"))).alias(
-            f"k_cp__cp_{cp.replace(':', '')}"
-        )
-        for cp in config.cps
+        F.max(F.when(own & (F.col("valid") < F.get("instants", k)), F.col("tmp_c_int"))).alias(f"k_cp__cp_{cp.replace(':', '')}")
+        for k, cp in enumerate(config.cps)
     ]
-    days = observation_gaps(obs).groupBy("date_local").agg(
-        row.alias("top"), F.min("tmp_c_int").alias("tmin_int"), F.min("tmpf").alias("tmpf_min"),
-        F.count("*").alias("n_obs"), F.max("gap_min").alias("max_gap_min"),
-        F.min("hour_local").alias("first_hour"), F.max("hour_local").alias("last_hour"),
-        F.count_distinct(calendar.quartile(F.col("hour_local"))).alias("quartiles"), *at,
-    )
+    instants = F.array(*[calendar.cp_to_utc(F.col("date_local"), F.lit(cp), config.tz) for cp in config.cps])
+    rows = _with_gaps(obs).select("*", F.inline(F.array(F.struct(instants.alias("instants")))))
+    quarters = [F.bool_or(own & (calendar.quartile(F.col("hour_local")) == q)).cast("int") for q in range(4)]
+    days = rows.groupBy("date_local").agg(
+        row.alias("top"), F.min(only("tmp_c_int")).alias("tmin_int"), F.min(only("tmpf")).alias("tmpf_min"),
+        F.count_if(own).alias("n_obs"), F.max("gap_min").alias("max_gap_min"), F.count_if(F.col("dq_tmp_c_int") == "imputed").alias("n_imputed"),
+        F.min(only("hour_local")).alias("first_hour"), F.max(only("hour_local")).alias("last_hour"),
+        reduce(Column.__add__, quarters).alias("quartiles"), *at,
+    ).where("n_obs > 0")
     gap = config.max_gap_minutes
     complete = reduce(
         lambda a, b: a & b,
@@ -56,7 +64,7 @@ def daily_labels(obs: DataFrame, config: Config = Config()) -> DataFrame:
     )
     hour = F.col("top.hour_local")
     tmax_dec = f_to_c(F.col("top.tmpf"))
-    return days.join(counts, "date_local").select(
+    return days.select(
         "date_local", F.col("top.tmp_c_int").alias("tmax_int"), "tmin_int", tmax_dec.alias("tmax_dec"),
         f_to_c(F.col("tmpf_min")).alias("tmin_dec"), "tmpf_min", "n_obs", "max_gap_min", "n_imputed",
         F.lit("ok").alias("tmax_source"), F.col("top.ts_local").alias("tmax_ts"), hour.cast("long").alias("tmax_hour"),

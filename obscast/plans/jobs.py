@@ -38,7 +38,8 @@ def validate(
     days, table = io.read_table(spark, f"{out}/labels"), io.read_table(spark, f"{out}/features")
     first = splits.history_start(days)
     plan = splits.walk_forward_splits(spark, first, test_starts or splits.default_test_starts(first))
-    errors = challengers.challenger_errors(challengers.long_features(table), challengers.targets(days, config), plan)
+    own = challengers.split_values(table, days, plan, config)
+    errors = challengers.challenger_errors(challengers.long_features(table), challengers.targets(days, config), plan, own)
     results = inference.validate(errors, dict(table.dtypes), config, n_boot=n_boot, n_p=n_p)
     results.write.mode("overwrite").parquet(f"{out}/results")
     results = spark.read.parquet(f"{out}/results")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from obscast.config import CATALOG, HPA_PER_INHG, HYPOTHESES, SKY_WEIGHTS
+from obscast.operators.challengers import FROM_TRAINING
 
 TZ = "Pacific/Auckland"
 LOCAL = f"timezone('{TZ}', {{x}} at time zone 'UTC')"
@@ -16,7 +17,7 @@ AS_UTC = f"timezone('UTC', timezone('{TZ}', {{x}}))"
 CPS, ANCHORS = (20, 21, 22, 23), (6, 9, 12, 15, 18)
 START, END = "date '2001-07-03'", "date '2001-09-30'"
 SPLITS = (("test_2000-01-01", "2000-01-01"), ("test_2001-01-01", "2001-01-01"))
-N_BOOT = 200
+N_CI, N_P = 1000, 9999
 VALUES = [c for c in HYPOTHESES if c not in ("regime_label", "intraday_regime_change", "day_sequence_pattern", "regime_score_argmax")]
 
 
@@ -167,17 +168,28 @@ CTES = {
     "spl": "select * from (values " + ", ".join(f"('{n}', (select min(date_local) from labels where day_complete), date '{d}' - 1, date '{d}', date '{d}' + 364)" for n, d in SPLITS)
         + ") s(split, train_start, train_end, test_start, test_end)",
     "vals": " union all ".join(f"select date_local, cp, regime_label, '{c}' as feature, {c}::double as value from feat where {c} is not null" for c in VALUES),
+    "tsr": f"""select s.split, g.date_local, g.cp, f.regime_label, g.k_cp, g.tmax_hour, hour({LOCAL.format(x="c.cp_utc")}) as cp_hour, g.date_local <= s.train_end as train
+        from tgt g join feat f using (date_local, cp) join cpd c using (date_local, cp) join spl s on g.date_local between s.train_start and s.test_end""",
+    "tsh": "select split, cp, regime_label, month(date_local) as month, avg(tmax_hour) as peak from tsr where train group by all",
+    "tsm": "select split, cp, regime_label, avg(k_cp) as m, stddev_pop(k_cp) as sd from tsr where train group by all",
+    "tsf": """select t.*, peak - cp_hour as hours_to_expected_peak, peak as tmax_hour_by_regime_month, (k_cp - m) / greatest(sd, 1e0) as late_warming_anomaly
+        from (select *, month(date_local) as month from tsr) t left join tsh using (split, cp, regime_label, month) left join tsm using (split, cp, regime_label)""",
+    "tsv": " union all ".join(f"select split, date_local, cp, regime_label, '{c}' as feature, {c}::double as value, train from tsf where {c} is not null" for c in FROM_TRAINING),
+    "fits": """select s.split, v.feature, v.cp, v.date_local, v.value from vals v join spl s on v.date_local between s.train_start and s.train_end
+        union all select split, feature, cp, date_local, value from tsv where train""",
     "models": """select split, feature, cp, count(y) as n_train,
         case when min(x) = max(x) then avg(x) * avg(y) / (1 + avg(x) * avg(x)) else covar_pop(y, x) / var_pop(x) end as slope,
         case when min(x) = max(x) then avg(y) / (1 + avg(x) * avg(x)) else avg(y) - covar_pop(y, x) / var_pop(x) * avg(x) end as intercept
-        from (select s.split, v.feature, v.cp, (t.tmax - t.k_cp)::double as y, case when t.tmax is not null then v.value end as x
-              from vals v join spl s on v.date_local between s.train_start and s.train_end left join tgt t using (date_local, cp))
+        from (select v.split, v.feature, v.cp, (t.tmax - t.k_cp)::double as y, case when t.tmax is not null then v.value end as x
+              from fits v left join tgt t using (date_local, cp))
         group by all having count(*) >= 30 and count(y) >= 5""",
+    "tests": """select s.split, v.date_local, v.cp, v.regime_label, v.feature, v.value from vals v join spl s on v.date_local between s.test_start and s.test_end
+        union all select split, date_local, cp, regime_label, feature, value from tsv where not train""",
     "chal": """select m.split, v.date_local, m.feature, m.cp, v.regime_label as regime, t.tmax, t.k_cp::double as base_pred, t.k_cp + intercept + slope * value as pred,
         abs(t.k_cp - t.tmax)::double as base_error, abs(t.k_cp + intercept + slope * value - t.tmax) as error
-        from vals v join spl s on v.date_local between s.test_start and s.test_end join models m on m.split = s.split and m.feature = v.feature and m.cp = v.cp
+        from tests v join models m on m.split = v.split and m.feature = v.feature and m.cp = v.cp
         join tgt t on t.date_local = v.date_local and t.cp = v.cp
-        where s.split in (select split from spl join (select distinct date_local from tgt) d on d.date_local between test_start and test_end group by 1 having count(*) >= 30)""",
+        where v.split in (select split from spl join (select distinct date_local from tgt) d on d.date_local between test_start and test_end group by 1 having count(*) >= 30)""",
     "gain": "select *, base_error - error as gain, count(*) over (partition by feature, cp) as n from chal",
 }
 
@@ -198,15 +210,58 @@ def with_ctes(final: str) -> str:
     return f"with {head} {final}" if need else final
 
 
-def _draws(value: str, keys: str, source: str, order: str) -> str:
-    """Means of N_BOOT resamples of each group, drawn by md5 as in the library."""
-    place = "(('0x' || substr(md5('42|' || rep || '|' || j), 1, 8))::bigint % n)::bigint"
-    return f"""select {keys}, rep, list_sum(list_transform(range(0, n), lambda j: v[1 + {place}])) / n as stat
-        from (select {keys}, list({value} order by {order}) as v, count(*) as n from {source} group by all), (select unnest(range(0, {N_BOOT})) as rep)"""
+_CORR = "case when count(*) < 3 then 0 when min({a}) < max({a}) and min(tmax) < max(tmax) then covar_pop({a}, tmax) / sqrt(var_pop({a}) * var_pop(tmax)) end"
+
+def _draws(value: str, keys: str, source: str, order: str, reps: int) -> str:
+    """Means of resamples of each group, drawn by md5 as in the library; the digests serve all groups."""
+    number = "('0x' || substr(md5('42|' || rep || '|' || j), 1, 8))::bigint"
+    return f"""select {keys}, rep, list_sum(list_transform(places[1 : n], lambda x: v[1 + x % n])) / n as stat
+        from (select {keys}, list({value} order by {order}) as v, count(*) as n from {source} group by all),
+        (select rep, list({number} order by j) as places from (select unnest(range(0, {reps})) as rep),
+         (select unnest(range(0, (select max(n) from (select count(*) as n from {source} group by {keys})))) as j) group by rep)"""
+
+
+def _statistics(source: str, keys: str) -> str:
+    """Effect, interval, p-value, errors, correlation gain and mode share by `keys`."""
+    return f"""select {keys}, n_days, effect_size, null_mae, model_mae, corr_diff, p50_mode_share,
+        quantile_cont(stat, 0.025) filter (rep < {N_CI}) as ci_lo, quantile_cont(stat, 0.975) filter (rep < {N_CI}) as ci_hi,
+        (count(*) filter (stat <= 0) + 1) / {N_P + 1}::double as p_value
+        from ({_draws("gain", keys, source, "date_local, split", N_P)})
+        join (select {keys}, count(*) as n_days, avg(gain) as effect_size, avg(base_error) as null_mae, avg(error) as model_mae,
+              {_CORR.format(a="pred")} - {_CORR.format(a="base_pred")} as corr_diff from {source} group by all) using ({keys})
+        join (select {keys}, max(c) / sum(c) as p50_mode_share from (select {keys}, round_even(pred, 0) as p, count(*) as c from {source} group by all) group by all) using ({keys})
+        group by {keys}, n_days, effect_size, null_mae, model_mae, corr_diff, p50_mode_share"""
+
+
+#: Gates of challengers: no fallback, checkpoints by the morning rule of the reference date.
+_MORNING = f"hour({LOCAL.format(x="(timestamp '2025-06-15' + to_hours(left(cp, 2)::int))")}) < 12"
+_FAILED = f"""concat_ws(' ', case when not coalesce(model_mae < null_mae, false) then 'G1' end, case when coalesce(p50_mode_share, 0) > 0.5 then 'G3' end,
+    case when not coalesce(case when {_MORNING} then ci_lo > 0 else corr_diff >= 0.05 end, false) then 'G4' end, case when not coalesce(model_mae < null_mae, false) then 'G5' end)"""
+_BLOCKED = "no source for sea surface temperature"
+_GRID = "select * from (values " + ", ".join(f"('{h}', '{c}')" for h, c in CATALOG) + ") a(id, feature), (values " + ", ".join(f"('{h}:00')" for h in CPS) + ") b(cp)"
+_TEXTS = "('regime_label', 'intraday_regime_change', 'day_sequence_pattern', 'regime_score_argmax')"
+CTES |= {
+    "gainall": "select * replace ('all' as regime) from gain where n >= 30 and feature <> 'sst_maritime_cap'",
+    "statall": f"select *, {_FAILED} as failed_gates from ({_statistics('gainall', 'feature, cp, regime')})",
+    "gainreg": """select * from (select *, count(*) over (partition by feature, cp, regime) as m from gain where feature <> 'sst_maritime_cap' and regime not in ('all', 'unknown', '')
+        and (feature, cp) in (select (feature, cp) from statall where ci_lo > 0 and failed_gates = '')) where m >= 30""",
+    "statreg": f"select *, {_FAILED} as failed_gates from ({_statistics('gainreg', 'feature, cp, regime')})",
+    "grid": _GRID,
+    "tested": "select * from statall union all by name select * from statreg",
+    "judged": f"""select g.id, t.*, null as blocked_reason, null as reason from tested t join grid g using (feature, cp)
+        union all by name select id, feature, cp, 'all' as regime, 0 as n_days, case when feature = 'sst_maritime_cap' then '{_BLOCKED}' end as blocked_reason,
+          case when feature in {_TEXTS} then 'unsupported_type' end as reason
+          from grid g where not exists (select 1 from statall s where s.feature = g.feature and s.cp = g.cp)""",
+    "ranked": """select *, p_value <= row_number() over (order by p_value, id, cp, regime) / (count(*) over ())::double * 0.05 as ok, row_number() over (order by p_value, id, cp, regime) as k
+        from judged where p_value is not null""",
+    "decided": """select j.*, coalesce(r.k <= (select max(k) from ranked where ok), false) as fdr_adjusted, coalesce(j.ci_lo > 0, false) as passes,
+        case when j.blocked_reason is not null then 'BLOCKED' when j.ci_lo > 0 and coalesce(r.k <= (select max(k) from ranked where ok), false) and j.failed_gates = '' then 'validated' else 'rejected' end as status
+        from judged j left join ranked r on r.id = j.id and r.cp = j.cp and r.regime = j.regime""",
+}
 
 
 _CIRC = "case when abs(s) >= 1e-10 or abs(c) >= 1e-10 then ((degrees(atan2(s, c)) % 360e0) + 360e0) % 360e0 end"
-_CORR = "case when count(*) < 3 then 0 when min({a}) < max({a}) and min(tmax) < max(tmax) then covar_pop({a}, tmax) / sqrt(var_pop({a}) * var_pop(tmax)) end"
+_STATS = ", ".join(six(c) for c in ("effect_size", "null_mae", "model_mae", "corr_diff", "p50_mode_share", "ci_lo", "ci_hi", "p_value"))
 _D = "cast(date_local as varchar) as date_local"
 
 FINAL = {
@@ -265,24 +320,19 @@ FINAL = {
     "wf_splits": f"""select split, cast(a as varchar) as train_start, cast(b - 1 as varchar) as train_end, cast(b as varchar) as test_start, cast(e as varchar) as test_end from
         (select s.split, (select min(date_local) from labels where day_complete) as a, s.b, s.e from (values ('test_1995-06-01', date '1995-06-01', date '1995-06-01' + 364),
         {", ".join(f"('{n}', date '{d}', date '{d}' + 364)" for n, d in SPLITS)}, ('holdout_90d', {START}, {END})) s(split, b, e)) where b - a >= 365""",
-    "train_stat_features": f"""select t.split, {_D.replace("date_local as", "t.date_local as")}, t.cp, {six("peak - cp_hour", "hours_to_expected_peak")}, {six("peak", "tmax_hour_by_regime_month")},
-        {six("(k_cp - m) / greatest(sd, 1e0)", "late_warming_anomaly")} from (select s.split, g.date_local, g.cp, f.regime_label, g.k_cp, hour({LOCAL.format(x="c.cp_utc")}) as cp_hour
-          from tgt g join feat f using (date_local, cp) join cpd c using (date_local, cp) join spl s on g.date_local between s.test_start and s.test_end) t
-        left join (select s.split, g.cp, f.regime_label, month(g.date_local) as month, avg(g.tmax_hour) as peak from tgt g join feat f using (date_local, cp)
-          join spl s on g.date_local between s.train_start and s.train_end group by all) h on h.split = t.split and h.cp = t.cp and h.regime_label = t.regime_label and h.month = month(t.date_local)
-        left join (select s.split, g.cp, f.regime_label, avg(g.k_cp) as m, stddev_pop(g.k_cp) as sd from tgt g join feat f using (date_local, cp)
-          join spl s on g.date_local between s.train_start and s.train_end group by all) q on q.split = t.split and q.cp = t.cp and q.regime_label = t.regime_label""",
+    "train_stat_features": f"""select split, {_D}, cp, {six("hours_to_expected_peak")}, {six("tmax_hour_by_regime_month")}, {six("late_warming_anomaly")} from tsf where not train""",
     "ols_models": f"select split, feature, cp, n_train, {six('slope')}, {six('intercept')} from models",
     "challenger_errors": f"select split, {_D}, feature, cp, tmax, {six('base_pred')}, {six('pred')}, {six('base_error')}, {six('error')} from chal",
     "bootstrap_mean": f"""select name, cp, {six("point")}, {six("quantile_cont(stat, 0.025)", "lo")}, {six("quantile_cont(stat, 0.975)", "hi")}
-        from ({_draws("abs_error", "name, cp", "errs", "date_local")}) join (select name, cp, avg(abs_error) as point from errs group by all) using (name, cp) group by name, cp, point""",
-    "hypothesis_statistics": f"""select feature, cp, n_days, {six("effect_size")}, {six("null_mae")}, {six("model_mae")}, {six("corr_diff")}, {six("p50_mode_share")},
-        {six("quantile_cont(stat, 0.025)", "ci_lo")}, {six("quantile_cont(stat, 0.975)", "ci_hi")}, {six(f"(count(*) filter (stat <= 0) + 1) / {N_BOOT + 1}", "p_value")}
-        from ({_draws("gain", "feature, cp", "gain where n >= 30", "date_local, split")})
-        join (select feature, cp, count(*) as n_days, avg(gain) as effect_size, avg(base_error) as null_mae, avg(error) as model_mae,
-              {_CORR.format(a="pred")} - {_CORR.format(a="base_pred")} as corr_diff from gain where n >= 30 group by all) using (feature, cp)
-        join (select feature, cp, max(c) / sum(c) as p50_mode_share from (select feature, cp, round_even(pred, 0) as p, count(*) as c from gain where n >= 30 group by all) group by all) using (feature, cp)
-        group by feature, cp, n_days, effect_size, null_mae, model_mae, corr_diff, p50_mode_share""",
+        from ({_draws("abs_error", "name, cp", "errs", "date_local", N_CI)}) join (select name, cp, avg(abs_error) as point from errs group by all) using (name, cp) group by name, cp, point""",
+    "hypothesis_statistics": f"select feature, cp, n_days, {_STATS} from ({_statistics('(select * from gain where n >= 30)', 'feature, cp')})",
+    "hypothesis_results": f"""select id, feature, cp, regime, n_days, {_STATS}, per_cp_passed, all_passed, failed_gates, blocked_reason, reason, fdr_adjusted, passes, status
+        from (select *, case when n_days > 0 then model_mae < null_mae end as per_cp_passed, case when n_days > 0 then failed_gates = '' end as all_passed from decided)""",
+    "feature_contract": f"""select status as kind, id, feature as feature_column, cp, regime, {six("effect_size")}, {six("ci_lo")}, {six("ci_hi")}, {six("p_value")}, reason, 0.05e0 as alpha,
+        (select count(*) from decided where status <> 'BLOCKED') as n_hypotheses_tested, (select count(*) from decided where status = 'validated') as n_validated,
+        (select count(*) from decided where status = 'rejected') as n_rejected from (select * replace (lower(status) as status, case when status = 'BLOCKED' then blocked_reason end as reason,
+          case when status = 'validated' then regime end as regime, case when status = 'validated' then effect_size end as effect_size, case when status = 'validated' then ci_lo end as ci_lo,
+          case when status = 'validated' then ci_hi end as ci_hi, case when status = 'validated' then p_value end as p_value) from decided where status in ('validated', 'BLOCKED'))""",
     "baseline_gates": """select level, name, cp, bool_and(passed) over (partition by level, name, cp) as all_passed, gate, passed, case when passed then 'OK' else bad end as status
         from (select level, name, cp, unnest([struct_pack(gate := 'G1', passed := mae < best, bad := 'KILL'),
           struct_pack(gate := 'G2', passed := coalesce(fallback_rate, 0) <= 0.5, bad := 'NOT_OPERATIONAL'), struct_pack(gate := 'G3', passed := p50_mode_share <= 0.5, bad := 'COLLAPSE_ALERT'),
@@ -295,6 +345,14 @@ FINAL = {
           case when min(value) = max(value) then avg(y) / (1 + avg(value) * avg(value)) else avg(y) - covar_pop(y, value) / var_pop(value) * avg(value) end as intercept
           from (select v.feature, v.cp, v.value, (t.tmax - t.k_cp)::double as y from vals v join tgt t using (date_local, cp) where v.date_local < {START}) group by all having count(*) >= 5) m
         using (feature, cp) where v.date_local between {START} and {END}) group by all having count(*) >= 5""",
+    "leaderboard": f"""select cp, {START}::varchar as window_start, {END}::varchar as window_end, b.level as best_level, b.name as best_name, n_segments, n_feature_nulls, level, name,
+        {six("mae")}, {six("rmse")}, {six("bias")}, {six("bracket_match")}, {six("fallback_rate")}, {six("p50_mode_share")}, n,
+        concat_ws(' ', case when not mae < best then 'G1' end, case when coalesce(fallback_rate, 0) > 0.5 then 'G2' end, case when p50_mode_share > 0.5 then 'G3' end, 'G4', case when not mae <= best then 'G5' end) as failed_gates
+        from (select *, min(mae) over (partition by cp) as best from summ) join (select cp, first(struct_pack(level := level, name := name) order by mae, level) as b from summ group by 1) using (cp)
+        left join (select cp, count(*) as n_segments from (select distinct cp, coalesce(regime_label, 'unknown') as r, level, name from errs left join feat using (date_local, cp)) group by 1) using (cp)
+        left join (select cp, count(*) as n_feature_nulls from (select v.feature, v.cp from vals v join tgt t using (date_local, cp) where v.date_local between {START} and {END}
+          and (v.feature, v.cp) in (select (v.feature, v.cp) from vals v join tgt t using (date_local, cp) where v.date_local < {START} group by v.feature, v.cp having count(*) >= 5)
+          group by all having count(*) >= 5) group by 1) using (cp)""",
 }
 
 ORACLES = {name: with_ctes(sql) for name, sql in FINAL.items()}

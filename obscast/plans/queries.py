@@ -17,8 +17,7 @@ from obscast.sources import fixtures, io
 CONFIG = Config(min_obs=8, max_gap_minutes=360)
 TEST_STARTS = [dt.date(2000, 1, 1), dt.date(2001, 1, 1)]
 AS_OF, WINDOW = dt.date(2001, 10, 1), 90
-#: Replicates of the two queries whose SQL draws as many; those without SQL take N_CI and N_P.
-N_BOOT = 200
+#: Replicates of intervals and of p-values.
 N_CI, N_P = 1000, 9999
 
 
@@ -270,41 +269,49 @@ def wf_splits(spark, sf_dir):
 
 def _backtest(spark, sf_dir):
     days, made = day_labels(spark, sf_dir), table(spark, sf_dir)
-    return made, days, challengers.long_features(made), challengers.targets(days, CONFIG), plan(spark, days)
+    spans = plan(spark, days)
+    own = challengers.split_values(made, days, spans, CONFIG)
+    return made, days, challengers.long_features(made), challengers.targets(days, CONFIG), spans, own
 
 
 def train_stat_features(spark, sf_dir):
-    made, days, _, _, spans = _backtest(spark, sf_dir)
+    made, days, _, _, spans, _ = _backtest(spark, sf_dir)
     return shown(challengers.train_stats(made, days, spans, CONFIG))
 
 
 def ols_models(spark, sf_dir):
-    _, _, values, target, spans = _backtest(spark, sf_dir)
-    return shown(challengers.fit_models(values, target, spans))
+    _, _, values, target, spans, own = _backtest(spark, sf_dir)
+    return shown(challengers.fit_models(values, target, spans, own))
 
 
 def challenger_errors(spark, sf_dir):
-    _, _, values, target, spans = _backtest(spark, sf_dir)
-    return shown(challengers.challenger_errors(values, target, spans).drop("regime"))
+    _, _, values, target, spans, own = _backtest(spark, sf_dir)
+    return shown(challengers.challenger_errors(values, target, spans, own).drop("regime"))
 
 
 def _gains(spark, sf_dir):
-    _, _, values, target, spans = _backtest(spark, sf_dir)
-    return challengers.challenger_errors(values, target, spans).persist()
+    _, _, values, target, spans, own = _backtest(spark, sf_dir)
+    return challengers.challenger_errors(values, target, spans, own).persist()
 
 
 def bootstrap_mean(spark, sf_dir):
     days = recent_errors(spark, sf_dir)
-    return shown(inference.bootstrap_ci(days, ["name", "cp"], "abs_error", ["date_local"], N_BOOT))
+    return shown(inference.bootstrap_ci(days, ["name", "cp"], "abs_error", ["date_local"], N_CI))
 
 
 def hypothesis_statistics(spark, sf_dir):
-    found = inference.statistics(_gains(spark, sf_dir), ["feature", "cp"], N_BOOT, N_BOOT, CONFIG.seed)
+    found = inference.statistics(_gains(spark, sf_dir), ["feature", "cp"], N_CI, N_P, CONFIG.seed)
     return shown(found)
 
 
 def hypothesis_results(spark, sf_dir):
-    return shown(_validated(spark, sf_dir))
+    found = _validated(spark, sf_dir)
+    return shown(found.withColumn("failed_gates", _failed(F.col("gates"))).drop("gates", "skill_ci_lo", "fallback_rate"))
+
+
+def _failed(gates: Column) -> Column:
+    """Names of the gates that were not passed."""
+    return F.array_join(F.transform(F.filter(gates, lambda g: ~g["passed"]), lambda g: g["gate"]), " ")
 
 
 def _validated(spark, sf_dir):
@@ -313,7 +320,12 @@ def _validated(spark, sf_dir):
 
 
 def feature_contract(spark, sf_dir):
-    return inference.contract(_validated(spark, sf_dir))
+    """A row for each validated or blocked feature of the contract, with its counts."""
+    one = inference.contract(_validated(spark, sf_dir)).persist()
+    counts = [six("alpha").alias("alpha"), "n_hypotheses_tested", "n_validated", "n_rejected"]
+    good = one.select(F.lit("validated").alias("kind"), F.inline("validated_features"), F.lit(None).cast("string").alias("reason"), *counts)
+    held = one.select(F.lit("blocked").alias("kind"), F.inline("blocked"), *counts)
+    return shown(good.unionByName(held, allowMissingColumns=True))
 
 
 def baseline_gates(spark, sf_dir):
@@ -323,14 +335,19 @@ def baseline_gates(spark, sf_dir):
 
 
 def feature_nulls(spark, sf_dir):
-    _, days, values, _, _ = _backtest(spark, sf_dir)
+    _, days, values, *_ = _backtest(spark, sf_dir)
     return shown(board.feature_nulls(values, days, values.select("feature", "cp"), AS_OF, WINDOW, CONFIG))
 
 
 def leaderboard(spark, sf_dir):
-    made, days, values, _, _ = _backtest(spark, sf_dir)
+    made, days, values, *_ = _backtest(spark, sf_dir)
     nulls = board.feature_nulls(values, days, values.select("feature", "cp"), AS_OF, WINDOW, CONFIG)
-    return board.leaderboard(recent_errors(spark, sf_dir), made, AS_OF, WINDOW, nulls, CONFIG)
+    found = board.leaderboard(recent_errors(spark, sf_dir), made, AS_OF, WINDOW, nulls, CONFIG)
+    rows = found.select(
+        "cp", "window_start", "window_end", F.col("best_null.level").alias("best_level"), F.col("best_null.name").alias("best_name"),
+        F.size("segments").alias("n_segments"), F.size("feature_nulls").alias("n_feature_nulls"), F.inline("entries"),
+    )
+    return shown(rows.withColumn("failed_gates", _failed(F.col("gates"))).drop("gates"))
 
 
 QUERIES = {
