@@ -23,8 +23,15 @@ class Config:
     seed: int = 42
     whole_hours: bool = False
     ref_date: str = "2025-06-15"
+    #: Columns that tell stations apart, kept through labels, slices and features; none for one station.
+    station: tuple[str, ...] = ()
     blocked: tuple[tuple[str, str], ...] = (("sst_maritime_cap", "no source for sea surface temperature"),)
 
+    @property
+    def day(self) -> tuple[str, ...]:
+        """The key of a day."""
+        return (*self.station, "date_local")
+
 
 #: Hypothesis ids and the feature columns that they test, H1 to H23 (fixed names).
 HYPOTHESES = (

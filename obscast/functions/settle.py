@@ -32,7 +32,3 @@ def flip_risk(x: Column) -> Column:
 def day_flip_distance(x: Column) -> Column:
     """Distance to the rounding boundary as daily labels carry it, ten decimals."""
     return F.round(0.5 - F.abs(x - F.bround(x)), 10)
-
-
-def remaining_warming(tmax: Column, k_cp: Column) -> Column:
-    return tmax - k_cp

@@ -11,7 +11,7 @@ from obscast.functions import calendar
 
 def with_change(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """delta_t_per_h: change since the day's previous report; null at the first or in the same instant."""
-    order = Window.partitionBy("date_local").orderBy("valid", "obs_id")
+    order = Window.partitionBy(*config.day).orderBy("valid", "obs_id")
     micros = F.unix_micros("valid") - F.unix_micros(F.lag("valid").over(order))
     hours = F.floor(micros / 3_600_000_000) if config.whole_hours else micros / 3_600_000_000
     change = (F.col("tmp_c_int") - F.lag("tmp_c_int").over(order)).cast("double")
@@ -56,10 +56,10 @@ def anchor_value(anchor: int, columns: tuple[str, ...]) -> Column:
 
 def nearest_anchors(slices: DataFrame, columns: tuple[str, ...], config: Config = Config()) -> DataFrame:
     """(date_local, cp, anchor, columns...) of the anchors that have a report near them."""
-    wide = slices.groupBy("date_local", "cp").agg(*[anchor_value(a, columns).alias(f"a{a}") for a in config.anchors])
+    wide = slices.groupBy(*config.day, "cp").agg(*[anchor_value(a, columns).alias(f"a{a}") for a in config.anchors])
     pairs = F.array(*[F.struct(F.lit(a).alias("anchor"), F.col(f"a{a}").alias("v")) for a in config.anchors])
-    rows = wide.select("date_local", "cp", F.explode(pairs).alias("x")).where("x.v is not null")
-    return rows.select("date_local", "cp", "x.anchor", "x.v.*")
+    rows = wide.select(*config.day, "cp", F.explode(pairs).alias("x")).where("x.v is not null")
+    return rows.select(*config.day, "cp", "x.anchor", "x.v.*")
 
 
 def require_causal(features: DataFrame, last: str = "feature_max_ts", label: str = "features") -> DataFrame:

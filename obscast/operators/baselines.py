@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obscast.config import Config
+from obscast.functions.parse import ensure_columns
 from obscast.functions.settle import settle
 from obscast.operators.labels import k_cp_long
 
@@ -156,14 +157,28 @@ def ladder_errors(
     return score(rows.select("date_local", "cp", "truth", F.explode(made).alias("f")).where("f.pred is not null").select("*", "f.*"))
 
 
+def missing_previous_days(labels: DataFrame, recent: DataFrame, config: Config = Config()) -> DataFrame:
+    """(cp, n, n_missing): days with a value so far, and those of them whose previous day L1 lacks."""
+    rows = k_cp_long(recent, config).where("k_cp is not null")
+    before = labels.select(F.date_add("date_local", 1).alias("date_local"), F.col("tmax_int").alias("before"))
+    return rows.join(before, "date_local", "left").groupBy("cp").agg(F.count("*").alias("n"), F.count_if(F.col("before").isNull()).alias("n_missing"))
+
+
 def ladder_summary(errors: DataFrame) -> DataFrame:
-    """Scores by (level, name, cp), with the share of the most common prediction."""
+    """Scores by (level, name, cp), with the share of the most common prediction.
+
+    rps averages the scores other than zero, 0 without any; corr_diff is a group's first one.
+    Both columns are optional in `errors`: point baselines have neither.
+    """
+    errors = ensure_columns(errors, {"rps": "double", "corr_diff": "double"})
     keys = ["level", "name", "cp"]
     modes = errors.groupBy(*keys, F.bround("pred").alias("p")).agg(F.count("*").alias("c"))
     share = modes.groupBy(*keys).agg((F.max("c") / F.sum("c")).alias("p50_mode_share"))
     found = errors.groupBy(*keys).agg(
         F.avg("abs_error").alias("mae"), F.sqrt(F.avg("sq_error")).alias("rmse"), F.avg("error").alias("bias"),
         F.avg("bracket_match").alias("bracket_match"), F.avg("fallback").alias("fallback_rate"), F.count("*").alias("n"),
+        F.coalesce(F.avg(F.when(F.col("rps") != 0, F.col("rps"))), F.lit(0.0)).alias("rps"),
+        F.min_by("corr_diff", F.when(F.col("corr_diff").isNotNull(), F.col("date_local"))).alias("corr_diff"),
     )
     return found.join(share, keys)
 

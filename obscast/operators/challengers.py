@@ -27,7 +27,7 @@ def long_features(features: DataFrame, columns=HYPOTHESES) -> DataFrame:
 def targets(labels: DataFrame, config: Config = Config()) -> DataFrame:
     """(date_local, cp, tmax, k_cp) of the complete days that have both."""
     done = labels.where("day_complete and tmax_int is not null")
-    rows = k_cp_long(done, config).join(done.select("date_local", F.col("tmax_int").alias("tmax")), "date_local")
+    rows = k_cp_long(done, config).join(done.select(*config.day, F.col("tmax_int").alias("tmax")), [*config.day])
     return rows.where("k_cp is not null")
 
 

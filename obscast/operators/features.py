@@ -55,9 +55,9 @@ def _slice_columns() -> list[Column]:
     ]
 
 
-def slice_aggregates(slices: DataFrame) -> DataFrame:
+def slice_aggregates(slices: DataFrame, config: Config = Config()) -> DataFrame:
     rows = ensure_columns(slices, LAYERS)
-    return rows.groupBy("date_local", "cp", "cp_utc", "cp_hour").agg(*_slice_columns())
+    return rows.groupBy(*config.day, "cp", "cp_utc", "cp_hour").agg(*_slice_columns())
 
 
 def regime(few: str) -> Column:
@@ -79,8 +79,8 @@ def intraday_change() -> Column:
 def regime_by_day(obs: DataFrame, config: Config = Config()) -> DataFrame:
     """The regime of each whole local date from all its reports with a temperature."""
     rows = with_change(obs.where("dq_tmp_c_int <> 'missing'"), config)
-    days = ensure_columns(rows, LAYERS).groupBy("date_local").agg(*_slice_columns())
-    return days.select("date_local", regime("calm").alias("regime"), "n_slice")
+    days = ensure_columns(rows, LAYERS).groupBy(*config.day).agg(*_slice_columns())
+    return days.select(*config.day, regime("calm").alias("regime"), "n_slice")
 
 
 def _ends(column: str, config: Config) -> tuple[Column, Column, Column]:
@@ -114,11 +114,11 @@ def build_features(obs: DataFrame, labels: DataFrame, config: Config = Config())
     """
     slices = ensure_columns(causal_slices(obs, config), LAYERS)
     anchors = [anchor_value(a, ANCHORED).alias(f"a{a}") for a in config.anchors]
-    got = slices.groupBy("date_local", "cp", "cp_utc", "cp_hour").agg(*_slice_columns(), *anchors)
+    got = slices.groupBy(*config.day, "cp", "cp_utc", "cp_hour").agg(*_slice_columns(), *anchors)
     got = require_causal(got)
-    days = neighbour_days(labels)
+    days = neighbour_days(labels, config=config)
     grid = days.withColumn("cp", F.explode(F.array(*[F.lit(c) for c in config.cps])))
-    rows = grid.join(got, ["date_local", "cp"], "left")
+    rows = grid.join(got, [*config.day, "cp"], "left")
     some = F.col("n_slice").isNotNull()
     label = regime("insufficient")
     north = F.coalesce(in_sector(F.col("circular_dir"), 315, 45), F.lit(False))
@@ -132,7 +132,7 @@ def build_features(obs: DataFrame, labels: DataFrame, config: Config = Config())
     flag = lambda c: F.when(some, F.coalesce(c, F.lit(False)).cast("int"))
     flags = F.when(F.col("n_slice") >= 3, F.to_json(F.struct(intraday_change().alias("intraday_regime_change"))))
     return rows.withColumn("regime_label", label).select(
-        "date_local", "cp", "regime_label", F.coalesce(flags, F.lit("{}")).alias("regime_flags"),
+        *config.day, "cp", "regime_label", F.coalesce(flags, F.lit("{}")).alias("regime_flags"),
         _trend("tmp_c_int", config).alias("slope_3h"),
         F.lit(None).cast("double").alias("hours_to_expected_peak"),
         F.col("depression").alias("dewpoint_depression"),

@@ -58,6 +58,15 @@ def bootstrap_ci(
     return point.join(found, keys).select(*keys, "point", F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
 
 
+def bootstrap_ci_diff(
+    rows: DataFrame, keys: list[str], a: str, b: str, order: list[str], n_boot: int = 1000, confidence: float = 0.95, seed: int = 42
+) -> DataFrame:
+    """(keys, point, lo, hi) of the mean of a - b over pairs; the job fails if one of a pair is missing."""
+    wrong = F.raise_error(F.lit(f"{a} and {b} have not as many values")).cast("double")
+    paired = F.when(F.col(a).isNull() != F.col(b).isNull(), wrong).otherwise(F.col(a) - F.col(b))
+    return bootstrap_ci(rows.withColumn("__diff", paired).where("__diff is not null"), keys, "__diff", order, n_boot, confidence, seed)
+
+
 def bootstrap_p(rows: DataFrame, keys: list[str], value: str, order: list[str], n_boot: int = 9999, seed: int = 42) -> DataFrame:
     """(keys, p_value) of the mean being above zero: (resamples not above + 1) / (resamples + 1)."""
     found = replicates(rows, keys, value, order, n_boot, seed)

@@ -17,19 +17,15 @@ from obscast.functions.parse import f_to_c
 from obscast.functions.settle import day_flip_distance
 
 
-def checkpoints(spark, config: Config) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in config.cps], "cp string")
-
-
-def observation_gaps(obs: DataFrame) -> DataFrame:
+def observation_gaps(obs: DataFrame, config: Config = Config()) -> DataFrame:
     """Rows with a temperature of their own and the whole minutes since the day's previous one."""
-    return _with_gaps(obs).where("dq_tmp_c_int = 'ok'")
+    return _with_gaps(obs, config).where("dq_tmp_c_int = 'ok'")
 
 
-def _with_gaps(obs: DataFrame) -> DataFrame:
+def _with_gaps(obs: DataFrame, config: Config) -> DataFrame:
     """All rows, with gap_min on those that have a temperature of their own."""
     ok = F.col("dq_tmp_c_int") == "ok"
-    before = Window.partitionBy("date_local").orderBy("valid", "obs_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*config.day).orderBy("valid", "obs_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(ok, F.unix_micros("valid")), ignorenulls=True).over(before)
     return obs.withColumn("gap_min", F.when(ok, F.floor((F.unix_micros("valid") - last) / 60_000_000).cast("long")))
 
@@ -46,9 +42,9 @@ def daily_labels(obs: DataFrame, config: Config = Config()) -> DataFrame:
         for k, cp in enumerate(config.cps)
     ]
     instants = F.array(*[calendar.cp_to_utc(F.col("date_local"), F.lit(cp), config.tz) for cp in config.cps])
-    rows = _with_gaps(obs).select("*", F.inline(F.array(F.struct(instants.alias("instants")))))
+    rows = _with_gaps(obs, config).select("*", F.inline(F.array(F.struct(instants.alias("instants")))))
     quarters = [F.bool_or(own & (calendar.quartile(F.col("hour_local")) == q)).cast("int") for q in range(4)]
-    days = rows.groupBy("date_local").agg(
+    days = rows.groupBy(*config.day).agg(
         row.alias("top"), F.min(only("tmp_c_int")).alias("tmin_int"), F.min(only("tmpf")).alias("tmpf_min"),
         F.count_if(own).alias("n_obs"), F.max("gap_min").alias("max_gap_min"), F.count_if(F.col("dq_tmp_c_int") == "imputed").alias("n_imputed"),
         F.min(only("hour_local")).alias("first_hour"), F.max(only("hour_local")).alias("last_hour"),
@@ -65,9 +61,11 @@ def daily_labels(obs: DataFrame, config: Config = Config()) -> DataFrame:
     hour = F.col("top.hour_local")
     tmax_dec = f_to_c(F.col("top.tmpf"))
     return days.select(
-        "date_local", F.col("top.tmp_c_int").alias("tmax_int"), "tmin_int", tmax_dec.alias("tmax_dec"),
+        *config.day, F.col("top.tmp_c_int").alias("tmax_int"), "tmin_int", tmax_dec.alias("tmax_dec"),
         f_to_c(F.col("tmpf_min")).alias("tmin_dec"), "tmpf_min", "n_obs", "max_gap_min", "n_imputed",
         F.lit("ok").alias("tmax_source"), F.col("top.ts_local").alias("tmax_ts"), hour.cast("long").alias("tmax_hour"),
+        hour.cast("long").alias("tmax_hour_local"),
+        F.concat(F.col("date_local").cast("string"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00:00")).alias("tmax_hour_str"),
         calendar.local_hour_to_utc(F.col("date_local"), hour, config.tz).alias("tmax_hour_utc"),
         ((hour < 6) | (hour > 18)).alias("tmax_atypical_hour"), day_flip_distance(tmax_dec).alias("risco_de_flip"),
         complete.alias("day_complete"), *[F.col(f"k_cp__cp_{cp.replace(':', '')}") for cp in config.cps],
@@ -77,16 +75,16 @@ def daily_labels(obs: DataFrame, config: Config = Config()) -> DataFrame:
 def k_cp_long(labels: DataFrame, config: Config = Config()) -> DataFrame:
     """(date_local, cp, k_cp), dates without an earlier report kept as null."""
     pairs = [F.struct(F.lit(cp).alias("cp"), F.col(f"k_cp__cp_{cp.replace(':', '')}").alias("k_cp")) for cp in config.cps]
-    return labels.select("date_local", F.explode(F.array(*pairs)).alias("x")).select("date_local", "x.*")
+    return labels.select(*config.day, F.explode(F.array(*pairs)).alias("x")).select(*config.day, "x.*")
 
 
-def neighbour_days(labels: DataFrame, back: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def neighbour_days(labels: DataFrame, back: tuple[int, ...] = (1, 2, 3), config: Config = Config()) -> DataFrame:
     """date_local and the maxima of the calendar days before it, null across gaps."""
-    own = labels.select("date_local")
+    own = labels.select(*config.day)
     shifted = labels.select(
-        F.explode(F.array(*[F.struct(F.date_add("date_local", n).alias("d"), F.lit(n).alias("n")) for n in back])).alias("s"), "tmax_int"
+        *config.station, F.explode(F.array(*[F.struct(F.date_add("date_local", n).alias("d"), F.lit(n).alias("n")) for n in back])).alias("s"), "tmax_int"
     )
-    wide = shifted.groupBy(F.col("s.d").alias("date_local")).agg(
+    wide = shifted.groupBy(*config.station, F.col("s.d").alias("date_local")).agg(
         *[F.max(F.when(F.col("s.n") == n, F.col("tmax_int"))).alias(f"tmax_dminus{n}") for n in back]
     )
-    return own.join(wide, "date_local", "left")
+    return own.join(wide, [*config.day], "left")

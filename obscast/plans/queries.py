@@ -12,6 +12,7 @@ from obscast.functions import calendar, settle
 from obscast.functions.parse import annotate, in_sector, parse_stats, parse_temperatures, sky_weight
 from obscast.operators import asof, baselines, board, challengers, features, inference, labels, metrics, splits
 from obscast.sources import fixtures, io
+from obscast.sources.shared import shared_path
 
 #: Completeness that the derived tables reach, backtest years and the recent window.
 CONFIG = Config(min_obs=8, max_gap_minutes=360)
@@ -82,8 +83,6 @@ def parse_statistics(spark, sf_dir):
 
 
 def csv_roundtrip_scan(spark, sf_dir):
-    from obscast.sources.shared import shared_path
-
     raw = fixtures.lineitem_observations(spark, sf_dir)
     path = shared_path(spark, "observations")
     raw.select("obs_id", F.date_format("valid", "yyyy-MM-dd HH:mm").alias("valid"), "metar", "tmpf", "skyc1", "wxcodes").write.option(
@@ -199,6 +198,27 @@ def tmax_hour_month(spark, sf_dir):
     ))
 
 
+def tmax_hour_counts(spark, sf_dir):
+    days = day_labels(spark, sf_dir)
+    return shown(days.groupBy(F.month("date_local").alias("month"), "tmax_hour").agg(F.count("*").alias("n")))
+
+
+def missing_previous_days(spark, sf_dir):
+    days = day_labels(spark, sf_dir)
+    _, recent = board.recent_window(days, AS_OF, WINDOW)
+    return shown(baselines.missing_previous_days(days.where("day_complete"), recent, CONFIG))
+
+
+def job_chain(spark, sf_dir):
+    """Ingest and feature jobs over one folder of tables; the manifest as its JSON is read back."""
+    from obscast.plans import jobs
+
+    out = shared_path(spark, "job")
+    jobs.ingest(fixtures.lineitem_observations(spark, sf_dir), out, CONFIG)
+    kinds = jobs.build_features(spark, out, CONFIG).schema
+    return shown(spark.read.schema(kinds).json(f"{out}/feature_coverage/run=latest"))
+
+
 def climatology_doy(spark, sf_dir):
     train, _ = board.recent_window(day_labels(spark, sf_dir), AS_OF, WINDOW)
     return shown(baselines.climatology_doy(train))
@@ -299,6 +319,14 @@ def bootstrap_mean(spark, sf_dir):
     return shown(inference.bootstrap_ci(days, ["name", "cp"], "abs_error", ["date_local"], N_CI))
 
 
+def bootstrap_paired(spark, sf_dir):
+    """How much better than persistence the climatology is, day by day."""
+    days = recent_errors(spark, sf_dir)
+    one = lambda name: days.where(F.col("name") == name).select("cp", "date_local", F.col("abs_error").alias(name))
+    pairs = one("persistence").join(one("climatology_doy"), ["cp", "date_local"])
+    return shown(inference.bootstrap_ci_diff(pairs, ["cp"], "persistence", "climatology_doy", ["date_local"], N_CI))
+
+
 def hypothesis_statistics(spark, sf_dir):
     found = inference.statistics(_gains(spark, sf_dir), ["feature", "cp"], N_CI, N_P, CONFIG.seed)
     return shown(found)
@@ -355,10 +383,10 @@ QUERIES = {
     for f in (
         obs_parse_quality, parse_statistics, csv_roundtrip_scan, local_calendar, cp_instants, settlement_flip,
         daily_label_table, obs_gaps, k_cp_long, anchor_nearest, slice_aggregates, circular_wind, sky_codes, neighbour_days,
-        regime_by_day, regime_by_month, feature_table, coverage_manifest, hour_coverage, tmax_hour_month, climatology_doy,
+        regime_by_day, regime_by_month, feature_table, coverage_manifest, hour_coverage, tmax_hour_month, tmax_hour_counts, missing_previous_days, job_chain, climatology_doy,
         climatology_month, empirical_counts, empirical_dist, rps_scores, crps_scores, ladder_errors, ladder_summary,
         best_null, segment_mae, metrics_point, wf_splits, train_stat_features, ols_models, challenger_errors,
-        bootstrap_mean, hypothesis_statistics, hypothesis_results, feature_contract, baseline_gates, feature_nulls,
+        bootstrap_mean, bootstrap_paired, hypothesis_statistics, hypothesis_results, feature_contract, baseline_gates, feature_nulls,
         leaderboard,
     )
 }

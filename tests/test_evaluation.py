@@ -168,5 +168,44 @@ def test_registered_results_accept_a_single_real_effect(spark, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda spark, sf_dir: made)
     got = queries.hypothesis_results(spark, "").collect()
     assert [(r.feature, r.cp, r.p_value) for r in got if r.status == "validated"] == [(real, "20:00", 0.0001)]
-    found = queries.feature_contract(spark, "").first()
-    assert (found.n_validated, [r.cp for r in found.validated_features]) == (1, ["20:00"])
+    found = queries.feature_contract(spark, "").where("kind = 'validated'").collect()
+    assert [(r.n_validated, r.feature_column, r.cp) for r in found] == [(1, real, "20:00")]
+
+
+def test_fits_from_sums_are_those_of_numpy_for_each_split(spark, history):
+    rng = random.Random(9)
+    days = history.collect()
+    rows = [(r.date_local, "20:00", "calm", "f", rng.gauss(3, 2) if k % 7 else None) for k, r in enumerate(days)] + [(r.date_local, "20:00", "calm", "g", 4.0) for r in days]
+    values = spark.createDataFrame(rows, "date_local date, cp string, regime_label string, feature string, value double").where("value is not null")
+    plan = splits.walk_forward_splits(spark, day(0), [day(400), day(530), day(800)], test_days=120)
+    own = values.where("feature = 'f'").withColumns({"split": F.lit(f"test_{day(530)}"), "part": F.lit("train"), "feature": F.lit("own")}).where(F.col("date_local") < F.lit(day(500)))
+    own = own.select("split", "part", "date_local", "cp", "regime_label", "feature", "value")
+    got = {(r.split, r.feature): r for r in challengers.fit_models(values, challengers.targets(history), plan, own).collect()}
+    aim = {r.date_local: r.tmax_int - r.k_cp__cp_2000 for r in days}
+    for name, feature, end in [(f"test_{day(n)}", f, n) for n in (400, 530, 800) for f in "fg"] + [(f"test_{day(530)}", "own", 500)]:
+        pairs = [(v, aim[d]) for d, _, _, f, v in rows if f == ("f" if feature == "own" else feature) and v is not None and d < day(end)]
+        x, y = (np.array(c, float) for c in zip(*pairs, strict=True))
+        want = np.linalg.lstsq(np.c_[x, np.ones(len(x))], y, rcond=None)[0]
+        r = got[name, feature]
+        assert r.n_train == len(x) and np.allclose([r.slope, r.intercept], want)
+    assert len(got) == 7
+
+
+def test_paired_interval_and_its_length_error(spark):
+    rows = [(k, "c", float(k % 5), float(k % 5) - 1.0) for k in range(50)]
+    pairs = spark.createDataFrame(rows, "date_local int, cp string, a double, b double")
+    r = inference.bootstrap_ci_diff(pairs, ["cp"], "a", "b", ["date_local"], 50).first()
+    assert (r.point, r.lo, r.hi) == (1.0, 1.0, 1.0)
+    short = pairs.withColumn("b", F.when(F.col("date_local") > 3, F.col("b")))
+    with pytest.raises(Exception, match="have not as many values"):
+        inference.bootstrap_ci_diff(short, ["cp"], "a", "b", ["date_local"], 50).collect()
+
+
+def test_roll_up_of_optional_scores_and_missing_previous_days(spark, history):
+    errors = [("L0", "x", day(k), "20:00", 5.0, 1.0, 1.0, 1.0, 1.0, None, r, c) for k, (r, c) in enumerate([(0.0, None), (0.2, 0.5), (0.4, 0.7)])]
+    kinds = "level string, name string, date_local date, cp string, pred double, error double, abs_error double, sq_error double, bracket_match double, fallback double, rps double, corr_diff double"
+    r = baselines.ladder_summary(spark.createDataFrame(errors, kinds)).first()
+    assert abs(r.rps - 0.3) < 1e-12 and r.corr_diff == 0.5
+    recent = history.where(F.col("date_local").between(F.lit(day(10)), F.lit(day(19))))
+    before = history.where(F.col("date_local") != F.lit(day(14)))
+    assert {(r.cp, r.n, r.n_missing) for r in baselines.missing_previous_days(before, recent).collect()} == {(c, 10, 1) for c in CONFIG.cps}

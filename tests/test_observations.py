@@ -126,3 +126,26 @@ def test_partitioning_does_not_change_results(spark, morning):
     a = features.build_features(obs, days, CONFIG).collect()
     b = features.build_features(obs.repartition(7), days.repartition(3), CONFIG).collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_two_stations_in_one_table_are_those_of_each_alone(spark, morning):
+    both = Config(min_obs=3, max_gap_minutes=1440, station=("station",))
+    warm = [(*r[:2], "X 25/11", *r[3:]) for r in morning[1:]]
+    a, b = (table(spark, rows).withColumn("station", F.lit(s)) for s, rows in (("A", morning), ("B", warm)))
+    obs = a.unionByName(b)
+    days = labels.daily_labels(obs, both)
+    for name, own in (("A", a), ("B", b)):
+        alone = labels.daily_labels(own, CONFIG)
+        assert days.where(F.col("station") == name).drop("station").collect() == alone.collect()
+        made = features.build_features(own, alone, CONFIG).orderBy("cp").collect()
+        found = features.build_features(obs, days, both).where(F.col("station") == name).drop("station").orderBy("cp")
+        assert found.collect() == made
+        gaps = labels.observation_gaps(obs, both).where(F.col("station") == name).select("obs_id", "gap_min")
+        assert sorted(gaps.collect()) == sorted(labels.observation_gaps(own).select("obs_id", "gap_min").collect())
+    assert labels.k_cp_long(days, both).columns == ["station", "date_local", "cp", "k_cp"]
+
+
+def test_a_report_is_parsed_once_in_the_plan(spark, morning):
+    rows = table(spark, morning).where("dq_tmp_c_int <> 'missing' and tmp_c_int > 3")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1
