@@ -40,9 +40,8 @@ from obscast.llm.merges import merger
 from obscast.llm.packing import slices
 from obscast.llm.shared import cut
 
-#: Size of the lexicon, and the count in one task from which a word is reported.
-LEXICON_WORDS = 50_000
-LEAST_COUNT = 8
+#: Size of the lexicon, and parts of the count that fits in part.
+LEXICON_WORDS, FILL = 50_000, 4096
 #: Words kept encoded in a worker process.
 MEMO_WORDS = 200_000
 
@@ -58,8 +57,13 @@ PATTERN = regex.compile(
 )
 #: Marks that end a word and are words of their own after it.
 PERIODS = frozenset(".,;:!?|")
-#: Characters whose class does not depend on the Unicode version; chunks with others go to the library.
-STABLE = re.compile("[\\t-\\r -~\\xa0-\\xff]+")
+#: Characters whose class has been the same in every version of Unicode since 4.0: Latin, Greek,
+#: Cyrillic, Hebrew and Arabic letters, general punctuation, kana, Han and Hangul. Chunks with
+#: others (emoji, combining marks, rare scripts) go to the library.
+STABLE = re.compile(
+    "[\\t-\\r -~\\xa0-\u0220\u0222-\u0233\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ce\u05d0-\u05ea\u0621-\u063a\u0641-\u064a"
+    "\u2010-\u2027\u2030-\u2038\u203b-\u203e\u20ac\u3001-\u3003\u3008-\u3011\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+"
+)
 
 
 class Encoder:
@@ -176,40 +180,56 @@ def _encoder(tokenizer: str, lexicon: str | None) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
-    """The most frequent words of all texts, `most` at most, as the pattern writes them after a space: word, n."""
+    """The most frequent words of all texts, `most` at most, as the pattern writes them after a space: word, n.
+
+    Chunks between white space are counted over all texts, partial counts in each task, all
+    of them added up by a shuffle; each distinct chunk is split into words once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: Counter = Counter()
 
         def report() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in chunks.items():
-                if n >= LEAST_COUNT:
-                    for word in PATTERN.findall(f" {chunk.decode()}"):
-                        words[word] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.binary()), pa.array(list(chunks.values()), pa.int64())], ["chunk", "n"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.large_binary()):
                 chunks.update((text.as_py() or b"").split())
-            if len(chunks) > MEMO_WORDS:
-                yield report()
-                chunks.clear()
+                if len(chunks) > MEMO_WORDS:
+                    yield report()
+                    chunks.clear()
         yield report()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long")
-    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")))
-    # A histogram of counts tells from which count on the words fit, so no task sends a
-    # list of its own to the driver. At most 64 steps for each doubling, some thousand rows.
-    step = F.floor(F.log2("n") * 64)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: Counter = Counter()
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for word in PATTERN.findall(f" {chunk.decode()}"):
+                    words[word] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+
+    chunks = docs.select("text").mapInArrow(count, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counted = cut(chunks.mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # A histogram of counts tells from which count on the words fit, so no task sends a list
+    # of its own to the driver: 64 steps for each doubling, some thousand rows. The step that
+    # fits in part is filled up by a hash of the word.
+    step, share = F.floor(F.log2("n") * 64), F.pmod(F.xxhash64("word"), F.lit(FILL))
     sizes = {r.step: r.words for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}
     held, least = 0, None
     for k in sorted(sizes, reverse=True):
-        held += sizes[k]
-        if held > most:
+        if held + sizes[k] > most:
+            break
+        held, least = held + sizes[k], k
+    else:
+        return counted
+    part = counted.where(step == k).groupBy(share.alias("share")).agg(F.count("*").alias("words")).collect()  # FILL rows at most
+    upto = -1
+    for r in sorted(part, key=lambda r: r.share):
+        if held + r.words > most:
             break
-        least = k
-    return counted.where(step >= least) if least is not None else counted.limit(0)
+        held, upto = held + r.words, r.share
+    whole = F.lit(False) if least is None else step >= least
+    return counted.where(whole | ((step == k) & (share <= upto)))
 
 
 def publish_lexicon(spark: SparkSession, words: Sequence[str], tokenizer: str) -> str:

@@ -415,6 +415,25 @@ def test_encode_and_decode_as_the_library(spark, texts, byte_bpe, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_other_scripts_are_merged_as_by_the_library(byte_bpe, monkeypatch):
+    path, library = byte_bpe
+    pools = ["абвгдежзий ", "αβγδεζη ", "日本語中文字 ", "한국어가나 ", "かなカナ ", "אבגדה ", "ابتثج ", "“”—…€’ ab ", "żółćęąœŠ 12"]
+    texts = ["".join(RANDOM.choices(RANDOM.choice(pools) + RANDOM.choice(["", ".,;:", "\n\t", "x9"]), k=RANDOM.randint(1, 40))) for _ in range(1500)]
+    encoder = bpe.Encoder(path, None)
+    monkeypatch.setattr(encoder, "library", None)  # none of these needs it
+    got = [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_counts_are_those_of_all_documents(spark, monkeypatch):
+    rows = [(k, f"rare{k % 90} often often. common{k % 3}") for k in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    got = {r.word: r.n for r in bpe.frequent_words(docs).collect()}
+    assert got[" often"] == 360 and got["."] == 180 and got[" common1"] == 60 if " common1" in got else got[" common"] == 180
+    few = {r.word: r.n for r in bpe.frequent_words(docs, 4).collect()}
+    assert len(few) <= 4 and all(got[w] == n for w, n in few.items()) and " often" in few
+
+
 def test_lexicon_shares_suffixes_and_finds_exactly_its_words(tmp_path):
     have = {w.encode(): np.arange(k + 1) for k, w in enumerate(["walking", "talking", "talk", "tal", "é", "walks", "talks"])}
     data = lexicon.compile_lexicon(have)
@@ -505,6 +524,22 @@ def test_archives_read_back_as_the_pages(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_large_pages_lie_in_files_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 2000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    rows = [(k, f"u{k}", RANDOM.choice("abc") * (3000 if k % 3 else 1200) + str(k // 4)) for k in range(30)] + [(None, "v", "q" * 5000), (29, "w", "same" * 300), (29, "w", "same" * 300), (3, "x", "same" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.shared_path(spark, "warc-test")
+    warc.write_archive(warc.page_records(pages), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).count()
+    assert files > 5
+    read = warc.read_archive(spark, path, with_payload=True).collect()
+    whole = sorted(bytes(r.payload).decode() for r in read if r.record_type == "response")
+    assert len(read) == len(rows) and set(whole) == {r[2] for r in rows}
+    back = warc.round_trip(pages).collect()
+    assert sorted((r.page_id or -1, r.payload_bytes) for r in back) == sorted((r[0] or -1, len(r[2])) for r in rows)
+
+
 # -- 7: language ID -----------------------------------------------------------------------------
 
 
@@ -521,6 +556,12 @@ def test_languages_are_told_apart(spark, empty):
     assert all(got[k].lang_pred == ("aa", "zz")[k % 2] and 0.5 < got[k].score <= 1 for k in range(200))
     assert [(got[k].lang_pred, got[k].score) for k in (900, 901)] == [("und", 0.0)] * 2
     assert got[902].lang_pred == "aa"
+    few = langid.fit(docs.where(~langid.held_out()), sample=20)
+    assert few.languages == ["aa", "zz"]
+    long = spark.createDataFrame([(1, "zyx xyz " * 200_000, None, None, None)], DOCS)
+    assert langid.predict(long, model).first().lang_pred == "zz"
+    tied = langid.Model(["aa", "zz"], model.idf, np.zeros_like(model.weights), 1.0)
+    assert langid.predict(long, tied).first().lang_pred == "aa"
     nothing = langid.fit(empty)
     assert {(r.lang_pred, r.score) for r in langid.predict(docs, nothing).collect()} == {("und", 0.0)}
 
