@@ -1,7 +1,7 @@
 """WARC archives of web pages with duplicate payloads as revisit records.
 
-`page_records` decides record types from headers alone: digests are shuffled, payloads are
-not. `write_archive` writes records with fresh headers through Spark's text writer, whose
+`page_records` decides record types from headers alone: only digests and page_ids meet by
+digest, where a key may be hot; the decisions then meet the payloads by page. `write_archive` writes records with fresh headers through Spark's text writer, whose
 line separator is the blank line that ends a record, so any Hadoop store works. `read_archive`
 parses the files by Content-Length; `resolve` shuffles the headers that were read by payload
 digest and joins each revisit to the response it refers to.
@@ -9,7 +9,9 @@ digest and joins each revisit to the response it refers to.
 Defined results: a null html is an empty payload; a null url is written as an empty one;
 among equal rows of the largest page_id each is a response; a null page_id never is the one
 that others refer to, and is written without its header; an empty table gives no records.
-Files are gzip'ed as a whole and hold at most MAX_RECORDS records.
+Files are gzip'ed as a whole (the text writer knows no other way) and hold at most
+MAX_RECORDS records; records of more than LARGE bytes are dealt to files of about
+FILE_BYTES, so that no file outgrows a task.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obscast.llm.shared import shared_path
+from obscast.llm.shared import shared_path, stored
 
 #: Payloads of fewer bytes are always written whole.
 MIN_BYTES = 1000
-MAX_RECORDS = 10_000
+MAX_RECORDS, LARGE, FILE_BYTES = 10_000, 65_536, 64_000_000
+#: Parts into which the revisits of one payload are dealt when their response is looked up.
+SALTS = 8
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = "page_id long, url string, record_type string, digest string, refers_to long, payload_bytes long"
@@ -85,8 +89,14 @@ def record_text(record_type: Column) -> Column:
 
 def write_archive(records: DataFrame, path: str) -> None:
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    writer = records.select(record_text(kind).alias("value")).write.option("lineSep", "\r\n\r\n")
-    writer.option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS).text(path)
+    large = F.col("payload_bytes") > LARGE
+    volume = records.agg(F.sum(F.when(large, F.col("payload_bytes")))).first()[0] or 0
+    rows = records.select(record_text(kind).alias("value"))
+    if volume:
+        shelf = F.when(large, 1 + F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 + volume // FILE_BYTES))).otherwise(0)
+        rows = records.select(record_text(kind).alias("value"), shelf.alias("shelf")).repartition("shelf", F.pmod(F.xxhash64("page_id"), F.lit(64)))
+    writer = rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS)
+    (writer.partitionBy("shelf") if volume else writer).text(path)
 
 
 def _parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict, bytes]]:
@@ -139,7 +149,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                         rows, held = [], 0
                 yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, _READ + ", payload binary" * with_payload)
 
 
@@ -150,8 +160,11 @@ def resolve(heads: DataFrame) -> DataFrame:
     )
     asked = heads.where("record_type = 'revisit'").select("digest", "refers_to").distinct()
     found = asked.join(whole, ["digest", "refers_to"]).distinct()
+    # Very many pages may revisit one response: they are dealt into parts, the response into each.
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     size = F.coalesce("payload_bytes", "whole_bytes").alias("payload_bytes")
-    joined = heads.join(found, ["digest", "refers_to"], "left")
+    salted = heads.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(found, ["digest", "refers_to", "salt"], "left")
     return joined.select("page_id", "url", size, "digest", "record_type", "refers_to")
 
 
@@ -160,4 +173,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archive(page_records(pages), path)
-    return resolve(read_archive(spark, path))
+    return resolve(stored(read_archive(spark, path), "warc-heads"))
