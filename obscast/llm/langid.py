@@ -2,14 +2,15 @@
 
 1. `fit` counts in how many training documents each hashed n-gram occurs, over all of them.
 2. The weights are fitted by follow-the-regularised-leader with an elastic net on a bounded
-   sample: the SAMPLE documents of each language with the smallest hash of doc_id and text.
-   Their sparse features, at most BUCKETS entries a document, come to the driver.
+   sample: about SAMPLE documents of each language, SAMPLE_IN_ALL at most of all, those whose
+   hash of doc_id and text lies below a bound that the language's size sets. Their sparse features, at most BUCKETS entries a document, come to the driver.
 3. A temperature is fitted on a fifth of that sample, which the weights never see.
 4. `predict` scores whole texts; it reads nothing but the text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is
 every text when nothing can be learned; training rows without a language are left out;
-repeated rows train as often as they occur; an empty table gives no rows; texts are read
+rows repeated in doc_id and text train once; of equal scores the language first in the
+alphabet is taken; an empty table gives no rows; texts are read
 whole. `predict` replaces columns of the names it adds.
 """
 
@@ -20,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Most sampled documents of a language, and passes over the sample.
+#: Sampled documents of a language (about, by a bound on a hash) and of all, and passes over the sample.
+SAMPLE_IN_ALL = 20_000
 SAMPLE, PASSES = 500, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -135,10 +137,12 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + docs[BUCKETS]) / (1 + docs[:BUCKETS])) + 1
 
     draw = F.xxhash64(F.lit("langid"), "doc_id", "text")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    keys = train.select("lang", "doc_id", draw.alias("draw")).withColumn("place", place).where(F.col("place") <= sample)
-    keys = keys.select("doc_id", "draw").distinct()
-    drawn = train.withColumn("draw", draw).join(F.broadcast(keys), ["doc_id", "draw"], "left_semi")
+    # A language's sample are its rows below a bound on the draw, so no task ranks a language.
+    sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
+    most = min(sample, SAMPLE_IN_ALL // max(1, len(sizes)))
+    bounds = [(lang, min(int(-(1 << 63) + min(1.0, most / n) * (1 << 64)), (1 << 63) - 1)) for lang, n in sizes.items()]
+    below = train.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    drawn = train.withColumn("draw", draw).join(F.broadcast(below), "lang").where("draw <= bound").dropDuplicates(["lang", "draw"])
     found = drawn.select("lang", "text").mapInArrow(featurize, "lang string, at array<int>, n array<int>").collect()
     found.sort(key=lambda r: (r.lang, len(r.at), r.at[:50], r.n[:50]))
     languages = sorted({r.lang for r in found})
