@@ -31,7 +31,7 @@ from obscast.llm.shared import cut
 CAPACITY = 2048
 END_ID = 0
 SHARD_PIECES = 50_000
-#: Words kept encoded in a task; beyond that, words are encoded each time.
+#: Words kept encoded during a task; beyond that, words are encoded each time.
 MEMO_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -131,6 +131,7 @@ def token_pieces(
                         rows.append((*row, np.frombuffer(own, "<u4").tolist()) if with_ids else row)
                 columns = zip(zip(*rows, strict=True), kinds, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names)
+        words.known.clear()  # workers serve other stages after this task
 
     schema = PIECES + ", ids array<long>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, schema)

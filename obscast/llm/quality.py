@@ -80,33 +80,41 @@ def _covered(hashes: Column, width: int) -> Column:
     return F.get(bound, 0)
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` with the SIGNALS added (same-named columns are replaced)."""
     body = F.coalesce(F.col(text), F.lit(""))
     without = lambda chars: F.length(F.translate(body, chars, ""))
     stop = sorted({w for line in STOP_WORDS for w in line.split()})
-    out = docs.withColumn("__w", words(F.col(text))).withColumn(
-        "__l", F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    w, l, h = (_unused(docs, name) for name in ("__words", "__lines", "__windows"))  # noqa: E741
+    out = docs.withColumn(w, words(F.col(text))).withColumn(
+        l, F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     )
-    out = out.withColumn("__h", F.when(F.size("__w") >= 3, shingles(F.col("__w"), 3)))
-    twice = F.size(F.array_distinct("__h")) < F.size("__h")
+    out = out.withColumn(h, F.when(F.size(w) >= 3, shingles(F.col(w), 3)))
+    twice = F.size(F.array_distinct(h)) < F.size(h)
     return out.withColumns(
         {
-            "n_words": F.size("__w").cast("long"),
+            "n_words": F.size(w).cast("long"),
             "word_chars": without(SPACES).cast("long"),
             "n_symbols": (F.length(body) - without(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-            "n_repeat_words": F.when(twice, _covered(F.col("__h"), 3)).otherwise(0).cast("long"),
-            "n_stop_words": F.size(F.filter("__w", lambda w: F.lower(w).isin(stop))).cast("long"),
-            "n_lines": F.size("__l").cast("long"),
+            "n_dup_lines": (F.size(l) - F.size(F.array_distinct(l))).cast("long"),
+            "n_repeat_words": F.when(twice, _covered(F.col(h), 3)).otherwise(0).cast("long"),
+            "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long"),
+            "n_lines": F.size(l).cast("long"),
             "n_ellipsis_lines": F.size(
-                F.filter("__l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))
+                F.filter(l, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))
             ).cast("long"),
             "n_bullet_lines": F.size(
-                F.filter("__l", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))
+                F.filter(l, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))
             ).cast("long"),
         }
-    ).drop("__w", "__l", "__h")
+    ).drop(w, l, h)
 
 
 def base_failed() -> Column:
