@@ -57,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     first = named.groupBy("component_id").agg(least.alias("least")).select("least.key")
     # A second hash, so that texts whose keys collide are not taken for equal rows.
-    found = keyed.join(first, "key", "left_semi").groupBy("key", F.xxhash64("text", F.lit(1)))
+    found = keyed.join(first, "key", "left_semi").groupBy("key", F.xxhash64(F.lit("text"), "text"))
     found = found.agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
     wordless = keyed.join(groups.where("n_shingles = 0"), "key", "left_semi")
     return found.unionByName(wordless.select(*COLUMNS))
