@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ from obscast.llm.shared import cut
 CAPACITY = 2048
 END_ID = 0
 SHARD_PIECES = 50_000
-#: Words kept encoded during a task; beyond that, words are encoded each time.
-MEMO_WORDS = 200_000
+#: Words kept encoded during a task and after it; beyond that, words are encoded each time.
+MEMO_WORDS, KEPT_WORDS = 200_000, 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -131,7 +132,8 @@ def token_pieces(
                         rows.append((*row, np.frombuffer(own, "<u4").tolist()) if with_ids else row)
                 columns = zip(zip(*rows, strict=True), kinds, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names)
-        words.known.clear()  # workers serve other stages after this task
+        # Workers serve other stages after this task: they keep the words seen first only.
+        words.known = dict(islice(words.known.items(), KEPT_WORDS))
 
     schema = PIECES + ", ids array<long>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, schema)
