@@ -68,10 +68,43 @@ v as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERC
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and {" and ".join(_rule(*rule[1:]) for rule in RULES)} as kept from v"""
 
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: unicode(c)::bigint)),
+  lambda r, b: list_reduce(list_concat([xor(r, b)], list_transform(range(8), lambda i: 0::bigint)), lambda c, z: xor(c >> 1, (c & 1) * 3988292384::bigint))), 4294967295::bigint)"""
+
+OP11 = f"""
+with recursive leaf as materialized (select row_number() over () as k, doc_id, coalesce('=' || lang, '') as grp, {_LEAF.format(n="n_chars")} as leaf,
+  case when {_CRC} % 7 = 0 then {_LEAF.format(n="(n_chars + 1)")} else {_LEAF.format(n="n_chars")} end as mine,
+  row_number() over (partition by lang order by doc_id, {_LEAF.format(n="n_chars")}) - 1 as pos, count(*) over (partition by lang) as n from documents),
+tree as (select grp, 0 as lvl, pos, leaf as h, n from leaf
+  union all select grp, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (max(n) + 1) // 2 from tree where n > 1 group by grp, lvl, pos // 2),
+nodes as materialized (select * from tree),
+sub as materialized (select grp, h as subroot, lvl as height, row_number() over (order by grp) - 1 as pos, count(*) over () as n from nodes where n = 1),
+over as (select 0 as lvl, pos, subroot as h, n from sub union all select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (max(n) + 1) // 2 from over where n > 1 group by lvl, pos // 2),
+tops as materialized (select * from over),
+low as materialized (select l.k, v.lvl as step, l.pos >> v.lvl as spot, o.h as other from leaf l join sub using (grp), unnest(range(sub.height)) v(lvl)
+  left join nodes o on o.grp = l.grp and o.lvl = v.lvl and o.pos = xor(l.pos >> v.lvl, 1)),
+high as materialized (select l.k, sub.height + v.lvl as step, sub.pos >> v.lvl as spot, o.h as other from leaf l join sub using (grp), unnest(range((select max(lvl) from tops))) v(lvl)
+  left join tops o on o.lvl = v.lvl and o.pos = xor(sub.pos >> v.lvl, 1)),
+path as materialized (select * from low union all select * from high),
+fold as (select k, 0::bigint as step, mine as h from leaf
+  union all select k, step + 1, sha256(case when other is null then h when spot % 2 = 1 then other || h else h || other end) from fold join path using (k, step)),
+last as (select k, arg_max(h, step) as folded_root from fold group by k),
+proof as (select k, sha256(coalesce(string_agg(other, '' order by step), '')) as proof_sha256 from leaf left join path using (k) group by k)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified
+from leaf join sub using (grp) join last using (k) join proof using (k), (select h as root from tops where n = 1)"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op3_line_dedup": OP3,
     "op6_warc_revisits": OP6,
     "op8_chat_trees": OP8,
     "op9_quality_rules": OP9,
+    "op11_merkle_manifest": OP11,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import bpe, chat, html_text, langid, line_dedup, ngram_join, packing, quality, sketch, warc
+from obscast.llm import bpe, chat, html_text, langid, line_dedup, merkle, ngram_join, packing, quality, sketch, warc
 from obscast.llm.oracles import ORACLES  # noqa: F401
 from obscast.llm.text import read
 
@@ -84,6 +84,13 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20, 0)") + 1).cast("string")
+    found = merkle.manifest(read(spark, sf_dir, "documents"), tampered, {"n_chars": more})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_line_dedup": op3_line_dedup,
@@ -95,5 +102,6 @@ QUERIES = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
