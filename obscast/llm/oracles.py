@@ -100,6 +100,14 @@ proof as (select k, sha256(coalesce(string_agg(other, '' order by step), '')) as
 select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified
 from leaf join sub using (grp) join last using (k) join proof using (k), (select h as root from tops where n = 1)"""
 
+OP12 = """
+with recursive v as materialized (select row_number() over () as k, vec_id, embedding::double[] as e,
+  embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as usable from embeddings),
+l as materialized (select a.k as a, b.k as b, b.vec_id as other from v a join v b on a.k <> b.k and a.usable and b.usable and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select k, vec_id as low from v union select l.b, r.low from r join l on l.a = r.k join v on v.k = l.b where r.low < v.vec_id),
+n as (select a as k, count(*) as n from l group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, min(low) as component_id, vec_id = min(low) as kept from v join r using (k) left join n using (k) group by k, vec_id, n.n"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op3_line_dedup": OP3,
@@ -107,4 +115,5 @@ ORACLES = {
     "op8_chat_trees": OP8,
     "op9_quality_rules": OP9,
     "op11_merkle_manifest": OP11,
+    "op12_vector_links": OP12,
 }

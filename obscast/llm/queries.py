@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import bpe, chat, html_text, langid, line_dedup, merkle, ngram_join, packing, quality, sketch, warc
+from obscast.llm import bpe, chat, html_text, langid, line_dedup, merkle, ngram_join, packing, quality, sketch, vector_links, warc
 from obscast.llm.oracles import ORACLES  # noqa: F401
 from obscast.llm.text import read
 
@@ -91,6 +91,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_vector_links(spark, sf_dir):
+    return vector_links.link_components(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_line_dedup": op3_line_dedup,
@@ -103,5 +107,6 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_links": op12_vector_links,
 }
 
