@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obscast.llm import bpe, chat, html_text, langid, line_dedup, merkle, ngram_join, packing, quality, sketch, vector_links, warc
+from obscast.llm import bpe, chat, html_text, langid, line_dedup, merkle, ngram_join, packing, quality, sketch, vector_links, warc, whitening
 from obscast.llm.oracles import ORACLES  # noqa: F401
 from obscast.llm.text import read
 
@@ -95,6 +95,10 @@ def op12_vector_links(spark, sf_dir):
     return vector_links.link_components(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_line_dedup": op3_line_dedup,
@@ -108,5 +112,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_vector_links": op12_vector_links,
+    "op13_whitening": op13_whitening,
 }
 
