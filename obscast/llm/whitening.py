@@ -190,7 +190,7 @@ SPECTRUM = "part long, n long, mean binary, values binary, vectors binary, sums
 MATRIX = "part long, matrix binary"
 
 
-def _combined(rows: DataFrame, combine: Callable[[pd.DataFrame], pd.DataFrame], schema: str, scratch: Scratch) -> pd.DataFrame:
+def _combined(rows: DataFrame, combine: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str, scratch: Scratch) -> pd.DataFrame:
     """The only row that is left when FAN rows after FAN rows are combined into one."""
     rows = scratch.cut(rows)
     left = rows.count()
@@ -200,7 +200,7 @@ def _combined(rows: DataFrame, combine: Callable[[pd.DataFrame], pd.DataFrame],
     return rows.toPandas()
 
 
-def _merge_spectra(group: pd.DataFrame) -> pd.DataFrame:
+def _merge_spectra(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     out, sums = None, None
     for r in group.sort_values("part").itertuples():
         found, own = _spectrum(r), [int(s) for s in r.sums]
@@ -209,7 +209,7 @@ def _merge_spectra(group: pd.DataFrame) -> pd.DataFrame:
         else:
             out.merge(found)
             sums = [a + b for a, b in zip(sums, own, strict=True)]
-    return pd.DataFrame([_spectrum_row(int(group["part"].min()) // FAN, out, sums)])
+    return pd.DataFrame([_spectrum_row(int(key[0]), out, sums)])
 
 
 def _spectrum(r) -> Spectrum:
@@ -223,9 +223,9 @@ def _spectrum_row(part: int, s: Spectrum, sums: list[int]) -> dict:
     return {"part": part, "n": s.n, "mean": s.mean.tobytes(), "values": s.values.tobytes(), "vectors": np.ascontiguousarray(s.vectors).tobytes(), "sums": [str(v) for v in sums]}
 
 
-def _add_matrices(group: pd.DataFrame) -> pd.DataFrame:
+def _add_matrices(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     total = np.sum([np.frombuffer(m) for m in group.sort_values("part")["matrix"]], axis=0)
-    return pd.DataFrame([{"part": int(group["part"].min()) // FAN, "matrix": total.tobytes()}])
+    return pd.DataFrame([{"part": int(key[0]), "matrix": total.tobytes()}])
 
 
 def _spectra(dim: int):
