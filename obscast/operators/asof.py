@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +22,36 @@ def with_change(rows: DataFrame, config: Config = Config()) -> DataFrame:
     return rows.withColumn("delta_t_per_h", F.try_divide(change, hours.cast("double")))
 
 
-def causal_slices(obs: DataFrame, config: Config = Config()) -> DataFrame:
-    """Each observation with a temperature, once for every checkpoint of its local date that it precedes.
+class Part(NamedTuple):
+    """An aggregate that is made over some reports and merged over groups of reports."""
+
+    make: Column
+    merge: Callable[[str], Column]
+
+
+def total(x: Column) -> Part:
+    return Part(F.sum(x), F.sum)
+
+
+def count(x: Column) -> Part:
+    return Part(F.count(x), F.sum)
+
+
+def most(x: Column) -> Part:
+    return Part(F.max(x), F.max)
+
+
+def least(x: Column) -> Part:
+    return Part(F.min(x), F.min)
 
-    The checkpoints are a literal array, so the date-by-checkpoint grid needs no join. The
-    rate of change refers to the day's previous report, which every slice holds too.
-    """
-    known = with_change(obs.where("dq_tmp_c_int <> 'missing'"), config)
-    rows = known.select("*", F.inline(checkpoint_instants(config)))
-    rows = rows.where("valid < cp_utc")
-    return rows.withColumn("cp_hour", F.hour(calendar.local_time(F.col("cp_utc"), config.tz)))
+
+def mean(name: str, x: Column) -> dict[str, Part]:
+    """Parts of an average, to be divided by `average`."""
+    return {f"{name}__s": total(x.cast("double")), f"{name}__n": count(x)}
+
+
+def average(name: str) -> Column:
+    return F.try_divide(F.col(f"{name}__s"), F.col(f"{name}__n"))
 
 
 def checkpoint_instants(config: Config = Config()) -> Column:
@@ -36,28 +60,44 @@ def checkpoint_instants(config: Config = Config()) -> Column:
     return F.array(*[F.struct(F.lit(c).alias("cp"), calendar.cp_to_utc(day, F.lit(c), config.tz).alias("cp_utc")) for c in config.cps])
 
 
-def anchor_minutes(anchor: int) -> Column:
-    """Whole minutes between a report's local time and the anchor hour of its date."""
-    seconds = F.unix_seconds("ts_local") - F.unix_seconds(F.col("date_local").cast("timestamp")) - anchor * 3600
-    return F.floor(F.abs(seconds) / 60)
+def prefix_slices(rows: DataFrame, parts: dict[str, Part], config: Config = Config()) -> DataFrame:
+    """(day, cp, cp_utc, cp_hour, parts) over the rows of a local date before each of its checkpoints.
 
+    A row belongs to one interval between checkpoints, named by the checkpoints it precedes, and
+    is aggregated there once. What a checkpoint sees is the merger of the intervals before it: at
+    most one row more than there are checkpoints for each of them, however many reports a day has.
+    """
+    ahead = [F.when(F.col("valid") < calendar.cp_to_utc(F.col("date_local"), F.lit(c), config.tz), 1 << k).otherwise(0) for k, c in enumerate(config.cps)]
+    held = rows.withColumn("__ahead", reduce(Column.__add__, ahead)).where("__ahead > 0")
+    made = held.groupBy(*config.day, "__ahead").agg(*[p.make.alias(n) for n, p in parts.items()])
+    seen = [F.when(F.col("__ahead").bitwiseAND(1 << k) > 0, F.lit(k)) for k in range(len(config.cps))]
+    made = made.select(*config.day, *parts, F.explode(F.array_compact(F.array(*seen))).alias("__k"))
+    merged = made.groupBy(*config.day, "__k").agg(*[p.merge(n).alias(n) for n, p in parts.items()])
+    merged = merged.select("*", F.inline(F.array(F.get(checkpoint_instants(config), F.col("__k"))))).drop("__k")
+    return merged.withColumn("cp_hour", F.hour(calendar.local_time(F.col("cp_utc"), config.tz)))
 
-def anchor_value(anchor: int, columns: tuple[str, ...]) -> Column:
-    """Aggregate: the values of the report nearest to the anchor, at most 30 whole minutes away.
 
-    Of equally near ones the earliest counts. Anchors from the checkpoint's local hour on
-    have no value.
-    """
-    minutes = anchor_minutes(anchor)
-    usable = (minutes <= 30) & (F.lit(anchor) < F.col("cp_hour"))
-    key = F.when(usable, F.struct(minutes, F.unix_micros("valid"), F.col("obs_id")))
-    return F.min_by(F.struct(*columns), key)
+def known(obs: DataFrame, config: Config = Config()) -> DataFrame:
+    """Reports with a temperature and the change since the day's previous one, which every slice holds too."""
+    return with_change(obs.where("dq_tmp_c_int <> 'missing'"), config)
+
+
+def anchor_part(anchor: int, columns: tuple[str, ...]) -> Part:
+    """The report nearest to an anchor hour, at most 30 whole minutes away, the earliest of equally near ones."""
+    seconds = F.unix_seconds("ts_local") - F.unix_seconds(F.col("date_local").cast("timestamp")) - anchor * 3600
+    minutes = F.floor(F.abs(seconds) / 60)
+    return least(F.when(minutes <= 30, F.struct(minutes.alias("m"), F.unix_micros("valid").alias("at"), F.col("obs_id"), F.struct(*columns).alias("v"))))
+
+
+def anchor_value(anchor: int, name: str) -> Column:
+    """The values of an anchor's report; anchors from the checkpoint's local hour on have none."""
+    return F.when(F.lit(anchor) < F.col("cp_hour"), F.col(f"{name}.v"))
 
 
-def nearest_anchors(slices: DataFrame, columns: tuple[str, ...], config: Config = Config()) -> DataFrame:
-    """(date_local, cp, anchor, columns...) of the anchors that have a report near them."""
-    wide = slices.groupBy(*config.day, "cp").agg(*[anchor_value(a, columns).alias(f"a{a}") for a in config.anchors])
-    pairs = F.array(*[F.struct(F.lit(a).alias("anchor"), F.col(f"a{a}").alias("v")) for a in config.anchors])
+def nearest_anchors(obs: DataFrame, columns: tuple[str, ...], config: Config = Config()) -> DataFrame:
+    """(day, cp, anchor, columns...) of the anchors that have a report near them."""
+    wide = prefix_slices(known(obs, config), {f"a{a}": anchor_part(a, columns) for a in config.anchors}, config)
+    pairs = F.array(*[F.struct(F.lit(a).alias("anchor"), anchor_value(a, f"a{a}").alias("v")) for a in config.anchors])
     rows = wide.select(*config.day, "cp", F.explode(pairs).alias("x")).where("x.v is not null")
     return rows.select(*config.day, "cp", "x.anchor", "x.v.*")
 

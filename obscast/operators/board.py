@@ -13,6 +13,7 @@ from obscast.operators import baselines
 from obscast.operators.challengers import least_squares, targets
 from obscast.operators.inference import gates
 from obscast.operators.metrics import safe_corr
+from obscast.operators.stations import few
 
 
 def recent_window(labels: DataFrame, as_of: dt.date, days: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -22,15 +23,16 @@ def recent_window(labels: DataFrame, as_of: dt.date, days: int = 30) -> tuple[Da
     return done.where(F.col("date_local") < F.lit(begin)), recent
 
 
-def recent_errors(labels: DataFrame, as_of: dt.date, days: int = 30, config: Config = Config()) -> DataFrame:
+def recent_errors(labels: DataFrame, as_of: dt.date, days: int = 30, config: Config = Config(), with_rps: bool = False) -> DataFrame:
     train, recent = recent_window(labels, as_of, days)
-    return baselines.ladder_errors(labels.where("day_complete"), train, recent, config=config)
+    return baselines.ladder_errors(labels.where("day_complete"), train, recent, config=config, with_rps=with_rps)
 
 
 def baseline_gates(summary: DataFrame, config: Config = Config()) -> DataFrame:
-    """Each baseline against the best one of its checkpoint."""
-    best = baselines.best_null(summary).select("cp", F.col("mae").alias("null_mae"))
-    rows = summary.join(F.broadcast(best), "cp").withColumnRenamed("mae", "model_mae")
+    """Each baseline against the best one of its station and checkpoint."""
+    key = [*config.station, "cp"]
+    best = baselines.best_null(summary, config).select(*key, F.col("mae").alias("null_mae"))
+    rows = summary.join(few(best, config.station), key).withColumnRenamed("mae", "model_mae")
     rows = rows.withColumns({"corr_diff": F.lit(None).cast("double"), "skill_ci_lo": F.lit(None).cast("double")})
     return gates(rows.withColumn("per_cp_passed", F.col("model_mae") <= F.col("null_mae")), config)
 
@@ -40,19 +42,19 @@ def feature_nulls(
 ) -> DataFrame:
     """Persistence plus one feature over the window: mae, n and correlation gain; five days at least.
 
-    values: long_features; wanted: (feature, cp) pairs of a contract.
+    values: long_features; wanted: (station, feature, cp) of a contract.
     """
-    begin = as_of - dt.timedelta(days=days)
-    rows = values.join(F.broadcast(wanted.select("feature", "cp").distinct()), ["feature", "cp"])
-    rows = rows.join(targets(labels, config), ["date_local", "cp"]).withColumn("y", (F.col("tmax") - F.col("k_cp")).cast("double"))
+    begin, pair = as_of - dt.timedelta(days=days), [*config.station, "feature", "cp"]
+    rows = values.join(few(wanted.select(*pair).distinct(), config.station), pair)
+    rows = rows.join(targets(labels, config), [*config.day, "cp"]).withColumn("y", (F.col("tmax") - F.col("k_cp")).cast("double"))
     fitted = [c.alias(k) for k, c in least_squares("value", "y").items()]
-    models = rows.where(F.col("date_local") < F.lit(begin)).groupBy("feature", "cp").agg(F.count("*").alias("n_train"), *fitted)
+    models = rows.where(F.col("date_local") < F.lit(begin)).groupBy(*pair).agg(F.count("*").alias("n_train"), *fitted)
     test = rows.where(F.col("date_local").between(F.lit(begin), F.lit(as_of - dt.timedelta(days=1))))
-    test = test.join(models.where("n_train >= 5"), ["feature", "cp"])
+    test = test.join(models.where("n_train >= 5"), pair)
     test = test.withColumn("pred", settle(F.col("k_cp") + F.col("intercept") + F.col("slope") * F.col("value")))
     none = F.lit(None).cast("double")
     gain = safe_corr(F.col("pred"), F.col("tmax"), 3, none) - safe_corr(F.col("k_cp"), F.col("tmax"), 3, none)
-    found = test.groupBy("feature", "cp").agg(
+    found = test.groupBy(*pair).agg(
         F.avg(F.abs(F.col("pred") - F.col("tmax"))).alias("mae"), F.count("*").alias("n"), gain.alias("corr_diff")
     )
     return found.where("n >= 5")
@@ -62,18 +64,19 @@ def leaderboard(
     errors: DataFrame, regimes: DataFrame, as_of: dt.date, days: int = 30, features: DataFrame | None = None,
     config: Config = Config(),
 ) -> DataFrame:
-    """One row a checkpoint: window, best baseline, entries with gates, segments, feature nulls."""
-    summary = baselines.ladder_summary(errors)
+    """One row a station and checkpoint: window, best baseline, entries with gates, segments, feature nulls."""
+    key = [*config.station, "cp"]
+    summary = baselines.ladder_summary(errors, config)
     gated = baseline_gates(summary, config)
     entry = F.struct("level", "name", F.col("model_mae").alias("mae"), "rmse", "bias", "bracket_match", "fallback_rate", "p50_mode_share", "n", "gates")
-    board = gated.groupBy("cp").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    parts = baselines.segment_mae(errors, regimes).groupBy("cp").agg(
+    board = gated.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    parts = baselines.segment_mae(errors, regimes, config).groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("regime", "level", "name", "mae", "n"))).alias("segments")
     )
-    best = baselines.best_null(summary).select("cp", F.struct("level", "name", "mae").alias("best_null"))
-    out = board.join(best, "cp").join(parts, "cp", "left")
+    best = baselines.best_null(summary, config).select(*key, F.struct("level", "name", "mae").alias("best_null"))
+    out = board.join(best, key).join(parts, key, "left")
     if features is not None:
-        nulls = features.groupBy("cp").agg(F.sort_array(F.collect_list(F.struct("feature", "mae", "n", "corr_diff"))).alias("feature_nulls"))
-        out = out.join(nulls, "cp", "left")
+        nulls = features.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("feature", "mae", "n", "corr_diff"))).alias("feature_nulls"))
+        out = out.join(nulls, key, "left")
     start, end = as_of - dt.timedelta(days=days), as_of - dt.timedelta(days=1)
     return out.withColumns({"window_start": F.lit(start), "window_end": F.lit(end)})

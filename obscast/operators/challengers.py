@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +9,18 @@ from obscast.config import HYPOTHESES, Config
 from obscast.functions.calendar import cp_to_utc, local_time
 from obscast.operators.labels import k_cp_long
 from obscast.operators.splits import in_range
+from obscast.operators.stations import few, with_facts
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
-def long_features(features: DataFrame, columns=HYPOTHESES) -> DataFrame:
-    """(date_local, cp, regime_label, feature, value) of the numeric features that are not null."""
+def long_features(features: DataFrame, columns=HYPOTHESES, config: Config = Config()) -> DataFrame:
+    """(day, cp, regime_label, feature, value) of the numeric features that are not null."""
     kinds = dict(features.dtypes)
     names = [c for c in columns if kinds.get(c) in NUMERIC]
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])
-    rows = features.select("date_local", "cp", "regime_label", F.explode(pairs).alias("f"))
-    return rows.select("date_local", "cp", "regime_label", "f.*").where("value is not null")
+    rows = features.select(*config.day, "cp", "regime_label", F.explode(pairs).alias("f"))
+    return rows.select(*config.day, "cp", "regime_label", "f.*").where("value is not null")
 
 
 def targets(labels: DataFrame, config: Config = Config()) -> DataFrame:
@@ -43,33 +42,35 @@ def least_squares(x: str, y: str) -> dict[str, Column]:
 
 
 def fit_models(
-    values: DataFrame, target: DataFrame, splits: DataFrame, own: DataFrame | None = None, min_values: int = 30, min_rows: int = 5
+    values: DataFrame, target: DataFrame, splits: DataFrame, own: DataFrame | None = None, min_values: int = 30, min_rows: int = 5,
+    config: Config = Config(),
 ) -> DataFrame:
-    """(split, feature, cp, slope, intercept, n_train) of remaining warming on each feature.
+    """(station, split, feature, cp, slope, intercept, n_train) of remaining warming on each feature.
 
-    Least squares needs sums only: they are taken once for each span between two borders of
-    training ranges, and a split adds up its spans, so no row is repeated for a split. own:
-    `split_values`, features whose values depend on the split.
+    Least squares needs sums only: they are taken once for each span between two borders of a
+    station's training ranges, and a split adds up its spans, so no row is repeated for a
+    split. own: `split_values`, features whose values depend on the split.
     """
-    aim = target.select("date_local", "cp", (F.col("tmax") - F.col("k_cp")).cast("double").alias("y"))
-    spans = splits.select("train_start", "train_end").collect()  # a handful of splits
-    borders = sorted({d for r in spans for d in (r.train_start, r.train_end + dt.timedelta(days=1))})
-    begin = F.lit(None).cast("date")
-    for border in borders:
-        begin = F.when(F.col("date_local") >= F.lit(border), F.lit(border)).otherwise(begin)
+    st = [*config.station]
+    aim = target.select(*config.day, "cp", (F.col("tmax") - F.col("k_cp")).cast("double").alias("y"))
+    # A station's borders are an array, two for each of its splits at most.
+    border = F.explode(F.array("train_start", F.date_add("train_end", 1)))
+    borders = splits.select(*st, border.alias("b")).groupBy(*st).agg(F.collect_set("b").alias("borders"))
+    begin = F.array_max(F.filter("borders", lambda b: b <= F.col("date_local")))
     fit = F.col("y").isNotNull()
     x = F.when(fit, F.col("value"))
     sums = [
         F.count("value").alias("n_values"), F.count("y").alias("n"), F.sum(x).alias("sx"), F.sum("y").alias("sy"), F.sum(x * x).alias("sxx"),
         F.sum(x * F.col("y")).alias("sxy"), F.min(x).alias("lo"), F.max(x).alias("hi"),
     ]
-    rows = values.join(aim, ["date_local", "cp"], "left").withColumn("begin", begin)
-    parts = rows.where("begin is not null").groupBy("feature", "cp", F.col("begin").alias("date_local")).agg(*sums)
-    parts = in_range(parts, splits, "train").drop("date_local")
+    rows = with_facts(values.join(aim, [*config.day, "cp"], "left"), borders, st).withColumn("begin", begin)
+    parts = rows.where("begin is not null").groupBy(*st, "feature", "cp", F.col("begin").alias("date_local")).agg(*sums)
+    parts = in_range(parts, splits, "train", config).drop("date_local")
+    key = [*st, "split", "feature", "cp"]
     if own is not None:
-        train = own.where("part = 'train'").join(aim, ["date_local", "cp"], "left")
-        parts = parts.unionByName(train.groupBy("split", "feature", "cp").agg(*sums))
-    total = parts.groupBy("split", "feature", "cp").agg(
+        train = own.where("part = 'train'").join(aim, [*config.day, "cp"], "left")
+        parts = parts.unionByName(train.groupBy(*key).agg(*sums))
+    total = parts.groupBy(*key).agg(
         *[F.sum(c).alias(c) for c in ("n_values", "n", "sx", "sy", "sxx", "sxy")], F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     n = F.col("n")
@@ -77,26 +78,27 @@ def fit_models(
     slope = F.try_divide(F.try_divide("sxy", n) - mx * my, F.try_divide("sxx", n) - mx * mx)
     constant, norm = F.col("lo") == F.col("hi"), 1 + mx * mx
     models = total.select(
-        "split", "feature", "cp", "n_values", n.alias("n_train"),
+        *key, "n_values", n.alias("n_train"),
         F.when(constant, mx * my / norm).otherwise(slope).alias("slope"), F.when(constant, my / norm).otherwise(my - slope * mx).alias("intercept"),
     )
     return models.where((F.col("n_values") >= min_values) & (F.col("n_train") >= min_rows)).drop("n_values")
 
 
 def challenger_errors(
-    values: DataFrame, target: DataFrame, splits: DataFrame, own: DataFrame | None = None, min_test_days: int = 30
+    values: DataFrame, target: DataFrame, splits: DataFrame, own: DataFrame | None = None, min_test_days: int = 30, config: Config = Config()
 ) -> DataFrame:
-    """Per test day: errors of persistence and of the challenger, with the day's regime."""
-    models = fit_models(values, target, splits, own)
-    days = in_range(target.select("date_local").distinct(), splits, "test").groupBy("split").agg(F.count("*").alias("d"))
-    tested = in_range(values, splits, "test")
+    """Per station and test day: errors of persistence and of the challenger, with the day's regime."""
+    st, day = [*config.station], [*config.day]
+    models = fit_models(values, target, splits, own, config=config)
+    days = in_range(target.select(*day).distinct(), splits, "test", config).groupBy(*st, "split").agg(F.count("*").alias("d"))
+    tested = in_range(values, splits, "test", config)
     if own is not None:
         tested = tested.unionByName(own.where("part = 'test'").drop("part"))
-    tested = tested.join(F.broadcast(days.where(F.col("d") >= min_test_days).select("split")), "split")
-    rows = tested.join(target, ["date_local", "cp"]).join(models, ["split", "feature", "cp"])
+    tested = tested.join(few(days.where(F.col("d") >= min_test_days).select(*st, "split"), st), [*st, "split"])
+    rows = tested.join(target, [*day, "cp"]).join(models, [*st, "split", "feature", "cp"])
     pred = F.col("k_cp") + F.col("intercept") + F.col("slope") * F.col("value")
     return rows.select(
-        "split", "date_local", "feature", "cp", F.col("regime_label").alias("regime"), "tmax",
+        *st, "split", "date_local", "feature", "cp", F.col("regime_label").alias("regime"), "tmax",
         F.col("k_cp").cast("double").alias("base_pred"), pred.alias("pred"),
         F.abs(F.col("k_cp") - F.col("tmax")).cast("double").alias("base_error"), F.abs(pred - F.col("tmax")).alias("error"),
     )
@@ -112,17 +114,18 @@ def _trained(features: DataFrame, labels: DataFrame, splits: DataFrame, config:
     Expected peak hour by regime and month minus the checkpoint's local hour, that hour, and
     how far the maximum so far lies from its training mean in its regime, in deviations.
     """
-    rows = features.select("date_local", "cp", "regime_label").withColumn("month", F.month("date_local"))
-    rows = rows.join(targets(labels, config), ["date_local", "cp"])
-    rows = rows.join(labels.select("date_local", "tmax_hour"), "date_local")
-    train, test = (in_range(rows, splits, part).withColumn("part", F.lit(part)) for part in ("train", "test"))
-    hours = train.groupBy("split", "cp", "regime_label", "month").agg(F.avg("tmax_hour").alias("peak"))
-    so_far = train.groupBy("split", "cp", "regime_label").agg(F.avg("k_cp").alias("m"), F.stddev_pop("k_cp").alias("s"))
-    both = train.union(test).join(F.broadcast(hours), ["split", "cp", "regime_label", "month"], "left")
-    both = both.join(F.broadcast(so_far), ["split", "cp", "regime_label"], "left")
+    st, day = [*config.station], [*config.day]
+    rows = features.select(*day, "cp", "regime_label").withColumn("month", F.month("date_local"))
+    rows = rows.join(targets(labels, config), [*day, "cp"])
+    rows = rows.join(labels.select(*day, "tmax_hour"), day)
+    train, test = (in_range(rows, splits, part, config).withColumn("part", F.lit(part)) for part in ("train", "test"))
+    kind = [*st, "split", "cp", "regime_label"]
+    hours = train.groupBy(*kind, "month").agg(F.avg("tmax_hour").alias("peak"))
+    so_far = train.groupBy(*kind).agg(F.avg("k_cp").alias("m"), F.stddev_pop("k_cp").alias("s"))
+    both = train.union(test).join(few(hours, st), [*kind, "month"], "left").join(few(so_far, st), kind, "left")
     hour = F.hour(local_time(cp_to_utc(F.col("date_local"), F.col("cp"), config.tz), config.tz))
     return both.select(
-        "split", "part", "date_local", "cp", "regime_label", (F.col("peak") - hour).alias("hours_to_expected_peak"),
+        *st, "split", "part", "date_local", "cp", "regime_label", (F.col("peak") - hour).alias("hours_to_expected_peak"),
         F.col("peak").alias("tmax_hour_by_regime_month"),
         ((F.col("k_cp") - F.col("m")) / F.greatest(F.col("s"), F.lit(1.0))).alias("late_warming_anomaly"),
     )
@@ -137,4 +140,4 @@ def split_values(features: DataFrame, labels: DataFrame, splits: DataFrame, conf
     """(split, part, date_local, cp, regime_label, feature, value) of those three that are not null."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in FROM_TRAINING])
     rows = _trained(features, labels, splits, config)
-    return rows.select("split", "part", "date_local", "cp", "regime_label", F.inline(pairs)).where("value is not null")
+    return rows.select(*config.station, "split", "part", "date_local", "cp", "regime_label", F.inline(pairs)).where("value is not null")

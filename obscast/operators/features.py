@@ -2,62 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obscast.config import CATALOG, HPA_PER_INHG, Config
 from obscast.functions.parse import ensure_columns, in_sector, sky_weight
-from obscast.operators.asof import anchor_value, causal_slices, require_causal, with_change
+from obscast.operators import asof
+from obscast.operators.asof import Part, average, count, least, mean, most, total
 from obscast.operators.labels import neighbour_days
 
 LAYERS = {f"skyc{k}": "string" for k in range(1, 5)} | {f"skyl{k}": "long" for k in range(1, 5)}
 ANCHORED = ("tmp_c_int", "dwp_c_int", "alti")
 
 
-def circular_mean(direction: str = "drct") -> Column:
-    """Aggregate: vector mean of directions; null without any or when they cancel out."""
-    s, c = F.sum(F.sin(F.radians(direction))), F.sum(F.cos(F.radians(direction)))
-    return F.when((F.abs(s) >= 1e-10) | (F.abs(c) >= 1e-10), F.pmod(F.degrees(F.atan2(s, c)), F.lit(360.0)))
+def circular_parts(direction: str = "drct") -> dict[str, Part]:
+    return {"circular__s": total(F.sin(F.radians(direction))), "circular__c": total(F.cos(F.radians(direction)))}
 
 
-def sector_mean(start: float, end: float, direction: str = "drct") -> Column:
-    """Aggregate: arithmetic mean of the directions inside a sector."""
-    return F.avg(F.when(in_sector(F.col(direction), start, end), F.col(direction)))
+def circular_mean() -> Column:
+    """Vector mean of directions from `circular_parts`; null without any or when they cancel out."""
+    s, c = F.col("circular__s"), F.col("circular__c")
+    return F.when((F.abs(s) >= 1e-10) | (F.abs(c) >= 1e-10), F.pmod(F.degrees(F.atan2(s, c)), F.lit(360.0)))
 
 
-def max_cloud_cover() -> Column:
-    """Aggregate: the largest weight over four layers."""
-    return F.max(F.array_max(F.array(*[sky_weight(F.col(f"skyc{k}")) for k in range(1, 5)])))
+def sector_parts(name: str, start: float, end: float, direction: str = "drct") -> dict[str, Part]:
+    """Parts of the arithmetic mean of the directions inside a sector."""
+    return mean(name, F.when(in_sector(F.col(direction), start, end), F.col(direction)))
 
 
-def cloud_base_score() -> Column:
-    """Aggregate: the largest weight times base height, full from 8000 ft; no height counts as 0."""
-    height = lambda k: F.least(F.lit(1.0), F.coalesce(F.col(f"skyl{k}"), F.lit(0)) / 8000.0)
-    return F.max(F.array_max(F.array(*[sky_weight(F.col(f"skyc{k}")) * height(k) for k in range(1, 5)])))
+def _cloud(weigh: Callable[[int], Column]) -> Part:
+    return most(F.array_max(F.array(*[weigh(k) for k in range(1, 5)])))
 
 
-def nw_flow_strength() -> Column:
-    """Aggregate: mean speed of the reports from 270 to 45 degrees, 0 without any."""
-    return F.coalesce(F.avg(F.when(in_sector(F.col("drct"), 270, 45), F.col("sknt"))), F.lit(0.0))
+def slice_parts() -> dict[str, Part]:
+    """Everything that a slice is asked for, in parts that merge."""
+    hour = F.col("hour_local")
+    # Mean speed of the reports from 270 to 45 degrees; cloud bases count in full from 8000 ft, none as 0.
+    flow = F.when(in_sector(F.col("drct"), 270, 45), F.col("sknt"))
+    height = lambda k: F.least(F.lit(1.0), F.coalesce(F.col(f"skyl{k}"), F.lit(0)) / 8000.0)
+    top = F.struct(F.col("tmp_c_int").alias("t"), (-F.unix_micros("valid")).alias("at"), (-F.col("obs_id")).alias("id"), hour.alias("h"))
+    return {
+        "n_slice": count(F.lit(1)), "p01i__s": total(F.col("p01i")), **mean("depression", F.col("dw_depression_c_int")),
+        "tmin_so_far": least(F.col("tmp_c_int")), "feature_max_ts": most(F.col("valid")), "max_delta": most(F.col("delta_t_per_h")),
+        **mean("flow", flow), "top": most(top), **mean("early", F.when(hour <= 12, F.col("drct"))),
+        **mean("late", F.when(hour >= 15, F.col("drct"))), **circular_parts(), **mean("all", F.col("drct")),
+        "cloud_cover": _cloud(lambda k: sky_weight(F.col(f"skyc{k}"))),
+        "cloud_base": _cloud(lambda k: sky_weight(F.col(f"skyc{k}")) * height(k)), "rain": most(F.contains("wxcodes", F.lit("RA"))),
+    }
 
 
 def _slice_columns() -> list[Column]:
-    hour = F.col("hour_local")
-    top = F.struct("tmp_c_int", -F.unix_micros("valid"), -F.col("obs_id"))
+    """The slice's values from its merged parts."""
     return [
-        F.count("*").alias("n_slice"), F.coalesce(F.sum("p01i"), F.lit(0.0)).alias("p01i_sum"),
-        F.avg("dw_depression_c_int").alias("depression"), F.min("tmp_c_int").alias("tmin_so_far"),
-        F.max("valid").alias("feature_max_ts"), F.max("delta_t_per_h").alias("max_delta"),
-        nw_flow_strength().alias("nw_strength"), F.max_by("hour_local", top).alias("tmax_hour_so_far"),
-        F.avg(F.when(hour <= 12, F.col("drct"))).alias("early_dir"), F.avg(F.when(hour >= 15, F.col("drct"))).alias("late_dir"),
-        circular_mean().alias("circular_dir"), F.avg("drct").alias("mean_dir"), max_cloud_cover().alias("cloud_cover"),
-        cloud_base_score().alias("cloud_base"), F.coalesce(F.bool_or(F.contains("wxcodes", F.lit("RA"))), F.lit(False)).alias("has_rain"),
+        F.col("n_slice"), F.coalesce("p01i__s", F.lit(0.0)).alias("p01i_sum"), average("depression").alias("depression"), F.col("tmin_so_far"),
+        F.col("feature_max_ts"), F.col("max_delta"), F.coalesce(average("flow"), F.lit(0.0)).alias("nw_strength"), F.col("top.h").alias("tmax_hour_so_far"),
+        average("early").alias("early_dir"), average("late").alias("late_dir"), circular_mean().alias("circular_dir"), average("all").alias("mean_dir"),
+        F.col("cloud_cover"), F.col("cloud_base"), F.coalesce("rain", F.lit(False)).alias("has_rain"),
     ]
 
 
-def slice_aggregates(slices: DataFrame, config: Config = Config()) -> DataFrame:
-    rows = ensure_columns(slices, LAYERS)
-    return rows.groupBy(*config.day, "cp", "cp_utc", "cp_hour").agg(*_slice_columns())
+def slice_aggregates(obs: DataFrame, config: Config = Config(), anchored: tuple[str, ...] = ()) -> DataFrame:
+    """(day, cp, cp_utc, cp_hour, values) of what is known at each checkpoint; anchors a6 to a18 of `anchored` columns."""
+    rows = ensure_columns(asof.known(obs, config), LAYERS)
+    anchors = {f"a{a}": asof.anchor_part(a, anchored) for a in config.anchors} if anchored else {}
+    made = asof.prefix_slices(rows, slice_parts() | anchors, config)
+    values = [asof.anchor_value(a, f"a{a}").alias(f"a{a}") for a in config.anchors] if anchored else []
+    return made.select(*config.day, "cp", "cp_utc", "cp_hour", *_slice_columns(), *values)
+
+
+def wind_by_slice(obs: DataFrame, config: Config = Config()) -> DataFrame:
+    """(day, cp, circular_dir, south_mean, north_mean) of each slice."""
+    parts = circular_parts() | sector_parts("south", 135, 225) | sector_parts("north", 315, 45)
+    made = asof.prefix_slices(asof.known(obs, config), parts, config)
+    return made.select(*config.day, "cp", circular_mean().alias("circular_dir"), average("south").alias("south_mean"), average("north").alias("north_mean"))
 
 
 def regime(few: str) -> Column:
@@ -78,9 +97,9 @@ def intraday_change() -> Column:
 
 def regime_by_day(obs: DataFrame, config: Config = Config()) -> DataFrame:
     """The regime of each whole local date from all its reports with a temperature."""
-    rows = with_change(obs.where("dq_tmp_c_int <> 'missing'"), config)
-    days = ensure_columns(rows, LAYERS).groupBy(*config.day).agg(*_slice_columns())
-    return days.select(*config.day, regime("calm").alias("regime"), "n_slice")
+    rows = ensure_columns(asof.known(obs, config), LAYERS)
+    days = rows.groupBy(*config.day).agg(*[p.make.alias(n) for n, p in slice_parts().items()])
+    return days.select(*config.day, *_slice_columns()).select(*config.day, regime("calm").alias("regime"), "n_slice")
 
 
 def _ends(column: str, config: Config) -> tuple[Column, Column, Column]:
@@ -109,13 +128,10 @@ def day_sequence() -> Column:
 def build_features(obs: DataFrame, labels: DataFrame, config: Config = Config()) -> DataFrame:
     """The feature table of the labelled dates, every feature from reports before its checkpoint.
 
-    One aggregation by (date_local, cp) makes all slice values and anchors; a date without
-    any earlier report keeps a row of nulls with regime `insufficient`.
+    Slice values and anchors are aggregated once for each interval between checkpoints and
+    merged; a date without any earlier report keeps a row of nulls with regime `insufficient`.
     """
-    slices = ensure_columns(causal_slices(obs, config), LAYERS)
-    anchors = [anchor_value(a, ANCHORED).alias(f"a{a}") for a in config.anchors]
-    got = slices.groupBy(*config.day, "cp", "cp_utc", "cp_hour").agg(*_slice_columns(), *anchors)
-    got = require_causal(got)
+    got = asof.require_causal(slice_aggregates(obs, config, ANCHORED))
     days = neighbour_days(labels, config=config)
     grid = days.withColumn("cp", F.explode(F.array(*[F.lit(c) for c in config.cps])))
     rows = grid.join(got, [*config.day, "cp"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obscast.functions.settle import settle
+from obscast.operators.ranks import value_ranks
 
 
 def safe_corr(x: Column, y: Column, least: int, otherwise: Column) -> Column:
@@ -41,9 +42,13 @@ def rps(dist: DataFrame, keys: list[str], k: str, prob: str, truth: str) -> Data
 
 
 def crps(members: DataFrame, keys: list[str], value: str, truth: str) -> DataFrame:
-    """CRPS of an ensemble by ranks: one sort instead of all pairs of members."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rows = members.withColumns({"__i": place, "__n": n})
-    spread = F.sum((2 * F.col("__i") - F.col("__n") - 1) * F.col(value) / (F.col("__n") * F.col("__n")))
-    return rows.groupBy(*keys).agg((F.avg(F.abs(F.col(value) - F.col(truth))) - spread).alias("crps"))
+    """CRPS of an ensemble by ranks, for ensembles of any size: no task sorts a whole one.
+
+    Members without a value are left out; `truth` is the ensemble's.
+    """
+    apart = F.sum(F.abs(F.col(value) - F.col(truth))).alias("apart")
+    ranked = value_ranks(members, keys, value, apart)
+    n, total = F.col("n"), F.col("total").cast("double")
+    # n equal values take the ranks from before + 1 on; their factors 2 i - total - 1 add up to this.
+    spread = F.sum(F.col(value) * (n * (2 * F.col("before") + n - F.col("total"))) / (total * total))
+    return ranked.groupBy(*keys).agg((F.sum("apart") / F.max(total) - spread).alias("crps"))

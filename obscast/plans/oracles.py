@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from obscast.config import CATALOG, HPA_PER_INHG, HYPOTHESES, SKY_WEIGHTS
+from obscast.operators.bootstrap import BOUNDS
 from obscast.operators.challengers import FROM_TRAINING
 
 TZ = "Pacific/Auckland"
@@ -40,7 +41,7 @@ def _trend(c: str, factor: str = "1e0") -> str:
 
 
 CTES = {
-    "raw": f"""select (((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + t as obs_id, valid,
+    "raw": f"""select ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, t)), 1, 15))::bigint as obs_id, valid,
         case when l_partkey % 50 = 0 then null when l_partkey % 50 = 1 then 'NZWN AUTO NIL'
              else 'NZWN ' || strftime(valid, '%d%H%M') || 'Z AUTO 36005KT 9999 ' || {_digits("t")} || '/' || {_digits("d")} || ' Q1020' end as metar,
         case when l_suppkey % 40 = 0 then null else t * 9e0 / 5e0 + 32e0 + ((l_orderkey % 10) - 5) / 20e0 end as tmpf,
@@ -214,13 +215,19 @@ def with_ctes(final: str) -> str:
 
 _CORR = "case when count(*) < 3 then 0 when min({a}) < max({a}) and min(tmax) < max(tmax) then covar_pop({a}, tmax) / sqrt(var_pop({a}) * var_pop(tmax)) end"
 
-def _draws(value: str, keys: str, source: str, order: str, reps: int) -> str:
-    """Means of resamples of each group, drawn by md5 as in the library; the digests serve all groups."""
-    number = "('0x' || substr(md5('42|' || rep || '|' || j), 1, 8))::bigint"
-    return f"""select {keys}, rep, list_sum(list_transform(places[1 : n], lambda x: v[1 + x % n])) / n as stat
-        from (select {keys}, list({value} order by {order}) as v, count(*) as n from {source} group by all),
-        (select rep, list({number} order by j) as places from (select unnest(range(0, {reps})) as rep),
-         (select unnest(range(0, (select max(n) from (select count(*) as n from {source} group by {keys})))) as j) group by rep)"""
+def _draws(value: str, keys: str, source: str, unit: str, reps: int) -> str:
+    """Weighted means of resamples of each group: a unit occurs as often as its digest says, as in the library."""
+    number = "('0x' || substr(d, 1 + 4 * k, 4))::int"
+    times = " + ".join(f"({number} >= {b})::int" for b in BOUNDS)
+    pairs = " and ".join(f"g.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    return f"""select {keys}, rep, list_dot_product(c, v) / list_dot_product(c, w) as stat
+        from (select {", ".join("g." + k.strip() for k in keys.split(","))}, list(coalesce(r.s, 0)::double order by u.unit) as v, list(coalesce(r.n, 0)::double order by u.unit) as w
+              from (select distinct {keys} from {source}) g cross join (select distinct {unit} as unit from {source}) u
+              left join (select {keys}, {unit} as unit, sum({value}) as s, count({value}) as n from {source} group by all) r on r.unit = u.unit and {pairs}
+              group by all),
+        (select rep, list(t::double order by unit) as c from (select unit, b * 8 + k as rep, {times} as t
+           from (select unit, b, md5('42|' || unit || '|' || b) as d from (select distinct {unit} as unit from {source}), (select unnest(range(0, {-(-reps // 8)})) as b)),
+             (select unnest(range(0, 8)) as k)) where rep < {reps} group by rep)"""
 
 
 def _statistics(source: str, keys: str) -> str:
@@ -228,7 +235,7 @@ def _statistics(source: str, keys: str) -> str:
     return f"""select {keys}, n_days, effect_size, null_mae, model_mae, corr_diff, p50_mode_share,
         quantile_cont(stat, 0.025) filter (rep < {N_CI}) as ci_lo, quantile_cont(stat, 0.975) filter (rep < {N_CI}) as ci_hi,
         (count(*) filter (stat <= 0) + 1) / {N_P + 1}::double as p_value
-        from ({_draws("gain", keys, source, "date_local, split", N_P)})
+        from ({_draws("gain", keys, source, "date_local || '|' || split", N_P)})
         join (select {keys}, count(*) as n_days, avg(gain) as effect_size, avg(base_error) as null_mae, avg(error) as model_mae,
               {_CORR.format(a="pred")} - {_CORR.format(a="base_pred")} as corr_diff from {source} group by all) using ({keys})
         join (select {keys}, max(c) / sum(c) as p50_mode_share from (select {keys}, round_even(pred, 0) as p, count(*) as c from {source} group by all) group by all) using ({keys})
@@ -318,7 +325,7 @@ FINAL = {
     "missing_previous_days": """select cp, count(*) as n, count(*) filter (l.date_local is null) as n_missing from rk r
         left join (select date_local from labels where day_complete) l on l.date_local = r.date_local - 1 group by cp""",
     "bootstrap_paired": f"""select cp, {six("point")}, {six("quantile_cont(stat, 0.025)", "lo")}, {six("quantile_cont(stat, 0.975)", "hi")}
-        from ({_draws("gain", "cp", "pairs", "date_local", N_CI)}) join (select cp, avg(gain) as point from pairs group by all) using (cp) group by cp, point""",
+        from ({_draws("gain", "cp", "pairs", "date_local::varchar", N_CI)}) join (select cp, avg(gain) as point from pairs group by all) using (cp) group by cp, point""",
     "best_null": f"select cp, b.level as level, b.name as name, {six('b.mae', 'mae')} from (select cp, first(struct_pack(level := level, name := name, mae := mae) order by mae, level) as b from summ group by 1)",
     "segment_mae": f"""select coalesce(regime_label, 'unknown') as regime, level, name, cp, {six("avg(abs_error)", "mae")}, count(*) as n,
         coalesce(regime_label, 'unknown') || '_' || cp as segment from errs left join feat using (date_local, cp) group by all""",
@@ -332,7 +339,7 @@ FINAL = {
     "ols_models": f"select split, feature, cp, n_train, {six('slope')}, {six('intercept')} from models",
     "challenger_errors": f"select split, {_D}, feature, cp, tmax, {six('base_pred')}, {six('pred')}, {six('base_error')}, {six('error')} from chal",
     "bootstrap_mean": f"""select name, cp, {six("point")}, {six("quantile_cont(stat, 0.025)", "lo")}, {six("quantile_cont(stat, 0.975)", "hi")}
-        from ({_draws("abs_error", "name, cp", "errs", "date_local", N_CI)}) join (select name, cp, avg(abs_error) as point from errs group by all) using (name, cp) group by name, cp, point""",
+        from ({_draws("abs_error", "name, cp", "errs", "date_local::varchar", N_CI)}) join (select name, cp, avg(abs_error) as point from errs group by all) using (name, cp) group by name, cp, point""",
     "hypothesis_statistics": f"select feature, cp, n_days, {_STATS} from ({_statistics('(select * from gain where n >= 30)', 'feature, cp')})",
     "hypothesis_results": f"""select id, feature, cp, regime, n_days, {_STATS}, per_cp_passed, all_passed, failed_gates, blocked_reason, reason, fdr_adjusted, passes, status
         from (select *, case when n_days > 0 then model_mae < null_mae end as per_cp_passed, case when n_days > 0 then failed_gates = '' end as all_passed from decided)""",

@@ -53,10 +53,6 @@ def day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.daily_labels(observations(spark, sf_dir), CONFIG).persist()
 
 
-def slices(spark, sf_dir) -> DataFrame:
-    return asof.causal_slices(observations(spark, sf_dir), CONFIG)
-
-
 def table(spark, sf_dir) -> DataFrame:
     """One row a day and checkpoint, kept for the same reason."""
     return features.build_features(observations(spark, sf_dir), day_labels(spark, sf_dir), CONFIG).persist()
@@ -68,7 +64,7 @@ def recent_errors(spark, sf_dir) -> DataFrame:
 
 
 def plan(spark, days) -> DataFrame:
-    return splits.walk_forward_splits(spark, splits.history_start(days), TEST_STARTS)
+    return splits.split_plan(days, TEST_STARTS)
 
 
 def obs_parse_quality(spark, sf_dir):
@@ -135,12 +131,12 @@ def k_cp_long(spark, sf_dir):
 
 
 def anchor_nearest(spark, sf_dir):
-    found = asof.nearest_anchors(slices(spark, sf_dir), ("tmp_c_int", "dwp_c_int", "sknt", "drct", "alti"), CONFIG)
+    found = asof.nearest_anchors(observations(spark, sf_dir), ("tmp_c_int", "dwp_c_int", "sknt", "drct", "alti"), CONFIG)
     return shown(found)
 
 
 def slice_aggregates(spark, sf_dir):
-    found = features.slice_aggregates(slices(spark, sf_dir))
+    found = features.slice_aggregates(observations(spark, sf_dir), CONFIG)
     return shown(found.select(
         "date_local", "cp", "n_slice", "p01i_sum", "depression", "tmin_so_far", "max_delta", "nw_strength", "tmax_hour_so_far",
         "early_dir", "late_dir", "mean_dir", "cloud_cover", "cloud_base", "has_rain",
@@ -148,10 +144,7 @@ def slice_aggregates(spark, sf_dir):
 
 
 def circular_wind(spark, sf_dir):
-    found = slices(spark, sf_dir).groupBy("date_local", "cp").agg(
-        features.circular_mean().alias("circular_dir"), features.sector_mean(135, 225).alias("south_mean"),
-        features.sector_mean(315, 45).alias("north_mean"),
-    )
+    found = features.wind_by_slice(observations(spark, sf_dir), CONFIG)
     # Noise around north may show as 0 or just below 360.
     return shown(found.withColumn("circular_dir", F.pmod(F.round("circular_dir", 6), F.lit(360.0))))
 
@@ -282,9 +275,7 @@ def metrics_point(spark, sf_dir):
 
 def wf_splits(spark, sf_dir):
     days = day_labels(spark, sf_dir)
-    return shown(splits.walk_forward_splits(
-        spark, splits.history_start(days), [dt.date(1995, 6, 1), *TEST_STARTS], holdout_days=(90,), as_of=AS_OF
-    ))
+    return shown(splits.split_plan(days, [dt.date(1995, 6, 1), *TEST_STARTS], holdout_days=(90,), as_of=AS_OF))
 
 
 def _backtest(spark, sf_dir):

@@ -21,7 +21,8 @@ def lineitem_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_GROUP.format(x='t')} || '/' || {_GROUP.format(x='d')} || ' Q1020'"
     )
     return rows.selectExpr(
-        "(((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + t as obs_id",
+        # Sixty bits of a digest of what names a line item, so that no key is too large for it.
+        "cast(conv(substring(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, t)), 1, 15), 16, 10) as bigint) as obs_id",
         "valid",
         f"case when l_partkey % 50 = 0 then null when l_partkey % 50 = 1 then 'NZWN AUTO NIL' else {report} end as metar",
         "case when l_suppkey % 40 = 0 then null else t * 9D / 5D + 32D + ((l_orderkey % 10) - 5) / 20D end as tmpf",
