@@ -1,9 +1,9 @@
 """Bootstrap whose replicates are sums: mergeable over tasks, no row meets a replicate.
 
-A unit (a day) occurs in a replicate as often as a hash of seed, unit and replicate says: eight
-16-bit numbers of one md5 become Poisson counts of mean one. The statistic of a replicate is the
+A unit (a day) occurs in a replicate as often as a hash of seed, unit and replicate says: sixteen
+16-bit numbers of one sha256 become Poisson counts of mean one. The statistic of a replicate is the
 weighted mean, so a task adds up one vector of sums and one of weights for its part of a group,
-and parts are added up in turn. Any engine that has md5 draws the same.
+and parts are added up in turn. Any engine that has sha256 draws the same.
 """
 
 from __future__ import annotations
@@ -21,19 +21,19 @@ from pyspark.sql import functions as F
 #: A 16-bit number gives as many occurrences as bounds that it reaches: Poisson with mean one.
 BOUNDS = tuple(int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
 #: Draws of one digest, rows of a group in one part, parts added up at once, units expanded at once.
-DRAWS, PART, TOGETHER, UNITS = 8, 100_000, 64, 256
+DRAWS, PART, TOGETHER, UNITS = 16, 100_000, 64, 256
 
 
 @lru_cache(maxsize=4096)
 def occurrences(unit: str, n: int, seed: int) -> np.ndarray:
     """How often a unit occurs in each of the first n replicates."""
-    digests = b"".join(hashlib.md5(f"{seed}|{unit}|{b}".encode()).digest() for b in range(-(-n // DRAWS)))
+    digests = b"".join(hashlib.sha256(f"{seed}|{unit}|{b}".encode()).digest() for b in range(-(-n // DRAWS)))
     return np.searchsorted(BOUNDS, np.frombuffer(digests, ">u2")[:n], side="right").astype(np.uint8)
 
 
 def occurrence(unit: Column, rep: Column, seed: int) -> Column:
     """The same as an expression, for one replicate."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), unit, F.floor(rep / DRAWS).cast("string")))
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), unit, F.floor(rep / DRAWS).cast("string")), 256)
     number = F.conv(F.substring(digest, (rep % DRAWS).cast("int") * 4 + 1, F.lit(4)), 16, 10).cast("int")
     return reduce(Column.__add__, [(number >= b).cast("int") for b in BOUNDS])
 
@@ -75,7 +75,9 @@ def _parts(rows: DataFrame, keys: list[str], value: str, unit: list[str], n_boot
     )
     sizes = named.groupBy("name").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("unit"), F.ceil(F.col("n") / PART))
-    dealt = named.join(sizes, "name").select("name", part.alias("part"), "unit", "v")
+    # A number of tasks of its own: the work of a row is that of its replicates, not of its bytes.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = named.join(sizes, "name").select("name", part.alias("part"), "unit", "v").repartition(tasks, "name", "part")
     schema = "name string, part long, total binary, weight binary"
     parts = dealt.groupBy("name", "part").applyInPandas(_part_sums(n_boot, seed), schema)
     parts = parts.groupBy("name", F.floor(F.col("part") / TOGETHER).alias("next")).applyInPandas(_merge, schema)

@@ -11,6 +11,7 @@ import re
 from obscast.config import CATALOG, HPA_PER_INHG, HYPOTHESES, SKY_WEIGHTS
 from obscast.operators.bootstrap import BOUNDS
 from obscast.operators.challengers import FROM_TRAINING
+from obscast.sources.fixtures import STATIONS
 
 TZ = "Pacific/Auckland"
 LOCAL = f"timezone('{TZ}', {{x}} at time zone 'UTC')"
@@ -40,17 +41,34 @@ def _trend(c: str, factor: str = "1e0") -> str:
     return f"(({e})[-1].v - ({e})[1].v) * {factor} / nullif((({e})[-1].h - ({e})[1].h)::double, 0)"
 
 
-CTES = {
-    "raw": f"""select ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, t)), 1, 15))::bigint as obs_id, valid,
-        case when l_partkey % 50 = 0 then null when l_partkey % 50 = 1 then 'NZWN AUTO NIL'
-             else 'NZWN ' || strftime(valid, '%d%H%M') || 'Z AUTO 36005KT 9999 ' || {_digits("t")} || '/' || {_digits("d")} || ' Q1020' end as metar,
+def _raw(station: str, more: str, source: str) -> str:
+    """Reports with temperature t and dewpoint d of `source`, of one station."""
+    return f"""select ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, t{more})), 1, 15))::bigint as obs_id, valid,
+        case when l_partkey % 50 = 0 then null when l_partkey % 50 = 1 then '{station} AUTO NIL'
+             else '{station} ' || strftime(valid, '%d%H%M') || 'Z AUTO 36005KT 9999 ' || {_digits("t")} || '/' || {_digits("d")} || ' Q1020' end as metar,
         case when l_suppkey % 40 = 0 then null else t * 9e0 / 5e0 + 32e0 + ((l_orderkey % 10) - 5) / 20e0 end as tmpf,
         round(l_discount * 100) * 36 as drct, round(l_tax * 100) * 3 as sknt, 29.50e0 + (l_partkey % 100) / 100e0 as alti,
         case when l_returnflag = 'R' and l_linenumber = 1 then 0.05e0 else 0e0 end as p01i,
         ['FEW', 'SCT', 'BKN', 'OVC', 'CLR', 'VV', null][l_linenumber] as skyc1, cast(l_suppkey * 100 as varchar) as skyl1,
         case when l_returnflag = 'R' and l_linenumber = 2 then '-RA' end as wxcodes
-        from (select *, l_shipdate + to_minutes(cast((l_orderkey * 37 + l_linenumber * 211 + l_partkey * 13) % 1440 as bigint)) as valid,
-              cast(l_quantity as bigint) as t, cast(l_quantity as bigint) - 2 - l_partkey % 9 as d from lineitem)""",
+        from ({source})"""
+
+
+_AT = "l_shipdate + to_minutes(cast((l_orderkey * 37 + l_linenumber * 211 + l_partkey * 13) % 1440 as bigint))"
+
+
+def _station_raw(station: str) -> str:
+    """Reports of one station with an effect: afternoons are warmer by twice a number, which depressions tell at the first."""
+    own = station == STATIONS[0]
+    warm = "(n * 7 + n // 5) % 10" if own else "(n * 3 + n // 7) % 10"
+    days = f"select *, cast({LOCAL.format(x='valid')} as date) - date '1970-01-01' as n from (select *, {_AT} as valid from lineitem)"
+    rows = f"""select *, t - 2 - (n * 7 + n // 5) % 10 as d from (select *, 10 + cast(l_quantity as bigint) % 5
+        + case when hour({LOCAL.format(x='valid')}) >= 13 then 2 * ({warm}) else 0 end as t from ({days}){'' if own else ' where l_suppkey % 5 <> 0'})"""
+    return _raw(station, f", '{station}'", rows)
+
+
+CTES = {
+    "raw": _raw("NZWN", "", f"select *, {_AT} as valid, cast(l_quantity as bigint) as t, cast(l_quantity as bigint) - 2 - l_partkey % 9 as d from lineitem"),
     "grp": r"""select *, nullif(regexp_extract(metar, '\s(M?\d{1,2})/(M?\d{1,2})(?:\s|$)', 1), '') as g1,
         nullif(regexp_extract(metar, '\s(M?\d{1,2})/(M?\d{1,2})(?:\s|$)', 2), '') as g2 from raw""",
     "num": "select *, cast(replace(g1, 'M', '-') as bigint) as t, cast(replace(g2, 'M', '-') as bigint) as d from grp",
@@ -197,19 +215,20 @@ CTES = {
 }
 
 
-def with_ctes(final: str) -> str:
-    """`final` behind the expressions that it and they refer to, in order."""
+def with_ctes(final: str, raw: str | None = None) -> str:
+    """`final` behind the expressions that it and they refer to, in order; raw: other reports than those of line items."""
     need: list[str] = []
+    texts = CTES | ({"raw": raw} if raw else {})
 
     def add(text: str) -> None:
-        for name in CTES:
+        for name in texts:
             if name not in need and re.search(rf"\b(?:from|join)\s+{name}\b|,\s*{name}\b(?=\s*[,)])|from\s*\(select[^()]*from\s+{name}\b", text):
-                add(CTES[name])
+                add(texts[name])
                 if name not in need:
                     need.append(name)
 
     add(final)
-    head = ", ".join(f"{n} as materialized ({CTES[n]})" for n in need)
+    head = ", ".join(f"{n} as materialized ({texts[n]})" for n in need)
     return f"with {head} {final}" if need else final
 
 
@@ -225,9 +244,9 @@ def _draws(value: str, keys: str, source: str, unit: str, reps: int) -> str:
               from (select distinct {keys} from {source}) g cross join (select distinct {unit} as unit from {source}) u
               left join (select {keys}, {unit} as unit, sum({value}) as s, count({value}) as n from {source} group by all) r on r.unit = u.unit and {pairs}
               group by all),
-        (select rep, list(t::double order by unit) as c from (select unit, b * 8 + k as rep, {times} as t
-           from (select unit, b, md5('42|' || unit || '|' || b) as d from (select distinct {unit} as unit from {source}), (select unnest(range(0, {-(-reps // 8)})) as b)),
-             (select unnest(range(0, 8)) as k)) where rep < {reps} group by rep)"""
+        (select rep, list(t::double order by unit) as c from (select unit, b * 16 + k as rep, {times} as t
+           from (select unit, b, sha256('42|' || unit || '|' || b) as d from (select distinct {unit} as unit from {source}), (select unnest(range(0, {-(-reps // 16)})) as b)),
+             (select unnest(range(0, 16)) as k)) where rep < {reps} group by rep)"""
 
 
 def _statistics(source: str, keys: str) -> str:
@@ -371,4 +390,29 @@ FINAL = {
 }
 
 FINAL["job_chain"] = FINAL["coverage_manifest"]
-ORACLES = {name: with_ctes(sql) for name, sql in FINAL.items()}
+FINAL["ladder_scores"] = f"""select level, name, cp, {six("mae")}, n, {six("coalesce(rps, 0)", "rps")} from summ left join (
+    select 'L4' as level, cp, avg(x) filter (x <> 0) as rps from (select r.date_local, r.cp, avg(d * d) as x from (
+      select r.date_local, r.cp, sum(prob) over (partition by r.date_local, r.cp order by k rows unbounded preceding) - (k >= truth)::int as d
+      from rk r join dist using (month, cp, k_cp)) r group by all) group by cp) using (level, cp)"""
+
+#: Statements about one station, each true of every station by itself.
+EACH = {
+    "station_range_scan": f"""select obs_id, epoch(valid)::bigint as valid, tmp as tmp_c_int, dwp as dwp_c_int, dq, {_D} from obs
+        where cast(valid as date) between date '1999-03-01' and date '2000-02-15'""",
+    "station_splits": f"""select split, cast(train_start as varchar) as train_start, cast(train_end as varchar) as train_end,
+        cast(test_start as varchar) as test_start, cast(test_end as varchar) as test_end from spl""",
+    "station_climatology": FINAL["climatology_doy"],
+    "station_empirical_dist": FINAL["empirical_dist"],
+    "station_ladder": FINAL["ladder_summary"],
+    "station_challenger_errors": FINAL["challenger_errors"],
+    "station_results": FINAL["hypothesis_results"],
+    "station_contract": f"""select id, feature as feature_column, cp, {six("effect_size")}, {six("ci_lo")}, {six("ci_hi")}, {six("p_value")}
+        from decided where status = 'validated' and regime = 'all'""",
+    "station_leaderboard": FINAL["leaderboard"].replace(
+        "and (v.feature, v.cp) in (select (v.feature", "and (v.feature, v.cp) in (select (feature, cp) from decided where status = 'validated' and regime = 'all')\n          and (v.feature, v.cp) in (select (v.feature"
+    ),
+}
+ORACLES = {name: with_ctes(sql) for name, sql in FINAL.items()} | {
+    name: " union all ".join(f"select '{s}' as station, * from ({with_ctes(sql, _station_raw(s))})" for s in (STATIONS[1:] if name == "station_range_scan" else STATIONS))
+    for name, sql in EACH.items()
+}

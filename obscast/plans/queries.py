@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from obscast.functions import calendar, settle
 from obscast.functions.parse import annotate, in_sector, parse_stats, parse_temperatures, sky_weight
 from obscast.operators import asof, baselines, board, challengers, features, inference, labels, metrics, splits
 from obscast.sources import fixtures, io
-from obscast.sources.shared import shared_path
+from obscast.sources.shared import shared_path, stored
 
 #: Completeness that the derived tables reach, backtest years and the recent window.
 CONFIG = Config(min_obs=8, max_gap_minutes=360)
@@ -49,22 +50,20 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a day, kept because training, test and neighbour days all come from it."""
-    return labels.daily_labels(observations(spark, sf_dir), CONFIG).persist()
+    """One row a day, written because training, test and neighbour days all come from it."""
+    return stored(labels.daily_labels(observations(spark, sf_dir), CONFIG), "labels")
 
 
-def table(spark, sf_dir) -> DataFrame:
-    """One row a day and checkpoint, kept for the same reason."""
-    return features.build_features(observations(spark, sf_dir), day_labels(spark, sf_dir), CONFIG).persist()
+def days_and_table(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The days, and one row a day and checkpoint; reports are parsed once for both and written."""
+    obs = stored(observations(spark, sf_dir), "observations")
+    days = stored(labels.daily_labels(obs, CONFIG), "labels")
+    return days, features.build_features(obs, days, CONFIG)
 
 
-def recent_errors(spark, sf_dir) -> DataFrame:
-    """A row a day, checkpoint and baseline of the recent window, kept."""
-    return board.recent_errors(day_labels(spark, sf_dir), AS_OF, WINDOW, CONFIG).persist()
-
-
-def plan(spark, days) -> DataFrame:
-    return splits.split_plan(days, TEST_STARTS)
+def recent_errors(days: DataFrame, with_rps: bool = False) -> DataFrame:
+    """A row a day, checkpoint and baseline of the recent window, written because many aggregates read it."""
+    return stored(board.recent_errors(days, AS_OF, WINDOW, CONFIG, with_rps), "errors")
 
 
 def obs_parse_quality(spark, sf_dir):
@@ -119,7 +118,7 @@ def settlement_flip(spark, sf_dir):
 
 
 def daily_label_table(spark, sf_dir):
-    return shown(day_labels(spark, sf_dir))
+    return shown(labels.daily_labels(observations(spark, sf_dir), CONFIG))
 
 
 def obs_gaps(spark, sf_dir):
@@ -127,7 +126,7 @@ def obs_gaps(spark, sf_dir):
 
 
 def k_cp_long(spark, sf_dir):
-    return shown(labels.k_cp_long(day_labels(spark, sf_dir), CONFIG))
+    return shown(labels.k_cp_long(labels.daily_labels(observations(spark, sf_dir), CONFIG), CONFIG))
 
 
 def anchor_nearest(spark, sf_dir):
@@ -172,11 +171,11 @@ def regime_by_month(spark, sf_dir):
 
 
 def feature_table(spark, sf_dir):
-    return shown(table(spark, sf_dir))
+    return shown(days_and_table(spark, sf_dir)[1])
 
 
 def coverage_manifest(spark, sf_dir):
-    return shown(features.coverage_manifest(table(spark, sf_dir), CONFIG))
+    return shown(features.coverage_manifest(days_and_table(spark, sf_dir)[1], CONFIG))
 
 
 def hour_coverage(spark, sf_dir):
@@ -251,19 +250,20 @@ def crps_scores(spark, sf_dir):
 
 
 def ladder_errors(spark, sf_dir):
-    return shown(recent_errors(spark, sf_dir))
+    return shown(recent_errors(day_labels(spark, sf_dir)))
 
 
 def ladder_summary(spark, sf_dir):
-    return shown(baselines.ladder_summary(recent_errors(spark, sf_dir)))
+    return shown(baselines.ladder_summary(recent_errors(day_labels(spark, sf_dir))))
 
 
 def best_null(spark, sf_dir):
-    return shown(baselines.best_null(baselines.ladder_summary(recent_errors(spark, sf_dir))))
+    return shown(baselines.best_null(baselines.ladder_summary(recent_errors(day_labels(spark, sf_dir)))))
 
 
 def segment_mae(spark, sf_dir):
-    found = baselines.segment_mae(recent_errors(spark, sf_dir), table(spark, sf_dir))
+    days, made = days_and_table(spark, sf_dir)
+    found = baselines.segment_mae(recent_errors(days), made)
     return shown(baselines.segments(found, ["regime", "cp"]))
 
 
@@ -279,8 +279,9 @@ def wf_splits(spark, sf_dir):
 
 
 def _backtest(spark, sf_dir):
-    days, made = day_labels(spark, sf_dir), table(spark, sf_dir)
-    spans = plan(spark, days)
+    days, made = days_and_table(spark, sf_dir)
+    made = stored(made, "features")
+    spans = splits.split_plan(days, TEST_STARTS)
     own = challengers.split_values(made, days, spans, CONFIG)
     return made, days, challengers.long_features(made), challengers.targets(days, CONFIG), spans, own
 
@@ -301,25 +302,26 @@ def challenger_errors(spark, sf_dir):
 
 
 def _gains(spark, sf_dir):
-    _, _, values, target, spans, own = _backtest(spark, sf_dir)
-    return challengers.challenger_errors(values, target, spans, own).persist()
+    """Errors of persistence and challengers, and the types of the feature table's columns."""
+    made, _, values, target, spans, own = _backtest(spark, sf_dir)
+    return stored(challengers.challenger_errors(values, target, spans, own), "gains"), dict(made.dtypes)
 
 
 def bootstrap_mean(spark, sf_dir):
-    days = recent_errors(spark, sf_dir)
+    days = recent_errors(day_labels(spark, sf_dir))
     return shown(inference.bootstrap_ci(days, ["name", "cp"], "abs_error", ["date_local"], N_CI))
 
 
 def bootstrap_paired(spark, sf_dir):
     """How much better than persistence the climatology is, day by day."""
-    days = recent_errors(spark, sf_dir)
+    days = recent_errors(day_labels(spark, sf_dir))
     one = lambda name: days.where(F.col("name") == name).select("cp", "date_local", F.col("abs_error").alias(name))
     pairs = one("persistence").join(one("climatology_doy"), ["cp", "date_local"])
     return shown(inference.bootstrap_ci_diff(pairs, ["cp"], "persistence", "climatology_doy", ["date_local"], N_CI))
 
 
 def hypothesis_statistics(spark, sf_dir):
-    found = inference.statistics(_gains(spark, sf_dir), ["feature", "cp"], N_CI, N_P, CONFIG.seed)
+    found = inference.statistics(_gains(spark, sf_dir)[0], ["feature", "cp"], N_CI, N_P, CONFIG.seed)
     return shown(found)
 
 
@@ -334,13 +336,13 @@ def _failed(gates: Column) -> Column:
 
 
 def _validated(spark, sf_dir):
-    kinds = dict(table(spark, sf_dir).dtypes)
-    return inference.validate(_gains(spark, sf_dir), kinds, CONFIG, n_boot=N_CI, n_p=N_P)
+    gains, kinds = _gains(spark, sf_dir)
+    return inference.validate(gains, kinds, CONFIG, n_boot=N_CI, n_p=N_P)
 
 
 def feature_contract(spark, sf_dir):
     """A row for each validated or blocked feature of the contract, with its counts."""
-    one = inference.contract(_validated(spark, sf_dir)).persist()
+    one = stored(inference.contract(_validated(spark, sf_dir)), "contract")
     counts = [six("alpha").alias("alpha"), "n_hypotheses_tested", "n_validated", "n_rejected"]
     good = one.select(F.lit("validated").alias("kind"), F.inline("validated_features"), F.lit(None).cast("string").alias("reason"), *counts)
     held = one.select(F.lit("blocked").alias("kind"), F.inline("blocked"), *counts)
@@ -348,7 +350,7 @@ def feature_contract(spark, sf_dir):
 
 
 def baseline_gates(spark, sf_dir):
-    found = board.baseline_gates(baselines.ladder_summary(recent_errors(spark, sf_dir)), CONFIG)
+    found = board.baseline_gates(baselines.ladder_summary(recent_errors(day_labels(spark, sf_dir))), CONFIG)
     one = found.select("level", "name", "cp", "all_passed", F.explode("gates").alias("g"))
     return one.select("level", "name", "cp", "all_passed", "g.gate", "g.passed", "g.status")
 
@@ -361,7 +363,7 @@ def feature_nulls(spark, sf_dir):
 def leaderboard(spark, sf_dir):
     made, days, values, *_ = _backtest(spark, sf_dir)
     nulls = board.feature_nulls(values, days, values.select("feature", "cp"), AS_OF, WINDOW, CONFIG)
-    found = board.leaderboard(recent_errors(spark, sf_dir), made, AS_OF, WINDOW, nulls, CONFIG)
+    found = board.leaderboard(recent_errors(days), made, AS_OF, WINDOW, nulls, CONFIG)
     rows = found.select(
         "cp", "window_start", "window_end", F.col("best_null.level").alias("best_level"), F.col("best_null.name").alias("best_name"),
         F.size("segments").alias("n_segments"), F.size("feature_nulls").alias("n_feature_nulls"), F.inline("entries"),
@@ -369,6 +371,95 @@ def leaderboard(spark, sf_dir):
     return shown(rows.withColumn("failed_gates", _failed(F.col("gates"))).drop("gates"))
 
 
+def ladder_scores(spark, sf_dir):
+    found = baselines.ladder_summary(recent_errors(day_labels(spark, sf_dir), with_rps=True))
+    return shown(found.select("level", "name", "cp", "mae", "n", "rps"))
+
+
+# The same over two stations in one table, an effect planted at one of them.
+BOTH = replace(CONFIG, station=("station",))
+
+
+def station_days(spark, sf_dir) -> DataFrame:
+    raw = fixtures.station_observations(spark, sf_dir)
+    return stored(labels.daily_labels(annotate(parse_temperatures(raw, BOTH), BOTH), BOTH), "labels")
+
+
+def station_range_scan(spark, sf_dir):
+    """A year of one station out of a table written by station and year."""
+    obs = annotate(parse_temperatures(fixtures.station_observations(spark, sf_dir), BOTH), BOTH)
+    path = shared_path(spark, "stations")
+    io.write_table(obs, path, station=BOTH.station)
+    found = io.read_table(spark, path, "1999-03-01", "2000-02-15", "valid", station=fixtures.STATIONS[1])
+    return shown(found.select("station", "obs_id", "valid", "tmp_c_int", "dwp_c_int", F.col("dq_tmp_c_int").alias("dq"), "date_local"))
+
+
+def station_splits(spark, sf_dir):
+    return shown(splits.split_plan(station_days(spark, sf_dir), TEST_STARTS, config=BOTH))
+
+
+def station_climatology(spark, sf_dir):
+    train, _ = board.recent_window(station_days(spark, sf_dir), AS_OF, WINDOW)
+    return shown(baselines.fit_climatology(train, config=BOTH)[0])
+
+
+def station_empirical_dist(spark, sf_dir):
+    train, recent = board.recent_window(station_days(spark, sf_dir), AS_OF, WINDOW)
+    keys = labels.k_cp_long(recent, BOTH).where("k_cp is not null").withColumn("month", F.month("date_local"))
+    support = train.select("station", F.col("tmax_int").alias("k"))
+    return shown(baselines.empirical_dist(keys, baselines.empirical_counts(train, BOTH), support, config=BOTH))
+
+
+def station_ladder(spark, sf_dir):
+    errors = stored(board.recent_errors(station_days(spark, sf_dir), AS_OF, WINDOW, BOTH), "errors")
+    return shown(baselines.ladder_summary(errors, BOTH))
+
+
+def station_challenger_errors(spark, sf_dir):
+    obs = stored(annotate(parse_temperatures(fixtures.station_observations(spark, sf_dir), BOTH), BOTH), "observations")
+    days = stored(labels.daily_labels(obs, BOTH), "labels")
+    made = stored(features.build_features(obs, days, BOTH), "features")
+    spans = splits.split_plan(days, TEST_STARTS, config=BOTH)
+    own = challengers.split_values(made, days, spans, BOTH)
+    values = challengers.long_features(made, config=BOTH)
+    return shown(challengers.challenger_errors(values, challengers.targets(days, BOTH), spans, own, config=BOTH).drop("regime"))
+
+
+def _station_jobs(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Ingest, features and validation as jobs over one folder; its path and the results."""
+    from obscast.plans import jobs
+
+    out = shared_path(spark, "job")
+    jobs.ingest(fixtures.station_observations(spark, sf_dir), out, BOTH)
+    jobs.build_features(spark, out, BOTH)
+    return out, jobs.validate(spark, out, TEST_STARTS, BOTH, N_CI, N_P)
+
+
+def station_results(spark, sf_dir):
+    found = _station_jobs(spark, sf_dir)[1]
+    return shown(found.withColumn("failed_gates", _failed(F.col("gates"))).drop("gates", "skill_ci_lo", "fallback_rate"))
+
+
+def station_contract(spark, sf_dir):
+    """The validated features of each station, as the contract's JSON is read back."""
+    out, _ = _station_jobs(spark, sf_dir)
+    return shown(io.read_contract(spark, f"{out}/contract/run=latest", BOTH.station).drop("regime"))
+
+
+def station_leaderboard(spark, sf_dir):
+    """The leaderboard job after the others, its JSON read back, with the contract's features."""
+    from obscast.plans import jobs
+
+    out, _ = _station_jobs(spark, sf_dir)
+    kinds = jobs.leaderboard(spark, out, AS_OF, WINDOW, BOTH).schema
+    found = spark.read.schema(kinds).json(f"{out}/leaderboard/run=latest")
+    rows = found.select(
+        "station", "cp", "window_start", "window_end", F.col("best_null.level").alias("best_level"), F.col("best_null.name").alias("best_name"),
+        F.size("segments").alias("n_segments"), F.size("feature_nulls").alias("n_feature_nulls"), F.inline("entries"),
+    )
+    return shown(rows.withColumn("failed_gates", _failed(F.col("gates"))).drop("gates"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -378,6 +469,7 @@ QUERIES = {
         climatology_month, empirical_counts, empirical_dist, rps_scores, crps_scores, ladder_errors, ladder_summary,
         best_null, segment_mae, metrics_point, wf_splits, train_stat_features, ols_models, challenger_errors,
         bootstrap_mean, bootstrap_paired, hypothesis_statistics, hypothesis_results, feature_contract, baseline_gates, feature_nulls,
-        leaderboard,
+        leaderboard, ladder_scores, station_range_scan, station_splits, station_climatology, station_empirical_dist, station_ladder,
+        station_challenger_errors, station_results, station_contract, station_leaderboard,
     )
 }
