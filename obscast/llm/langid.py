@@ -8,7 +8,8 @@
 4. `predict` scores whole texts; it reads nothing but the text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is
-every text when nothing can be learned; training rows without a language are left out;
+every text when nothing can be learned; training rows without a language are left out, and so
+are those of languages beyond the LANGUAGES most frequent ones;
 rows repeated in doc_id and text train once; of equal scores the language first in the
 alphabet is taken; an empty table gives no rows; texts are read
 whole. `predict` replaces columns of the names it adds.
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: Languages that are learned at most: those with the most documents, the first in the alphabet of equals.
+LANGUAGES = 200
 #: Sampled documents of a language (about, by a bound on a hash) and of all, and passes over the sample.
 SAMPLE_IN_ALL = 20_000
 SAMPLE, PASSES = 500, 3
@@ -138,7 +141,8 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
 
     draw = F.xxhash64(F.lit("langid"), "doc_id", "text")
     # A language's sample are its rows below a bound on the draw, so no task ranks a language.
-    sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
+    most_frequent = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = {r.lang: r["count"] for r in most_frequent.collect()}
     most = min(sample, SAMPLE_IN_ALL // max(1, len(sizes)))
     bounds = [(lang, min(int(-(1 << 63) + min(1.0, most / n) * (1 << 64)), (1 << 63) - 1)) for lang, n in sizes.items()]
     below = train.sparkSession.createDataFrame(bounds, "lang string, bound long")
@@ -163,12 +167,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         (model.languages, model.idf.astype(np.float32), model.weights.astype(np.float32), model.temperature)
     )
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    at_text = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, idf, weights, temperature = shared.value
         for batch in batches:
             names, scores = [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(at_text):
                 text = value.as_py()
                 name, score = UNKNOWN, 0.0
                 if languages and text is not None and any(map(str.isalpha, text)):
@@ -177,14 +182,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     name, score = languages[int(p.argmax())], float(p.max())
                 names.append(name)
                 scores.append(min(1.0, score))
-            own = [batch.column(k) for k in range(batch.num_columns - 1)]
-            columns = [*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*(docs.schema[c] for c in keep), *added])
     quoted = [F.col(f"`{c}`") for c in keep]
-    return docs.select(*quoted, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*quoted).mapInArrow(run, schema)
 
 
 def held_out():

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obscast.llm import merkle, vector_links, whitening
+from obscast.llm import langid, merkle, vector_links, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, pos long"
 VECTORS = "vec_id long, embedding array<double>, label int, n_links long, node long"
@@ -269,3 +269,14 @@ def test_whitening_without_variance_and_of_very_wide_entries(spark):
     assert {r.component for r in line if r.whitened is None} == {2} and all(r.identity_error < 1e-12 for r in line)
     wide = whitening.whiten(spark.createDataFrame([(0, [0.0], 0, 0, 0), (1, [1e12], 0, 0, 0)], VECTORS)).collect()
     assert {r.deviation for r in wide} == {None} and sorted(round(r.whitened, 9) for r in wide) == [-1.0, 1.0]
+
+
+def test_most_frequent_languages_are_learned_of_very_many(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(k, f"le chat noir dort sur la table numero {k}", "fr") for k in range(40)] + [(100 + k, f"the black cat sleeps on the table number {k}", "en") for k in range(40)]
+    rows += [(1000 + k, "qqq www zzz", f"dirty{k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ["en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs.where("doc_id < 200"), model).collect()}
+    assert all(got[k] == "fr" and got[100 + k] == "en" for k in range(40))
