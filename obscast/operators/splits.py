@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obscast.config import Config
+from obscast.operators.asof import require_closed_left
 
 SCHEMA = "split string, train_start date, train_end date, test_start date, test_end date"
 
@@ -59,6 +60,7 @@ def split_plan(
         spans = F.concat(F.coalesce(own, F.array().cast("array<struct<split: string, test_start: date, test_end: date>>")), spans)
     rows = first.where("train_start is not null").select(*st, "train_start", F.inline(spans))
     rows = rows.where(F.datediff("test_start", "train_start") >= min_train_days)
+    rows = require_closed_left(rows, "train_start", "test_start")
     return rows.select(*st, "split", "train_start", F.date_sub("test_start", 1).alias("train_end"), "test_start", "test_end")
 
 
