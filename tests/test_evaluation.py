@@ -114,17 +114,90 @@ def test_step_up_control(spark):
     assert {r.id for r in inference.benjamini_hochberg(rows, compat=True).where("fdr_adjusted").collect()} == {"H0", "H1"}
 
 
-def test_bootstrap_draws_follow_the_rule(spark):
+def brute_replicates(values, n, seed=42):
+    """Weighted means of (unit, value) pairs: a unit occurs as often as its sixteen bits reach the bounds."""
     import hashlib
-
-    values = [1.0, 4.0, 2.5, 9.0]
-    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "g string, d int, v double")
-    got = {r.rep: r.stat for r in inference.replicates(rows, ["g"], "v", ["d"], 20).collect()}
-    for rep in range(20):
-        at = [int(hashlib.md5(f"42|{rep}|{j}".encode()).hexdigest()[:8], 16) % 4 for j in range(4)]
-        assert abs(got[rep] - np.mean([values[k] for k in at])) < 1e-12
-    ci = inference.bootstrap_ci(rows, ["g"], "v", ["d"], 50, statistic=F.max).first()
+    import math
+
+    bounds = [int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+    out = []
+    for rep in range(n):
+        hexes = [hashlib.sha256(f"{seed}|{u}|{rep // 16}".encode()).hexdigest() for u, _ in values]
+        times = [sum(int(h[4 * (rep % 16) : 4 * (rep % 16) + 4], 16) >= b for b in bounds) for h in hexes]
+        drawn = [v for (_, v), t in zip(values, times, strict=True) for _ in range(t)]
+        out.append((np.mean(drawn) if drawn else None, max(drawn, default=None)))
+    return out
+
+
+def test_bootstrap_draws_follow_the_rule(spark, monkeypatch):
+    from obscast.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "PART", 3)  # several parts of a group, in two levels
+    monkeypatch.setattr(bootstrap, "TOGETHER", 2)
+    values = {"a": [(str(k), v) for k, v in enumerate([1.0, 4.0, 2.5, 9.0, -3.0, 0.5, 7.0, 1.5])], "b": [("0", 2.0), ("0", 4.0), ("3", -1.0)], None: [("9", 1.0)]}
+    rows = [(g, u, v) for g, own in values.items() for u, v in own] + [("a", "77", None)]
+    frame = spark.createDataFrame(rows, "g string, d string, v double")
+    want = {g: brute_replicates(own, 40) for g, own in values.items()}
+    got = {(r.g, r.rep): r.stat for r in inference.replicates(frame, ["g"], "v", ["d"], 40).collect()}
+    assert len(got) == 120
+    for (g, rep), stat in got.items():
+        assert stat is None and want[g][rep][0] is None or abs(stat - want[g][rep][0]) < 1e-12
+    tops = {(r.g, r.rep): r.stat for r in inference.replicates(frame, ["g"], "v", ["d"], 40, statistic=F.max).collect()}
+    assert tops == {(g, rep): top for g, own in want.items() for rep, (_, top) in enumerate(own) if top is not None}
+    r = {x.g: x for x in bootstrap.intervals(frame, ["g"], "v", ["d"], 30, 40).collect()}
+    for g, own in want.items():
+        means = [m for m, _ in own[:30] if m is not None]
+        assert np.allclose([r[g].lo, r[g].hi], np.quantile(means, [0.025, 0.975]))
+        assert abs(r[g].p_value - (sum(m is not None and m <= 0 for m, _ in own) + 1) / 41) < 1e-12
+    ci = inference.bootstrap_ci(frame.where("g = 'a'"), [], "v", ["d"], 50, statistic=F.max).first()
     assert ci.point == 9.0 and ci.lo <= ci.hi <= 9.0
+    plan = bootstrap.intervals(frame, ["g"], "v", ["d"], 30, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Window" not in plan
+
+
+def test_poisson_counts_have_mean_and_variance_one():
+    from obscast.operators import bootstrap
+
+    times = np.concatenate([bootstrap.occurrences(f"u{k}", 9999, 42) for k in range(20)])
+    assert abs(times.mean() - 1) < 0.01 and abs(times.var() - 1) < 0.02
+
+
+def test_value_ranks_and_crps_of_a_group_over_many_ranges(spark):
+    from obscast.operators.ranks import value_ranks
+
+    rng = np.random.default_rng(4)
+    values = np.round(rng.normal(size=4000) ** 3, 2)
+    rows = [("big", float(v), 0.5) for v in values] + [("one", 2.0, 5.0), (None, 1.0, 0.0), (None, 1.0, 0.0), (None, 3.0, 0.0), ("big", None, 0.5)]
+    frame = spark.createDataFrame(rows, "g string, v double, t double").repartition(6)
+    got = {(r.g, r.v): (r.n, r.before, r.total) for r in value_ranks(frame, ["g"], "v").collect()}
+    for v in set(values.tolist()):
+        assert got["big", v] == ((values == v).sum(), (values < v).sum(), 4000)
+    assert got[None, 1.0] == (2, 0, 3) and got[None, 3.0] == (1, 2, 3) and got["one", 2.0] == (1, 0, 1)
+    want = np.abs(values - 0.5).mean() - np.abs(values[:, None] - values[None, :]).sum() / (2 * 4000**2)
+    found = {r.g: r.crps for r in metrics.crps(frame, ["g"], "v", "t").collect()}
+    assert abs(found["big"] - want) < 1e-9 and abs(found["one"] - 3.0) < 1e-12
+    # No task sorts the large group: its different values lie in several ranges.
+    made = spark.range(200_000).selectExpr("'k' as g", "cast(id as double) as v")
+    laid = value_ranks(made, ["g"], "v").select("v", "before").where("v <> before")
+    assert laid.isEmpty()
+
+
+def test_step_up_control_of_random_values_is_that_of_the_sorted_ones(spark):
+    rng = random.Random(6)
+    families = {f: [rng.choice([rng.random(), rng.random() ** 4, 0.01, 0.05, None]) for _ in range(n)] for f, n in (("x", 400), ("y", 30), ("z", 1), (None, 50))}
+    rows = [(f, f"H{k}", "c", "all", p) for f, ps in families.items() for k, p in enumerate(ps)]
+    frame = spark.createDataFrame(rows, "station string, id string, cp string, regime string, p_value double").where("station is not null")
+    for compat in (False, True):
+        got = {(r.station, r.id): r.fdr_adjusted for r in inference.benjamini_hochberg(frame, 0.1, compat, ("station",)).collect()}
+        for f in ("x", "y", "z"):
+            ps, m = families[f], 0
+            order = sorted(k for k, p in enumerate(ps) if p is not None)
+            order.sort(key=lambda k: (ps[k], f"H{k}"))
+            m = len(ps) if compat else len(order)
+            passed = [ps[k] <= (i + 1) / m * 0.1 for i, k in enumerate(order)]
+            last = passed.index(False) if compat and False in passed else len(passed) if compat else max((i + 1 for i, ok in enumerate(passed) if ok), default=0)
+            # Equal p-values have equal decisions, so ranks inside a tie do not matter.
+            assert {k for k in range(len(ps)) if got[f, f"H{k}"]} == set(order[:last]), (f, compat)
 
 
 def test_signal_validates_and_noise_does_not(spark, history):
@@ -164,8 +237,7 @@ def test_registered_results_accept_a_single_real_effect(spark, monkeypatch):
     kinds = "split string, date_local date, feature string, cp string, regime string, tmax long, base_pred double, pred double, base_error double, error double"
     gains = spark.createDataFrame(rows, kinds)
     made = spark.createDataFrame([], ", ".join(f"{c} double" for c in names))
-    monkeypatch.setattr(queries, "_gains", lambda spark, sf_dir: gains)
-    monkeypatch.setattr(queries, "table", lambda spark, sf_dir: made)
+    monkeypatch.setattr(queries, "_gains", lambda spark, sf_dir: (gains, dict(made.dtypes)))
     got = queries.hypothesis_results(spark, "").collect()
     assert [(r.feature, r.cp, r.p_value) for r in got if r.status == "validated"] == [(real, "20:00", 0.0001)]
     found = queries.feature_contract(spark, "").where("kind = 'validated'").collect()
