@@ -55,8 +55,8 @@ def day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def days_and_table(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The days, and one row a day and checkpoint; reports are parsed once for both and written."""
-    obs = stored(observations(spark, sf_dir), "observations")
+    """The days, and one row a day and checkpoint; parsing reports again is cheaper than writing them."""
+    obs = observations(spark, sf_dir)
     days = stored(labels.daily_labels(obs, CONFIG), "labels")
     return days, features.build_features(obs, days, CONFIG)
 
@@ -416,7 +416,7 @@ def station_ladder(spark, sf_dir):
 
 
 def station_challenger_errors(spark, sf_dir):
-    obs = stored(annotate(parse_temperatures(fixtures.station_observations(spark, sf_dir), BOTH), BOTH), "observations")
+    obs = annotate(parse_temperatures(fixtures.station_observations(spark, sf_dir), BOTH), BOTH)
     days = stored(labels.daily_labels(obs, BOTH), "labels")
     made = stored(features.build_features(obs, days, BOTH), "features")
     spans = splits.split_plan(days, TEST_STARTS, config=BOTH)
