@@ -2,11 +2,14 @@
 
 Conversations are dealt out and ordered by their turns (`format_trees`: a range over the path
 of turn hashes, then conv_id), so those that share turns follow each other. A task lays its
-conversations out depth-first, in one row (a layout) up to about MAX_CHARS code points or
-MAX_CONVERSATIONS conversations: what a conversation shares with the one before it is there
-already, only the rest is emitted. A layout can be read, and trained on, by itself; between
-two layouts at most the turns of the path that the border cuts are emitted again, however
-many conversations hold them. A single conversation is always laid out in one piece.
+conversations out depth-first, in one row (a layout): what a conversation shares with the one
+before it is there already, only the rest is emitted. A layout ends at MAX_CONVERSATIONS
+conversations, or at MAX_CHARS code points as soon as the next conversation shares no more
+than half of it, so a first turn longer than that is not emitted for each conversation, and a
+layout holds at most MAX_CHARS, or twice a conversation, and one conversation more. It can be
+read, and trained on, by itself; between two layouts at most the turns of the path that the
+border cuts are emitted again, however many conversations hold them. A single conversation is
+always laid out in one piece.
 
 Each node (a turn in its context) knows where its text begins in the layout (`starts`), at
 which position of a conversation it begins (`positions`, the sum of its ancestors' lengths),
@@ -110,8 +113,19 @@ class Layout:
         self.texts.append(text)
         self.size = end
 
-    def full(self) -> bool:
-        return self.size >= self.chars or len(self.conv_ids) >= self.most
+    def full(self, turns: list[tuple[str, str]]) -> bool:
+        """Whether a conversation with these turns is to begin a layout of its own.
+
+        It is not where most of the layout so far is turns that it shares: they would be emitted again.
+        """
+        if len(self.conv_ids) >= self.most:
+            return True
+        shared = 0
+        for turn, (held, node) in zip(turns, self.path, strict=False):
+            if turn != held:
+                break
+            shared = self.numbers["positions"][node] + self.numbers["lengths"][node]
+        return self.size >= self.chars and 2 * shared <= self.size
 
     def row(self) -> pa.RecordBatch:
         ends = np.cumsum([0, *map(len, self.attends)]).astype(np.int32)
@@ -141,10 +155,11 @@ def format_trees(rows: DataFrame) -> DataFrame:
             pairs = [(r or "", t or "") for r, t in zip(flat.field("role").to_pylist(), flat.field("text").to_pylist(), strict=True)]
             ends = np.cumsum([0, *pa.compute.list_value_length(turns).to_pylist()]).tolist()
             for k, conv_id in enumerate(batch.column(0).to_pylist()):
-                layout.add(conv_id, pairs[ends[k] : ends[k + 1]])
-                if layout.full():
+                own = pairs[ends[k] : ends[k + 1]]
+                if layout.full(own):
                     yield layout.row()
                     layout = Layout(MAX_CONVERSATIONS, MAX_CHARS)
+                layout.add(conv_id, own)
         if layout.conv_ids:
             yield layout.row()
 
