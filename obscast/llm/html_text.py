@@ -2,11 +2,14 @@
 
 A page is read once into blocks of text in page order (`read_blocks`), each with the tags
 around it. A linear classifier turns a block's length, links, punctuation, tags and class
-words into costs of calling it content or boilerplate (`costs`): the capacities of its edges
-to the two terminals. All of it is evidence of like size, containers too: only navigation
-and hidden parts are out for certain. A container that names boilerplate counts less, the
-more of the page's text it holds beyond three quarters: what encloses the page says nothing
-about a part (`votes_out`). Blocks that follow each other, on the page or in one container,
+words into costs of calling it content or boilerplate (`all_costs`): the capacities of its edges
+to the two terminals. Length is counted in words where words are spaced and in characters
+where they are not. All of it is evidence of like size, containers too: only navigation and
+hidden parts are out for certain. A container that names boilerplate says nothing where
+nothing outside of it could be the main text, and all it says otherwise, whatever its size
+(`votes_out`): thirty comments below one paragraph are comments, a form around the page is no
+form. Links tell less against a block, the less linked the rest of its article is: a list of
+sources stays, a teaser goes. Blocks that follow each other, on the page or in one container,
 are tied by smoothness edges that weaken with their distance in the tree of tags and where
 one lies in a container that the other does not (`ties`).
 The minimum cut is the labelling of least total cost: a short line among paragraphs stays, a
@@ -71,22 +74,36 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+#: Characters of scripts written without spaces, and ends of a sentence with what may close it (fixed).
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+FULL_STOP = re.compile("[.!?\u2026\u3002\uff01\uff1f\uff0e\u0964\u06d4\u061f\u1362\u104b\u17d4][\"'\u2019\u201d\u00bb\u300d\u300f)\\]]*$|[\"'\u201d\u00bb\u300d\u300f]$")
 
 #: Weight of the smoothness edges between neighbours, capacity that no cut of the others
 #: reaches, and what is left of a tie between a named container's inside and outside.
 SMOOTH, SURE, PARTED = 1.2, 1e6, 0.1
 #: Evidence for content by rank of the container, against blocks outside of all where the page
 #: names one, and against blocks in a container that is boilerplate by all of its name.
-INSIDE, OUTSIDE, OUT = (0.0, 0.7, 1.0, 1.0), 0.7, 4.5
+INSIDE, OUTSIDE, OUT = (0.0, 1.2, 1.6, 2.0), 0.7, 6.0
+#: Characters that make up a word where there are no spaces, evidence against a block of links,
+#: what is left of it where nothing else of its article is linked, and the score from which a
+#: block could be main text by itself.
+PER_WORD, LINKED, RARE, SOLID = 1.7, 3.0, 0.2, 0.3
 
 
 @dataclass
 class Container:
-    """An open or closed tag: where it hangs, what its name says and how much text it holds."""
+    """An open or closed tag that names boilerplate: where it hangs and how clearly it does."""
 
     above: int
     vote: float
-    text: int = 0
+
+
+@dataclass
+class Article:
+    """A container of content: how long its text is and how much of it is linked."""
+
+    size: int = 0
+    linked: int = 0
 
 
 @dataclass
@@ -100,6 +117,7 @@ class Block:
     inside: int
     heading: bool
     linked: int
+    article: Article | None  # the innermost container of content
 
 
 def named_out(value: str) -> float:
@@ -157,8 +175,8 @@ def read_blocks(page: str) -> tuple[list[Block], list[Container]]:
     """The page's blocks of text in order, and the containers that vote on them."""
     containers = [Container(-1, 0.0)]
     # An open tag: name, block number or 0, and what holds below it: depth, voting container,
-    # rank as content, out for certain, links, headings.
-    stack: list[tuple[str, int, int, int, int, bool, int, int]] = [("", 0, 0, 0, 0, False, 0, 0)]
+    # rank as content, out for certain, links, headings, container of content.
+    stack: list[tuple[str, int, int, int, int, bool, int, int, Article | None]] = [("", 0, 0, 0, 0, False, 0, 0, None)]
     opened: dict[str, list[int]] = {}
     lists: list[int] = []  # where in the stack lists and tables are
     around: list[int] = []  # numbers of the open block tags
@@ -171,11 +189,12 @@ def read_blocks(page: str) -> tuple[list[Block], list[Container]]:
         text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            _, _, depth, holder, inside, sure, _, headings = stack[-1]
+            _, _, depth, holder, inside, sure, _, headings, article = stack[-1]
             parent = around[-2] if len(around) > 1 else 0
-            blocks.append(Block(text, holder, parent, depth, min(low, depth), sure, inside, headings > 0, linked))
-            if not sure:
-                containers[holder].text += max(0, len(text) - linked)
+            blocks.append(Block(text, holder, parent, depth, min(low, depth), sure, inside, headings > 0, linked, article))
+            if article and not sure:
+                article.size += len(text)
+                article.linked += min(linked, len(text))
             low = depth
         linked = 0
 
@@ -228,7 +247,7 @@ def read_blocks(page: str) -> tuple[list[Block], list[Container]]:
                     close(place)
         if tag in VOID or attributes.endswith("/"):
             continue
-        _, _, depth, holder, rank, sure, links, headings = stack[-1]
+        _, _, depth, holder, rank, sure, links, headings, article = stack[-1]
         out, inside = float(tag in OUT_TAGS), IN_TAGS.get(tag, 0)
         if tag == "header" and not rank:
             out = 1.0
@@ -248,6 +267,8 @@ def read_blocks(page: str) -> tuple[list[Block], list[Container]]:
             numbers += 1
             number = numbers
             around.append(number)
+        if inside:
+            article = Article()
         if out:
             containers.append(Container(holder, out))
             holder = len(containers) - 1
@@ -256,37 +277,58 @@ def read_blocks(page: str) -> tuple[list[Block], list[Container]]:
         opened.setdefault(tag, []).append(len(stack))
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         stack.append((
-            tag, number, depth + (number > 0), holder, max(rank, inside), sure or tag in SURE_TAGS, links + (tag == "a"), headings + heading,
+            tag, number, depth + (number > 0), holder, max(rank, inside), sure or tag in SURE_TAGS, links + (tag == "a"), headings + heading, article,
         ))
     flush()
     return blocks, containers
 
 
-def votes_out(blocks: list[Block], containers: list[Container]) -> list[float]:
-    """How strongly each block's containers name it boilerplate, 0 to 1."""
-    held = [c.text for c in containers]
+def evidence(block: Block, named: bool) -> float:
+    """What the block and its containers of content say for main text (named: there are such on the page)."""
+    unspaced = len(UNSPACED.findall(block.text))
+    words = block.text.count(" ") + 1 + unspaced / PER_WORD
+    score = 0.08 * min(words, 40) - 1.2 + 0.6 * bool(FULL_STOP.search(block.text[-8:])) + 1.0 * block.heading
+    of_all = block.article.linked / max(1, block.article.size) if block.article else 1.0
+    score -= LINKED * (RARE + (1.0 - RARE) * of_all**2) * min(1.0, block.linked / len(block.text))
+    return score + INSIDE[block.inside] - OUTSIDE * (named and not block.inside)
+
+
+def votes_out(blocks: list[Block], containers: list[Container], scores: list[float]) -> list[float]:
+    """How strongly each block's containers name it boilerplate, 0 to 1.
+
+    A container's vote counts if a block outside of it, in containers that say less against it,
+    could be main text by its score; what lies around both is left out of account.
+    """
+    never = float("inf")
+    # Least that containers below say against a block of main text, the same of all but the best part.
+    least, second = [never] * len(containers), [never] * len(containers)
+
+    def meet(k: int, value: float) -> None:
+        if value < least[k]:
+            least[k], second[k] = value, least[k]
+        else:
+            second[k] = min(second[k], value)
+
+    for block, score in zip(blocks, scores, strict=True):
+        if score >= SOLID and not block.sure:
+            least[block.holder] = second[block.holder] = 0.0
     for k in range(len(containers) - 1, 0, -1):
-        held[containers[k].above] += held[k]
-    total = max(1, held[0])
-    strength = [0.0] * len(containers)
+        meet(containers[k].above, max(containers[k].vote, least[k]))
+    outside, strength = [never] * len(containers), [0.0] * len(containers)
     for k, c in enumerate(containers[1:], start=1):
-        fade = min(1.0, 4.0 * (1.0 - held[k] / total)) if held[k] else 1.0
-        strength[k] = max(strength[c.above], c.vote * fade)
+        own = max(c.vote, least[k])
+        outside[k] = min(outside[c.above], second[c.above] if own == least[c.above] else least[c.above])
+        empty = least[k] == never
+        strength[k] = max(strength[c.above], c.vote if empty or outside[k] < c.vote else 0.0)
     return [strength[b.holder] for b in blocks]
 
 
-def costs(block: Block, named: bool, out: float) -> tuple[float, float]:
-    """What it costs to call the block content, and to call it boilerplate.
-
-    named: whether the page names a content container; out: the block's of `votes_out`.
-    """
-    if block.sure:
-        return SURE, 0.0
-    words = block.text.count(" ") + 1
-    score = 0.08 * min(words, 40) - 1.2 + 0.6 * (block.text[-1] in ".!?…\"'”") + 1.0 * block.heading
-    score -= 3.0 * block.linked / max(1, len(block.text))
-    score += INSIDE[block.inside] - OUTSIDE * (named and not block.inside) - OUT * out
-    return max(0.0, -score), max(0.0, score)
+def all_costs(blocks: list[Block], containers: list[Container]) -> list[tuple[float, float]]:
+    """What it costs to call each block content, and to call it boilerplate."""
+    named = any(b.inside for b in blocks if not b.sure)
+    scores = [evidence(b, named) for b in blocks]
+    out = [score - OUT * vote for score, vote in zip(scores, votes_out(blocks, containers, scores), strict=True)]
+    return [(SURE, 0.0) if b.sure else (max(0.0, -x), max(0.0, x)) for b, x in zip(blocks, out, strict=True)]
 
 
 def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -367,8 +409,7 @@ def main_text(page: str | None) -> str:
     blocks, containers = read_blocks(page or "")
     if not blocks:
         return ""
-    named = any(b.inside for b in blocks if not b.sure)
-    both = [costs(b, named, out) for b, out in zip(blocks, votes_out(blocks, containers), strict=True)]
+    both = all_costs(blocks, containers)
     kept = min_cut([b for _, b in both], [a for a, _ in both], ties(blocks))
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 

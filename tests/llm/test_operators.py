@@ -207,22 +207,90 @@ def test_main_text_weighs_containers_against_text_and_neighbours():
     assert html_text.main_text(apart) == f"{long}\n{long}"
 
 
-def test_the_cut_decides_where_texts_alone_would_not(spark):
+def alone_and_cut(page):
+    """The page's blocks, which of them their own costs call content, and which the cut does."""
+    blocks, containers = html_text.read_blocks(page)
+    both = html_text.all_costs(blocks, containers)
+    kept = html_text.min_cut([b for _, b in both], [a for a, _ in both], html_text.ties(blocks))
+    return blocks, [b > a for a, b in both], kept
+
+
+def bare_page(rng):
+    """A page without landmarks, names or scripts of its own, and its blocks with their labels."""
+    def sentence(least, most):
+        return " ".join(rng.choices(VOCABULARY, k=rng.randint(least, most)))
+
+    def links(n):
+        return [(f"<li><a href=/{k}>{(t := sentence(1, 4))}</a></li>", t, False) for k in range(n)]
+
+    body = [(f"<h1>{(t := sentence(3, 8))}</h1>", t, True)]
+    for _ in range(rng.randint(5, 12)):
+        kind = rng.random()
+        if kind < 0.65:
+            body.append((f"<p>{(t := sentence(14, 60) + '.')}</p>", t, True))
+        elif kind < 0.85:
+            body.append((f"<p>{(t := sentence(2, 7) + rng.choice(['', '.', '?']))}</p>", t, True))
+        else:
+            body.append((f"<h3>{(t := sentence(1, 4))}</h3>", t, True))
+    body.append((f"<p>{(t := sentence(14, 40) + '.')}</p>", t, True))
+    top, more = links(rng.randint(3, 9)), links(rng.randint(2, 8))
+    foot = [(f"<div>{(t := sentence(2, 5))}</div>", t, False), (f"<div><a href=/i>{(u := sentence(1, 3))}</a></div>", u, False)]
+    if rng.random() < 0.5:  # a teaser that reads like a sentence, among the links
+        more.insert(1, (f"<li><a href=/t>{(t := sentence(3, 6))}</a></li><li>{(u := sentence(8, 9) + '.')}</li>", t, False))
+        more.insert(2, ("", u, False))
+    parts = [f"<{tag}>{''.join(x for x, _, _ in rows)}</{tag}>" for tag, rows in (("ul", top), ("div", body), ("ul", more), ("div", foot))]
+    return "<html><body>" + "".join(parts) + "</body></html>", [(t, label) for _, t, label in [*top, *body, *more, *foot]]
+
+
+def test_the_cut_decides_where_nothing_names_the_text():
+    rng = random.Random(5)
+    total = changed = right = right_alone = 0
+    for _ in range(300):
+        page, want = bare_page(rng)
+        blocks, alone, kept = alone_and_cut(page)
+        assert [b.text for b in blocks] == [t for t, _ in want]
+        total += len(want)
+        changed += sum(a != k for a, k in zip(alone, kept, strict=True))
+        right += sum(k == label for k, (_, label) in zip(kept, want, strict=True))
+        right_alone += sum(a == label for a, (_, label) in zip(alone, want, strict=True))
+    assert right >= 0.95 * total and changed >= 0.01 * total and right - right_alone >= 0.5 * changed, (total, changed, right, right_alone)
+
+
+LONG = "This paragraph has quite a lot of words, and it ends as sentences of a main text do, after some more of them."
+
+
+@pytest.mark.parametrize("around", ["section class=comments", "div class=cookie-notice", "aside", "div class='sidebar'"])
+@pytest.mark.parametrize("count", [1, 10, 30, 1000])
+def test_boilerplate_goes_whatever_its_size(around, count):
+    shut = f"</{around.split()[0]}>"
+    many = f"<p>{LONG} {LONG} Me too.</p><p>Yes.</p>" * count
+    posts = f"<article class=comment-body><p>{LONG} Me too.</p></article>" * count
+    assert html_text.main_text(f"<article><p>{LONG}</p><{around}>{many}{shut}</article>") == LONG
+    assert html_text.main_text(f"<article><p>{LONG}</p></article><{around}>{many}{shut}") == LONG
+    assert html_text.main_text(f"<div><p>{LONG}</p></div><{around}>{posts}{shut}") == LONG
+    assert html_text.main_text(f"<div class=widget><div><p>{LONG}</p></div><{around}>{many}{shut}</div>").startswith(LONG)
+
+
+def test_short_texts_other_scripts_and_sources_stay():
+    frame = "<nav><a href=/>Home</a></nav>{}<footer>Imprint</footer>"
+    assert html_text.main_text(frame.format("<article><p>She said no</p><p>He left</p></article>")) == "She said no\nHe left"
+    for text in ("这是一个关于城市发展的长段落，它有很多字。" * 3, "これは町の発展についての長い文章です。" * 3, "นี่คือย่อหน้ายาวเกี่ยวกับเมืองและผู้คนในเมืองนั้น" * 2):
+        assert html_text.main_text(frame.format(f"<article><p>{text}</p><p>{text}</p></article>")) == f"{text}\n{text}"
+        assert html_text.main_text(frame.format(f"<div><p>{text}</p><p>{text}</p></div>")) == f"{text}\n{text}"
+    hindi = "यह शहर के विकास के बारे में एक लंबा अनुच्छेद है और इसमें बहुत शब्द हैं।"
+    assert html_text.main_text(frame.format(f"<div><p>{hindi}</p></div>")) == hindi
+    sources = "".join(f"<li><a href=/{k}>Source number {k}</a></li>" for k in range(4))
+    want = "\n".join([LONG, LONG, *(f"Source number {k}" for k in range(4))])
+    assert html_text.main_text(frame.format(f"<article><p>{LONG}</p><p>{LONG}</p><ul>{sources}</ul></article>")) == want
+
+
+def test_the_cut_decides_where_texts_alone_would_not():
     long = "This paragraph has quite a lot of words, and it ends as sentences of a main text do, after some more of them."
     links = "".join(f"<div><a href=/{k}>More on this {k}</a></div>" for k in range(5))
     page = f"<div><p>{long}</p><p>Short one</p><p>{long}</p></div><div>{links}<div>A short line that ends.</div>{links}</div>"
-    blocks, containers = html_text.read_blocks(page)
-    alone = [b > a for a, b in (html_text.costs(x, False, o) for x, o in zip(blocks, html_text.votes_out(blocks, containers), strict=True))]
+    blocks, alone, _ = alone_and_cut(page)
     assert [x.text for x, k in zip(blocks, alone, strict=True) if k] == [long, long]
     assert html_text.main_text(page) == f"{long}\nShort one\n{long}"
-    changed = 0
-    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
-        blocks, containers = html_text.read_blocks(row.html or "")
-        named = any(b.inside for b in blocks if not b.sure)
-        both = [html_text.costs(x, named, o) for x, o in zip(blocks, html_text.votes_out(blocks, containers), strict=True)]
-        kept = html_text.min_cut([b for _, b in both], [a for a, _ in both], html_text.ties(blocks))
-        changed += kept != [b > a for a, b in both]
-    assert changed > 0
 
 
 def test_class_words_are_evidence_not_verdict():
@@ -636,6 +704,29 @@ def test_a_first_turn_of_very_many_conversations_is_emitted_once(spark, monkeypa
     assert len(back) == 51 and back[None].n_turns == 3 and back[None].turns_sha256 == sha("assistant\nx\n\n\n\n\n")
 
 
+def test_a_first_turn_longer_than_a_layout_is_emitted_once():
+    first = ("system", "s" * 3_000_000)
+    layouts, layout = [], chat.Layout()
+    for k in range(101):
+        turns = [("a", "short")] if k == 0 else [first, ("user", f"question {k}")]
+        if layout.full(turns):
+            layouts.append(layout)
+            layout = chat.Layout()
+        layout.add(k, turns)
+    layouts.append(layout)
+    assert sum("".join(x.texts).count("<|im_start|>system") for x in layouts) == 1
+    assert sum(len(x.conv_ids) for x in layouts) == 101
+    # A layout ends where the next conversation shares little of it, and where what is shared is outweighed.
+    layout = chat.Layout(chars=1_000)
+    layout.add(0, [("user", "x" * 2_000), ("user", "a")])
+    assert layout.full([("user", "y")]) and not layout.full([("user", "x" * 2_000), ("user", "b")])
+    for k in range(1, 200):
+        if layout.full([("user", "x" * 2_000), ("user", f"b{k}")]):
+            break
+        layout.add(k, [("user", "x" * 2_000), ("user", f"b{k}")])
+    assert 2_000 < layout.size - 2_000 < 2_200
+
+
 # -- 9: quality rules ---------------------------------------------------------------------------
 
 
