@@ -2,7 +2,9 @@
 
 1. `line_keys` reads every text once: a row for each line whose key is long enough, with its
    place in the text and a 128-bit hash of the key; line texts go no further.
-2. Documents come in batches, largest ids first. A run is a table of (h1, h2, docs, top): a
+2. Documents come in batches, largest ids first, each twice as large as the one before, so
+   that all readings of earlier runs together are no more than twice the lines (`shares`).
+   A run is a table of (h1, h2, docs, top): a
    hash, how many documents of the batch hold it, and the largest doc_id of them, bucketed
    and sorted by hash. Each batch is merge-anti-joined with the keys that the runs have
    settled (in `min_docs` documents or more: count and largest id can no longer matter) and
@@ -10,7 +12,8 @@
    in the first batches only. Runs and batches lie in equal buckets: neither is shuffled.
 3. When a level holds `fanout` runs, they are compacted into one run of the next level.
 4. Lines of settled keys are dropped by their places, but for the largest id's. The few keys
-   that a thousandth of all documents hold are broadcast (`_lost`), the rest are joined.
+   that a thousandth of all documents hold are broadcast while they are no more than
+   HEAVY_ROWS, and joined in parts beyond (`_lost`); the rest are joined.
 
 Defined results: a null or empty text is one empty line; rows with a null doc_id keep all
 lines and count nowhere; the rows of a repeated doc_id are one document to the counts and
@@ -31,12 +34,14 @@ from obscast.llm.shared import Scratch, remove, shared_path
 from obscast.llm.text import SPACES, ascii_lower
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Runs of a level that are compacted, fewest batches, and documents in a batch of a large input.
+#: Runs of a level that are compacted, fewest batches, and documents in the first batch of a large input.
 FANOUT, BATCHES, BATCH_ROWS = 4, 4, 10_000_000
 #: Hashes in a bucket of the runs, as far as there are shuffle partitions for them.
 BUCKET_ROWS = 100_000
 #: A key is broadcast if at least one in so many documents holds it: at most so many times the lines of a document.
 HEAVY = 1000
+#: Most keys that are broadcast (24 bytes each), and the parts into which more are dealt.
+HEAVY_ROWS, HEAVY_PARTS = 1_000_000, 64
 _HASH = ["h1", "h2"]
 _RUN = "h1 long, h2 long, docs long, top long"
 
@@ -122,11 +127,16 @@ class LineRuns:
         remove(self.spark, self.path)
 
 
+def shares(batches: int) -> list[float]:
+    """Quantiles of doc_id between batches of which each is twice as large as the one before, largest ids first."""
+    return [1.0 - (2**k - 1) / (2**batches - 1) for k in range(1, batches)]
+
+
 def build_runs(keys: DataFrame, rows: int, batches: int | None = None, fanout: int = FANOUT, min_docs: int = MIN_DOCS) -> LineRuns:
     """Runs over all of `keys` (stored `line_keys` of `rows` documents), largest ids first."""
     spark = keys.sparkSession
-    batches = batches or max(BATCHES, -(-rows // BATCH_ROWS))
-    parts = F.array(*[F.lit(k / batches) for k in range(1, batches)])
+    batches = batches or max(BATCHES, (rows // BATCH_ROWS + 1).bit_length())
+    parts = F.array(*[F.lit(share) for share in shares(batches)] or [F.lit(0.0)])
     n, bounds = keys.agg(F.count("*"), F.percentile_approx("doc_id", parts, 10_000)).first()
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS)))
     runs = LineRuns(spark, buckets, fanout, min_docs)
@@ -144,7 +154,12 @@ def _lost(keys: DataFrame, settled: DataFrame, rows: int) -> DataFrame:
     """(doc_id, row, gone): the places of the lines that go, by text."""
     often = F.col("docs") >= max(MIN_DOCS, rows // HEAVY)
     heavy = settled.where(often).select(*_HASH, F.col("top").alias("heavy_top"))
-    marked = keys.join(F.broadcast(heavy), _HASH, "left")
+    if heavy.count() <= HEAVY_ROWS:
+        marked = keys.join(F.broadcast(heavy), _HASH, "left")
+    else:  # a key's lines are dealt into parts, its row goes to each
+        heavy = heavy.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HEAVY_PARTS - 1))))
+        dealt = keys.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(HEAVY_PARTS)).cast("int"))
+        marked = dealt.join(heavy, [*_HASH, "part"], "left").drop("part")
     met = marked.where("heavy_top is null").drop("heavy_top").join(settled.where(~often).select(*_HASH, "top"), _HASH)
     met = met.union(marked.where("heavy_top is not null").select(*met.columns[:-1], F.col("heavy_top").alias("top")))
     return met.where("doc_id <> top").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))

@@ -407,6 +407,23 @@ def test_lines_as_by_brute_force_over_many_batches(spark, monkeypatch):
             assert (r.text, r.n_lines, r.n_dropped, r.whole) == ("\n".join(kept), len(lines), len(lines) - len(kept), "b")
 
 
+def test_batches_double_and_heavy_keys_beyond_the_bound_are_joined_in_parts(spark, monkeypatch):
+    cuts = [1.0, *line_dedup.shares(6), 0.0]
+    sizes = [a - b for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert all(abs(b - 2 * a) < 1e-9 for a, b in zip(sizes, sizes[1:], strict=False))
+    assert sum(sum(sizes[:k]) for k in range(6)) < 2  # what all batches read of the runs before them
+    assert line_dedup.shares(1) == []
+    lines = [f"a line that is long enough to count {k}" for k in range(40)]
+    rows = [(k, "\n".join(RANDOM.choices(lines, k=RANDOM.randint(1, 12)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.text for r in line_dedup.dedup(docs, batches=1).collect()}
+    monkeypatch.setattr(line_dedup, "HEAVY_ROWS", 5)
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs, batches=5).collect()} == want
+    last = {x: max(k for k, t in rows if x in t.split("\n")) for x in lines}
+    held = {x: sum(x in t.split("\n") for _, t in rows) for x in lines}
+    assert want == {k: "\n".join(x for x in t.split("\n") if held[x] < 3 or last[x] == k) for k, t in rows}
+
+
 def test_line_dedup_of_nothing_and_of_repeated_ids(spark, empty):
     assert line_dedup.dedup(empty).count() == 0
     line = "a line of more than twenty characters"
