@@ -42,6 +42,8 @@ PLACED = f"{PIECES}, sequence_id long, offset long"
 #: Lower-cased words of these characters split alike in the tokenizer's pattern and in SPLIT.
 PLAIN = re.compile(r"[!-~\xdf-\xf6\xf8-\xff]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Stops that end a word as a part of its own, however many follow each other.
+STOPS = b".,;:!?"
 UPPER = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
@@ -63,17 +65,27 @@ class WordIds:
         self.tokenizer.no_padding()
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        parts: dict[str, int] = {}
-        split, other = [], []
+        parts: dict[bytes, int] = {}
+        single, split, other = [], [], []
         for word in words:
+            core = word.rstrip(STOPS)
+            if core.isalpha():
+                # Letters of ASCII and stops behind them: one part each, as SPLIT has it.
+                k = parts.setdefault(core.lower(), len(parts))
+                if len(core) == len(word):
+                    single.append((word, k))
+                else:
+                    split.append((word, [k, parts.setdefault(word[len(core) :], len(parts))]))
+                continue
             text = word.decode()
             if UPPER.fullmatch(text) and "<|" not in text and PLAIN.fullmatch(low := text.lower()):
-                split.append((word, [parts.setdefault(p, len(parts)) for p in SPLIT.findall(low)]))
+                split.append((word, [parts.setdefault(p.encode(), len(parts)) for p in SPLIT.findall(low)]))
             else:
                 other.append(word)
-        ids, begins = self.merger.encode([p.encode() for p in parts])
+        ids, begins = self.merger.encode(list(parts))
         data, at = ids.tobytes(), (begins * 4).tolist()
-        found = {w: b"".join([data[at[k] : at[k + 1]] for k in ks]) for w, ks in split}
+        found = {w: data[at[k] : at[k + 1]] for w, k in single}
+        found |= {w: b"".join([data[at[k] : at[k + 1]] for k in ks]) for w, ks in split}
         if other:
             encoded = self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)
             found |= {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(other, encoded, strict=True)}
