@@ -7,8 +7,8 @@ one estimates the number of distinct shingles. All three are exact for sets belo
 
 Defined results: null and empty texts and texts without words have the empty sketch; equal
 sketches, the empty ones included, have resemblance 1, an empty and another one 0; a null
-doc_id sorts last; repeated doc_ids are ordered by length and hash of their texts; an empty
-table gives no rows; of other columns none are read.
+doc_id sorts last; repeated doc_ids are ordered by length, longest first, and hash of their
+texts; an empty table gives no rows; of other columns none are read.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from obscast.llm.text import ascii_lower, words
 K = 256
 WIDTH = 5
 _BITS = 48
-#: Rows in a bucket of neighbours and most buckets; both only set how the work is dealt.
-BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
+#: Ranges of neighbours for each shuffle partition of the session, so that hashing evens them out.
+RANGES_A_PARTITION = 4
 
 
 def sketch(tokens: Column, k: int = K, width: int = WIDTH) -> Column:
@@ -78,39 +78,57 @@ def encode(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 12, "0")), "")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds but the first are at most `key`: a search in two steps."""
+def _range_of(place: Column, bounds: list) -> Column:
+    """How many bounds but the first are at most `place`: a search in two steps.
+
+    A bound is a tuple of whole numbers and compares with the struct `place` field by field.
+    """
     step = max(1, int(len(bounds) ** 0.5))
-    count = lambda a: F.size(F.filter(a, lambda b: b <= key))
-    coarse = F.array(*[F.lit(b) for b in bounds[::step]])
-    run = F.greatest(count(coarse), F.lit(1)) - 1
-    fine = F.slice(F.array(*[F.lit(b) for b in bounds]), run * step + 1, F.lit(step))
+    lits = [F.struct(*[F.lit(v).cast("long").alias(f) for v, f in zip(b, PLACE, strict=True)]) for b in bounds]
+    count = lambda a: F.size(F.filter(a, lambda b: b <= place))
+    run = F.greatest(count(F.array(*lits[::step])), F.lit(1)) - 1
+    fine = F.slice(F.array(*lits), run * step + 1, F.lit(step))
     return run * step + F.greatest(count(fine), F.lit(1)) - 1
 
 
-def with_neighbour(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, bucket, ghost, spot): `spot` orders a bucket by descending doc_id.
+#: Fields of a row's place among all rows: id, length and hash of the text.
+PLACE = ("id", "size", "tie")
+
 
-    The table is cut at quantiles of doc_id, so no task sorts it all. The first rows of a
-    bucket are repeated, as ghosts, behind the last of the bucket above (those of the top
-    bucket behind the last of the bottom one), so that each row's next row is in its bucket.
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (never null) and place: later rows of the order have smaller places."""
+    text = F.coalesce("text", F.lit(""))
+    # The hash is turned round, so that ties in falling order have rising hashes.
+    fields = (F.coalesce("doc_id", F.lit(-(1 << 63))), F.length("text"), F.bitwise_not(F.xxhash64("text")))
+    place = F.struct(*[v.cast("long").alias(f) for v, f in zip(fields, PLACE, strict=True)])
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("place", place)
+
+
+def with_neighbour(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, place, range, ghost): a range's rows follow each other by falling place.
+
+    Spark cuts the places, never the texts, into ranges of like size, as many as the session's
+    shuffle partitions ask for; rows of one doc_id are cut by length and hash. The driver holds
+    the least and greatest place of each range. The first row of a range is repeated, as a
+    ghost, behind the last of the range above (that of the top range behind the last of the
+    bottom one), so that each row's next row is in its range. Rows equal in id and text have
+    one place and so one range, where they are streamed.
     """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    keyed = docs.select(key.alias("key"))
-    n = keyed.count()
-    parts = min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) or 1
-    shares = F.array(*[F.lit(p / parts) for p in range(1, parts)] or [F.lit(0.5)])
-    found = keyed.agg(F.min("key"), F.percentile_approx("key", shares, 20 * parts + 1000)).first()
-    bounds = sorted({found[0] or 0, *(found[1] or [])})
-    tops = dict(
-        keyed.groupBy(_bucket(F.col("key"), bounds).alias("b")).agg(F.max("key").alias("top")).collect()
-    )  # at most MOST_BUCKETS rows
-    top = F.get(F.array(*[F.lit(tops.get(b, 0)) for b in range(len(bounds))]), F.col("own"))
-    spots = F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ghost")))
-    above = F.struct(((F.col("own") + 1) % len(bounds)).alias("bucket"), F.lit(True).alias("ghost"))
-    rows = docs.select("doc_id", "text", key.alias("key")).withColumn("own", _bucket(F.col("key"), bounds))
-    rows = rows.withColumn("spot", F.explode(F.when(F.col("key") == top, F.array_append(spots, above)).otherwise(spots)))
-    return rows.select("doc_id", "text", "key", "spot.bucket", "spot.ghost")
+    spark = docs.sparkSession
+    parts = RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _placed(docs)
+    cut = rows.select("place").repartitionByRange(parts, "place").groupBy(F.spark_partition_id())
+    ends = cut.agg(F.min("place").alias("least"), F.max("place").alias("top")).collect()
+    # Partitions are disjoint ranges of places; an empty table is one range without rows.
+    ends = sorted((tuple(e.least), tuple(e.top)) for e in ends) or [((0, 0, 0), (0, 0, 0))]
+    own = _range_of(F.col("place"), [least for least, _ in ends])
+    tops = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f) for v, f in zip(top, PLACE, strict=True)]) for _, top in ends])
+    rows = rows.withColumn("own", own)
+    spots = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("ghost")))
+    above = F.struct(((F.col("own") + 1) % len(ends)).alias("range"), F.lit(True).alias("ghost"))
+    first = F.col("place") == F.get(tops, F.col("own"))
+    rows = rows.withColumn("spot", F.explode(F.when(first, F.array_append(spots, above)).otherwise(spots)))
+    return rows.select("doc_id", "text", "place", "spot.range", "spot.ghost")
 
 
 def edit_report(docs: DataFrame, k: int = K) -> DataFrame:
@@ -119,11 +137,9 @@ def edit_report(docs: DataFrame, k: int = K) -> DataFrame:
     The edited text has the last floor(n / 2) code points replaced by the first as many (or
     all) of the next document by descending doc_id; the last one's next is the first one.
     """
-    body = F.coalesce("text", F.lit(""))
-    rows = with_neighbour(docs).withColumn("text", body)
-    rows = rows.withColumns({"n_chars": F.length("text"), "tie": F.xxhash64("text")})
+    rows = with_neighbour(docs).withColumn("n_chars", F.length("text"))
     # Both windows share one exchange and one sort.
-    order = Window.partitionBy("bucket").orderBy("ghost", F.desc("key"), F.desc("n_chars"), "tie", "text")
+    order = Window.partitionBy("range").orderBy("ghost", F.desc("place"), "text")
     half = (F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("next_text", F.lead("text").over(order))
     rows = rows.withColumn("edited", F.concat(

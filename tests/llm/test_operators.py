@@ -438,7 +438,7 @@ def test_line_dedup_of_nothing_and_of_repeated_ids(spark, empty):
 
 
 def test_edit_report_against_the_real_sets(docs, texts, monkeypatch):
-    monkeypatch.setattr(sketch, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(sketch, "RANGES_A_PARTITION", 2)
     order = list(reversed(texts))
     got = {r.doc_id: r for r in sketch.edit_report(docs).collect()}
     for place, text in enumerate(order):
@@ -451,6 +451,32 @@ def test_edit_report_against_the_real_sets(docs, texts, monkeypatch):
         assert abs(r.near_next - jaccard(shingles(text, 5), shingles(after, 5))) < 0.12
 
 
+def test_edits_with_null_and_repeated_ids(spark):
+    import xxhash
+
+    def tie(text):
+        return (xxhash.xxh64_intdigest(text, seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k} " * (1 + k % 5)) for k in range(120)]
+    rows += [(7, None), (None, ""), (7, "the same words"), (7, "the same words"), (-(1 << 63), "least id"), ((1 << 63) - 1, "top")]
+    docs = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "doc_id long, text string, range string, own int, ghost boolean")
+    # Null has the place of the least id; longer texts come first, then smaller hashes.
+    key = lambda r: (-(-(1 << 63) if r[0] is None else r[0]), -len(r[1] or ""), tie(r[1] or ""))
+    order = sorted(rows, key=key)
+    want = []
+    for k, (doc_id, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        want.append((doc_id, len(text), text[: len(text) - half] + after[:half]))
+    got = [(r.doc_id, r.n_chars, r.edited) for r in sketch.edit_report(docs).collect()]
+    assert Counter(got) == Counter(want)
+    # One id does not mean one range.
+    spread = sketch.with_neighbour(docs).where("not ghost").groupBy("range").count().collect()
+    assert len(spread) > 10 and max(r["count"] for r in spread) < len(rows) / 4
+    one = sketch.edit_report(docs.where("doc_id = 1000 or text = 'top'")).collect()
+    assert [(r.edited, r.near_next) for r in one] == [("tot", 1.0)]
+
+
 def test_sketch_estimates_and_merge(spark, empty):
     assert sketch.edit_report(empty).count() == 0
     all_words = [f"t{k}" for k in range(6000)]
