@@ -90,13 +90,19 @@ def record_text(record_type: Column) -> Column:
 def write_archive(records: DataFrame, path: str) -> None:
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     large = F.col("payload_bytes") > LARGE
-    volume = records.agg(F.sum(F.when(large, F.col("payload_bytes")))).first()[0] or 0
-    rows = records.select(record_text(kind).alias("value"))
-    if volume:
-        shelf = F.when(large, 1 + F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 + volume // FILE_BYTES))).otherwise(0)
-        rows = records.select(record_text(kind).alias("value"), shelf.alias("shelf")).repartition("shelf", F.pmod(F.xxhash64("page_id"), F.lit(64)))
-    writer = rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS)
-    (writer.partitionBy("shelf") if volume else writer).text(path)
+    sizes = records.groupBy(large.alias("large")).agg(F.sum("payload_bytes").alias("n")).collect()
+    volume = {r.large: r.n for r in sizes}
+
+    def write(rows: DataFrame, name: str) -> None:
+        writer = rows.select(record_text(kind).alias("value")).write.option("lineSep", "\r\n\r\n")
+        writer.option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS).text(f"{path}/{name}")
+
+    # Only the large ones are moved again; an empty archive has one folder, too.
+    if volume.get(False) is not None or not volume:
+        write(records.where(~large), "small")
+    if volume.get(True) is not None:
+        shelf = F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 + volume[True] // FILE_BYTES))
+        write(records.where(large).repartition(1 + volume[True] // FILE_BYTES, shelf), "large")
 
 
 def _parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict, bytes]]:
