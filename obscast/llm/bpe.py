@@ -18,13 +18,12 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import json
 import os
 import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,10 @@ from obscast.llm.shared import cut
 
 #: Size of the lexicon, and parts of the count that fits in part.
 LEXICON_WORDS, FILL = 50_000, 4096
-#: Words kept encoded in a worker process.
-MEMO_WORDS = 200_000
+#: Words kept encoded in a worker process, and chunks that it counts before it reports them.
+MEMO_WORDS, COUNTED = 200_000, 100_000
+#: Bytes of texts that are strings at a time.
+AT_ONCE = 1_000_000
 
 #: Unicode white space (fixed by the tokenizer's pattern).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -70,21 +71,26 @@ class Encoder:
     """Texts to ids inside a task."""
 
     def __init__(self, tokenizer: str, lexicon: str | None):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(tokenizer)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.tokenizer = tokenizer
         self.merger = merger(tokenizer)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        with open(tokenizer, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+        added = self.merger.added
         if any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")):
             raise ValueError("control tokens that take in their surroundings are not supported")
         self.control = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in added}
         self.border = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.control, key=len, reverse=True)) + ")")
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """Loaded where a text needs it: it takes as much memory as all else here."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.tokenizer)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def chunks(self, text: str) -> list[str]:
         if not any(t in text for t in self.control):
             return CHUNK.findall(text)
@@ -195,7 +201,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).cast(pa.large_binary()):
                 chunks.update((text.as_py() or b"").split())
-                if len(chunks) > MEMO_WORDS:
+                if len(chunks) > COUNTED:
                     yield report()
                     chunks.clear()
         yield report()
@@ -252,7 +258,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, keep: Se
         encoder = _encoder(tokenizer, lexicon)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for part in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), 2_000_000):
+            for part in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), AT_ONCE):
                 texts = column.slice(part.start, part.stop - part.start).to_pylist()
                 ids = encoder.encode([t or "" for t in texts])
                 ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)

@@ -62,7 +62,8 @@ class Merger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, added = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.added: list[dict] = spec["added_tokens"]
+        model, added = spec["model"], {t["content"]: t["id"] for t in self.added}
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         symbols = byte_symbols()
