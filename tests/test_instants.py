@@ -24,3 +24,38 @@ def test_scores_without_variance_are_those_of_sql(spark):
     assert math.isnan(got["off"]["corr"]) and got["off"].skill == -math.inf
     assert (round(got["two"]["corr"], 9), got["two"].skill) == (1.0, 1 - 2.5 / 1.0)
     assert (got["none"]["corr"], got["none"].skill) == (None, None)
+
+
+def test_reports_of_an_instant_are_one_row_before_any_window(spark):
+    at = dt.datetime(2025, 6, 14, 18, 5)
+    rows = []
+    for k in range(400):
+        text = None if k % 7 == 0 else f"X {k % 23:02d}/{k % 9:02d} Q"
+        valid = at + dt.timedelta(minutes=30 * (k % 10))
+        rows.append((k * 7919 % 401 - 200, valid, text, 32.0 + k % 60, 36.0 * (k % 11), float(k % 30), 29.5 + k / 1000, 0.05 * (k % 2), ["OVC", "FEW", None][k % 3], "900", None))
+    obs = annotate(parse_temperatures(spark.createDataFrame(rows, RAW), CONFIG), CONFIG).repartition(5)
+    made = features.instants(obs, CONFIG)
+    assert made.count() == 10
+    days = labels.daily_labels(obs, CONFIG)
+    assert labels.labels_of(made, CONFIG).collect() == days.collect()
+    table = features.build_features(obs, days, CONFIG).orderBy("cp").collect()
+    assert features.features_of(made, days, CONFIG).orderBy("cp").collect() == table
+    # By hand: the order is instant, then obs_id.
+    seen = sorted((r.asDict() for r in asof.known(obs, CONFIG).collect()), key=lambda r: (r["valid"], r["obs_id"]))
+    own = [r for r in seen if r["dq_tmp_c_int"] == "ok"]
+    top = min(own, key=lambda r: (-r["tmp_c_int"], r["valid"], r["obs_id"]))
+    day = days.first()
+    assert (day.n_obs, day.n_imputed, day.tmax_int, day.tmax_ts) == (len(own), len(seen) - len(own), top["tmp_c_int"], top["ts_local"])
+    assert abs(day.tmax_dec - (top["tmpf"] - 32) * 5 / 9) < 1e-9
+    got = {r.cp: r for r in features.slice_aggregates(obs, CONFIG, ("tmp_c_int",)).collect()}
+    for cp, hour in (("20:00", 20), ("22:00", 22)):
+        before = [r for r in seen if r["valid"] < dt.datetime(2025, 6, 14, hour)]
+        changes = [(b["tmp_c_int"] - a["tmp_c_int"]) / ((b["valid"] - a["valid"]).seconds / 3600) for a, b in zip(before, before[1:]) if a["valid"] < b["valid"]]
+        assert (got[cp].n_slice, got[cp].max_delta) == (len(before), max(changes))
+        assert got[cp].a6.tmp_c_int == before[0]["tmp_c_int"]
+
+
+def test_one_instant_with_two_reports_has_no_gap(spark):
+    rows = [(k, dt.datetime(2025, 6, 14, 18, 5), "X 10/08 Q", 50.0, None, None, None, None, None, None, None) for k in (1, 2)]
+    obs = annotate(parse_temperatures(spark.createDataFrame(rows, RAW), CONFIG), CONFIG)
+    assert labels.daily_labels(obs, CONFIG).first().max_gap_min == 0
