@@ -3,11 +3,13 @@
 import datetime as dt
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obscast.config import Config
 from obscast.functions.parse import annotate, parse_temperatures
 from obscast.operators import asof, features, labels, metrics
+from obscast.sources import fixtures, io
 
 RAW = (
     "obs_id long, valid timestamp, metar string, tmpf double, drct double, sknt double, alti double, p01i double,"
@@ -59,3 +61,14 @@ def test_one_instant_with_two_reports_has_no_gap(spark):
     rows = [(k, dt.datetime(2025, 6, 14, 18, 5), "X 10/08 Q", 50.0, None, None, None, None, None, None, None) for k in (1, 2)]
     obs = annotate(parse_temperatures(spark.createDataFrame(rows, RAW), CONFIG), CONFIG)
     assert labels.daily_labels(obs, CONFIG).first().max_gap_min == 0
+
+
+def test_rows_dealt_by_time_are_written_without_another_shuffle(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(DataFrame, "hint", lambda df, *a: asked.append(a) or df)
+    obs = annotate(parse_temperatures(fixtures.station_observations(spark, "/root/testdata/sf0.001", by_time=True), CONFIG), CONFIG)
+    io.write_table(obs, str(tmp_path / "obs"), station=("station",), dealt=True)
+    assert asked == [] and io.read_table(spark, str(tmp_path / "obs")).count() == obs.count()
+    plan = obs._jdf.queryExecution().optimizedPlan().toString()
+    # Numbers are shuffled: the report's text is made above the exchange.
+    assert "metar" in plan.split("RepartitionByExpression")[0] and "metar" not in plan.split("RepartitionByExpression")[1]
