@@ -4,15 +4,17 @@
 2. Linked sets share at least `ceil(t * n)` shingles, so their first `n - ceil(t * n) + 1 + x`
    shingles by hash share `1 + x` (`first_tokens`). Only these columns of the matrix are
    shuffled, once; a class of which fewer are shared with any other class has no link.
+   Then all shingles of the classes that are left are counted: those of which other classes
+   do not hold `ceil(t * n)` are out, whatever passage they share with how many (`_covered`).
 3. Classes that are left are put into groups of similar ones, by the least hashes that they
    share (`_runs`). A group is stored as its members and the union of their shingles, and
    its members are held against each other.
-4. The columns, now per group, form the token-group matrix: how many columns of a class a
-   group's union holds bounds its overlap with any member, and only groups whose bound
-   reaches the threshold are opened. There the bound against the whole union is taken, then
-   the overlaps with its members.
-   Which groups a class meets at all is told by its rarest columns alone.
-5. Step 4 runs twice: first against one central group for each column, so that a large group
+4. Which groups a class meets in the token-group matrix is told by its rarest shared shingles
+   alone (`_ranked`): the first one that a pair shares, by one order of all shingles, bounds
+   the overlap by the shingles behind it, and with the least size of its holders in a group
+   the likeness to any of them. Only groups whose bound suffices are opened. There the bound
+   against the whole union is taken, then the overlaps with its members.
+5. Step 4 runs twice: first against one central group for each class, so that a large group
    of near copies becomes one component; then against the groups that hold a larger
    component than the class's own. No pair inside a component is looked at.
 
@@ -158,6 +160,28 @@ def _shared_columns(found: DataFrame) -> DataFrame:
     return _met(columns).union(hot).distinct()
 
 
+def _covered(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid) of the classes of `sets` that share as many of all their shingles as any link needs."""
+    held = _met(sets.select(F.col("cid").alias("node"), F.explode("tokens").alias("token")))
+    weight = held.groupBy(F.col("node").alias("cid")).agg(F.count("*").alias("held"))
+    return weight.join(sets.select("cid", "n"), "cid").where(f"100 * held >= {percent} * n").select("cid")
+
+
+def _ranked(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, token, n, w, lead, turn, rest): the rarest of the w shingles that a class shares.
+
+    Shingles go by the number of their holders; of two linked classes the first one that both
+    hold has `rest` shingles of each class from it on, which is at least `ceil(t * n)`.
+    """
+    whole, by_rarity = Window.partitionBy("cid"), Window.partitionBy("cid").orderBy("holders", "token")
+    tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
+    counted = tokens.withColumn("holders", F.count("*").over(Window.partitionBy("token"))).where("holders > 1")
+    marks = {"w": F.count("*"), "lead": F.min("token"), "turn": F.min(F.xxhash64("token"))}
+    found = counted.withColumns({c: f.over(whole) for c, f in marks.items()} | {"rank": F.row_number().over(by_rarity)})
+    found = found.withColumn("rest", F.col("w") - F.col("rank") + 1).where(f"100 * rest >= {percent} * n")
+    return found.select("cid", "token", "n", "w", "lead", "turn", "rest")
+
+
 def _runs(classes: DataFrame) -> DataFrame:
     """(grp, cid): classes that follow each other by their least shared hashes, in bounded runs."""
     order = ("lead", "turn", "cid")
@@ -257,7 +281,7 @@ def _links(
     blocks = pairs.join(sets.select("cid", "n"), "cid").groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     blocks = scratch.cut(blocks)  # stored tables tell their size, so small ones need no shuffle of the groups
     dealt = pairs.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    queries = dealt.select("grp", "block", "cid").join(asking, "cid").join(sets.select("cid", "tokens"), "cid")
+    queries = scratch.cut(dealt.select("grp", "block", "cid").join(asking, "cid")).join(sets.select("cid", "tokens"), "cid")
     held = scratch.cut(places.groupBy("grp").agg(F.collect_list(F.struct("cid", "comp", "comp_size")).alias("places")))
     opened = groups.drop("comps").join(held, "grp").join(blocks, "grp")
     opened = opened.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -276,58 +300,51 @@ def class_links(
 
     found: the rows of `shingled`; classes: node, check, rep (a doc_id that has the set), n.
     trace, if given, is told how many classes were asked, and how many pairs of class and
-    group met in a column and were opened.
+    group were opened in each pass.
     """
     least = f"1 + ((least * {percent} + 99) div 100) * {EXTRA} div 100"
     sizes = classes.groupBy("node").agg(F.min("n").alias("least"))
 
     def enough(columns: DataFrame) -> DataFrame:
-        """The classes that share as many columns as any link needs, with marks of likeness."""
-        weight = columns.groupBy("node").agg(
-            F.count("*").alias("w"), F.min("token").alias("lead"), F.min(F.xxhash64("token")).alias("turn")
-        )
-        return weight.join(sizes, "node").where(f"w >= {least}").drop("least")
+        """The classes that share as many columns as any link needs."""
+        weight = columns.groupBy("node").agg(F.count("*").alias("w"))
+        return weight.join(sizes, "node").where(f"w >= {least}").select("node")
 
     shared = scratch.cut(_shared_columns(found))
+    scratch.drop(found)
     for _ in range(PEELS):  # columns shared with classes that are out do not count
-        shared = scratch.cut(_met(shared.join(enough(shared).select("node"), "node", "left_semi")))
+        left = scratch.cut(enough(shared))  # stored tables tell their size: a small one is not shuffled
+        before, shared = shared, scratch.cut(_met(shared.join(left, "node", "left_semi")))
+        scratch.drop(before)
     active = scratch.cut(enough(shared))
+    scratch.drop(shared)
 
-    reps = classes.join(active.select("node"), "node", "left_semi")
+    reps = classes.join(active, "node", "left_semi")
     texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = _token_sets(texts, width).join(active, "node").dropDuplicates(["node", "check"])
     # From here on a class goes by its number; equal halves of two hashes are told apart.
     sets = scratch.cut(sets.withColumns({"cid": F.monotonically_increasing_id(), "n": F.size("tokens")}))
-    runs = scratch.cut(_runs(sets.select("cid", "n", "lead", "turn")))
+    # A passage that many classes hold does not make up for the rest of their texts.
+    before, sets = sets, scratch.cut(sets.join(scratch.cut(_covered(sets, percent)), "cid", "left_semi"))
+    scratch.drop(before)
+    ranked = scratch.cut(_ranked(sets, percent))
+    last = ranked.where("rest = w")  # one row for each class that is left
+    runs = scratch.cut(_runs(last.select("cid", "n", "lead", "turn")))
     inside = sets.select("cid", "tokens").join(runs, "cid").groupBy("grp")
     groups = scratch.cut(inside.applyInPandas(lambda part: _group_of(part, percent), _GROUP))
     own = groups.select("grp", F.explode(F.arrays_zip("cids", "comps")).alias("m")).select(
         "grp", F.col("m.cids").alias("cid"), F.col("m.comps").alias("comp")
     )
-    columns = f"least(n, n - (n * {percent} + 99) div 100 + 1 + n * {EXTRA} div 100)"
-    named = sets.select("node", "cid", F.expr(least.replace("least", "n")).alias("need"), F.expr(f"w / {columns}").alias("share"), "w")
-    # Rare columns first: sets that share `need` columns share one of the first `w - need + 1`.
-    rank = F.row_number().over(Window.partitionBy("cid").orderBy("holders", "token"))
-    counted = shared.withColumn("holders", F.count("*").over(Window.partitionBy("token")))
-    rows = counted.join(named, "node").join(runs, "cid").withColumn("early", rank <= F.col("w") - F.col("need") + 1)
-    rows = scratch.cut(rows.select("token", "cid", "grp", "need", "share", "early"))
-
-    def bounded(met: DataFrame, name: str) -> DataFrame:
-        """The pairs (cid, grp) of `met` (a row for each column shared) whose bound suffices."""
-        pairs = scratch.cut(met.groupBy("cid", "grp", "need").agg(F.count("*").alias("columns")))
-        opened = pairs.where("columns >= need").select("cid", "grp")
-        if trace is not None:
-            trace[f"met_{name}"], trace[f"opened_{name}"] = pairs.count(), opened.count()
-        return opened
-
-    # A class with more of its columns shared has fewer changes of its own: near copies that
+    rows = ranked.select("token", "cid", "n", "rest", F.expr("w / n").alias("share")).join(runs, "cid")
+
+    # A class with more of its shingles shared has fewer changes of its own: near copies that
     # lie in several groups meet in the group of the one they were made from.
     center = rows.groupBy("token").agg(
         F.max_by("grp", F.struct("share", "cid")).alias("center"), F.min("grp").alias("lo"), F.max("grp").alias("hi")
     )
     center = center.where("lo < hi").select("token", "center")
-    met = rows.join(center, "token").where("grp <> center").select("cid", F.col("center").alias("grp"), "need")
-    first = bounded(met, "central")
+    met = rows.join(center, "token").where("grp <> center").groupBy("cid", F.col("center").alias("grp")).agg(F.count("*").alias("both"))
+    first = scratch.cut(met.groupBy("cid").agg(F.max_by("grp", F.struct("both", "grp")).alias("grp")))
     alone = sets.select("cid", F.lit(-1).cast("long").alias("comp"), F.lit(-1).cast("long").alias("comp_size"))
     first_links = _links(first, alone, own.withColumn("comp_size", F.lit(0).cast("long")), groups, sets, percent, scratch)
     by_group = own.select("cid", "comp")
@@ -339,21 +356,22 @@ def class_links(
     comps = scratch.cut(comps.join(comp_sizes, "comp"))
 
     place = comps.select("cid", F.struct("comp_size", "comp").alias("place"))
-    placed = rows.where("early").join(place, "cid").select("token", "cid", "grp", "place")
+    placed = rows.drop("share").join(place, "cid")
     mixed = placed.groupBy("token").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
     left = scratch.cut(placed.join(mixed.select("token"), "token"))
-    top = left.groupBy("token", "grp").agg(F.max("place").alias("top")).withColumnRenamed("grp", "other")
-    pairs = left.join(top, "token").where("place < top").select("cid", F.col("other").alias("grp")).distinct()
-    pairs = scratch.cut(pairs.join(first, ["cid", "grp"], "left_anti"))
-    asked = rows.select("cid", "token", "need").join(pairs, "cid")
-    second = bounded(asked.join(rows.select("token", "grp").distinct(), ["token", "grp"]), "other")
+    top = left.groupBy("token", "grp").agg(F.max("place").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
+    likely = f"place < top and {100 + percent} * rest >= {percent} * (n + least) and 100 * most >= {percent} * n"
+    second = left.join(top.withColumnRenamed("grp", "other"), "token").where(likely)
+    second = second.select("cid", F.col("other").alias("grp")).distinct()
+    second = scratch.cut(second.join(first, ["cid", "grp"], "left_anti"))
     links = _links(second, comps, runs.join(comps, "cid"), groups, sets, percent, scratch)
     a, b = (comps.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
     ends = scratch.cut(links.join(a, "a").join(b, "b").select("comp_a", "comp_b"))
     merged = connected_components(ends, scratch).toDF("comp", "whole")
     whole = comps.join(merged, "comp", "left").select("cid", F.coalesce("whole", "comp").alias("comp"))
     if trace is not None:
-        trace["classes"], trace["groups"] = sets.count(), groups.count()
+        trace["classes"], trace["groups"] = last.count(), groups.count()
+        trace["opened_central"], trace["opened_other"] = first.count(), second.count()
     return sets.select("node", "check", "cid").join(whole, "cid").select("node", "check", "comp")
 
 
@@ -361,7 +379,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trac
     """doc_id, n_shingles, component_id of every row; linked when 100 * both >= percent * either."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     found = scratch.cut(shingled(docs, width, percent))
-    digests = found.select("doc_id", "n_shingles", "node", "check")
+    digests = scratch.cut(found.select("doc_id", "n_shingles", "node", "check"))
     some = digests.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.cut(some.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     comps = class_links(docs, found, classes, width, percent, scratch, trace)

@@ -140,6 +140,37 @@ def test_most_groups_are_not_opened_and_large_groups_of_copies_become_one(spark,
     assert 0 < asked < 4 * trace["classes"] and asked < trace["classes"] * trace["groups"] / 3
 
 
+def test_a_passage_that_many_texts_share_opens_no_groups(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 8)
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(150))
+    rows = [passage + " " + " ".join(rng.choices(VOCABULARY, k=30)) for _ in range(120)]
+    rows += [rows[5] + " more", rows[9] + " words"]
+    trace = {}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.components(docs, trace=trace).collect()}
+    assert got == {k: {120: 5, 121: 9}.get(k, k) for k in range(122)}
+    assert trace["classes"] == 4 and trace["opened_central"] + trace["opened_other"] <= 4
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_links_of_chains_of_edits_are_not_lost_by_the_bounds(spark, monkeypatch, width, percent):
+    monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 4)
+    rng, rows = random.Random(width), []
+    for base in BASE:
+        words = base.split(" ")
+        for _ in range(30):  # a chain of edits, cut and lengthened texts with a few words in common
+            words = list(words)
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(len(words))] = rng.choice("abcdef")
+            words = words[rng.randint(0, 2) :] + rng.choices("abcdef", k=rng.randint(0, 4))
+            rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.components(docs, width, percent).collect()}
+    want = least_reachable({k: shingles(t, width) for k, t in enumerate(rows)}, percent)
+    assert got == want and 10 < len(set(want.values())) < len(rows) - 10
+
+
 def test_words_that_polynomials_confuse_are_told_apart(spark):
     a, b = "a", "b"
     for _ in range(11):
